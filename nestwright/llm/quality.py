@@ -139,10 +139,10 @@ def _score(weights: np.ndarray, bias: float, bits: int):
     return run
 
 
-def score(docs: DataFrame, model: tuple[np.ndarray, float], text_col: str = "text", keep: tuple[str, ...] = ("doc_id",), bits: int = BITS) -> DataFrame:
-    """The columns ``keep`` of each row and its ``score`` in (0, 1)."""
+def score(docs: DataFrame, model: tuple[np.ndarray, float], text_col: str = "text", keep: tuple[str, ...] = ("doc_id",), bits: int = BITS, name: str = "score") -> DataFrame:
+    """The columns ``keep`` of each row and its score in (0, 1) as ``name``."""
     names = [f"c{i}" for i in range(len(keep))]
     rows = docs.select(*(F.col(f"`{c}`").alias(n) for c, n in zip(keep, names, strict=True)), F.col(text_col).cast("string").alias("_text"))
     schema = ", ".join(f"{n} {rows.schema[n].dataType.simpleString()}" for n in names)
     out = rows.mapInArrow(_score(*model, bits), f"{schema}, score double")
-    return out.select(*(F.col(n).alias(c) for c, n in zip(keep, names, strict=True)), "score")
+    return out.select(*(F.col(n).alias(c) for c, n in zip(keep, names, strict=True)), F.col("score").alias(name))
