@@ -10,13 +10,16 @@ each window of ``length`` bytes is filed under the smallest hash among its k-gra
 hence equal suffixes always meet in one part. Neighbouring windows that share the same k-gram occurrence travel as one
 run, and only k-grams found in more than one document are followed further:
 
-1. *find*: every run reports its k-gram (packed arrays, a few bytes each); k-grams of a single document end here;
-2. *cut*: the remaining runs' bytes are cut from the texts and dealt to the parts;
-3. *order*: each part sorts its distinct windows, and windows of later documents become removals;
+1. *find*: every run reports its k-gram and a hash of its bytes (packed arrays, 16 bytes a run). Of equal runs all but
+   those of the smallest document are removed right away, first within a block of text, then within a part; k-grams
+   with one content left, or in one document only, end here;
+2. *cut*: the bytes of the runs that are left are cut from the texts and dealt to the parts;
+3. *order*: each part sorts their windows, and windows of later documents become removals;
 4. *apply*: removals meet their texts.
 
-A k-gram in very many documents (a line that a third of all documents holds) is *hot*: its windows are dealt one by
-one by their own content after a local pass that keeps the smallest document of each, so no task gets a hot group.
+A k-gram with very many contents (the edge of a line that a third of all documents holds) is *hot*: its windows are
+dealt one by one by their own content after a local pass that keeps the smallest document of each. A block of text
+reports at most ``LOCAL`` contents of a k-gram, so no task gets a hot group.
 Documents with a null id have no order: they stay whole and remove nothing. Rows with equal ids never remove parts of
 each other. Null and empty texts yield zeros and the digest of no bytes.
 """
@@ -36,9 +39,11 @@ from pyspark.sql import types as T
 from nestwright.llm.text import _TABLE, U64, buffers, mix, powers, slices, span_hashes
 from nestwright.llm.work import Workspace, shuffle_width
 
-#: Bytes of text whose k-grams are reported together, entries of one k-gram that one such block reports at most, and
-#: the number of reports from which a k-gram counts as hot.
-BLOCK, LOCAL, HOT = 8 << 20, 8, 256
+#: Bytes of text whose runs are reported together and looked for together; contents of one k-gram that such a block may report, beyond which the
+#: k-gram is hot, as it is from HOT contents in all.
+BLOCK, PIECE, LOCAL, HOT = 8 << 20, 1 << 20, 16, 256
+#: Runs whose windows are sorted at a time.
+CELL = 16_000
 _PACKED = T.StructType([T.StructField("dest", T.IntegerType()), T.StructField("kind", T.IntegerType()), T.StructField("blob", T.BinaryType())])
 _HEAD = np.dtype([("n", "<i8"), ("docs", "<i8")])
 
@@ -47,15 +52,15 @@ def _pack(docs: np.ndarray, tags: np.ndarray, doc: np.ndarray, *columns: np.ndar
     """A blob of entries: the documents they name once, then each column."""
     used, index = np.unique(doc, return_inverse=True)
     small = index.astype(np.uint16 if len(used) < 65536 else np.uint32)
-    return b"".join([np.array([(len(doc), len(used))], _HEAD).tobytes(), docs[used].astype("<i8").tobytes(), tags[used].astype("<i8").tobytes(), small.tobytes(), *(c.tobytes() for c in columns), raw])
+    return b"".join([np.array([(len(doc), len(used))], _HEAD).tobytes(), docs[used].astype("<i8").tobytes(), tags[used].astype("<i4").tobytes(), small.tobytes(), *(c.tobytes() for c in columns), raw])
 
 
 def _unpack(blob: bytes, kinds: tuple[str, ...]) -> tuple[np.ndarray, ...]:
     """(document id, tag, column, ...) of each entry, and the bytes that follow."""
     n, docs = (int(x) for x in np.frombuffer(blob, _HEAD, 1)[0])
     at = _HEAD.itemsize
-    ids, tags = np.frombuffer(blob, "<i8", docs, at), np.frombuffer(blob, "<i8", docs, at + 8 * docs)
-    at += 16 * docs
+    ids, tags = np.frombuffer(blob, "<i8", docs, at), np.frombuffer(blob, "<i4", docs, at + 8 * docs)
+    at += 12 * docs
     index = np.frombuffer(blob, np.uint16 if docs < 65536 else np.uint32, n, at)
     at += index.nbytes
     out = [ids[index], tags[index]]
@@ -67,7 +72,7 @@ def _unpack(blob: bytes, kinds: tuple[str, ...]) -> tuple[np.ndarray, ...]:
 
 def _unpack_all(blobs: list[bytes], kinds: tuple[str, ...]) -> tuple[list[np.ndarray], bytes]:
     parts = [_unpack(b, kinds) for b in blobs]
-    empty = [np.zeros(0, k) for k in ("<i8", "<i8", *kinds)]
+    empty = [np.zeros(0, k) for k in ("<i8", "<i4", *kinds)]
     return [np.concatenate([p[i] for p in parts]) if parts else empty[i] for i in range(len(kinds) + 2)], b"".join(p[-1] for p in parts)
 
 
@@ -128,87 +133,155 @@ def _long_runs(raw: np.ndarray, offs: np.ndarray, length: int, k: int) -> tuple[
     return tuple(np.concatenate(x) for x in zip(*found, strict=True))
 
 
-def _find(length: int, k: int, parts: int):
+def _planes(x: np.ndarray) -> bytes:
+    """Bytes of equal weight together, which compresses high zero bytes away."""
+    return x.view(np.uint8).reshape(len(x), -1).T.tobytes()
+
+
+def _from_planes(data: bytes, at: int, n: int, size: int, kind: str) -> np.ndarray:
+    out = np.zeros((n, np.dtype(kind).itemsize), np.uint8)
+    out[:, :size] = np.frombuffer(data, np.uint8, n * size, at).reshape(size, n).T
+    return out.view(kind).ravel()
+
+
+def _report(docs, tags, offs, doc, first, n, gram, content, many) -> bytes:
+    """Runs of one block: its documents with their places in the block, then place, windows, k-gram and content."""
+    used = np.unique(doc)
+    head = np.array([(len(doc), len(used))], _HEAD).tobytes() + docs[used].astype("<i8").tobytes() + tags[used].astype("<i4").tobytes() + offs[used].astype("<u4").tobytes()
+    size = n.astype(np.uint8) | (many.astype(np.uint8) << 7)
+    return head + _planes((offs[doc] + first).astype("<u4")) + size.tobytes() + (gram >> U64(24)).view(np.uint8).reshape(-1, 8)[:, :5].tobytes() + (content >> U64(8)).view(np.uint8).reshape(-1, 8)[:, :7].tobytes()
+
+
+def _reported(blob: bytes) -> tuple[np.ndarray, ...]:
+    """(document id, tag, first window, windows, many, k-gram, content) of each run of a report."""
+    n, docs = (int(x) for x in np.frombuffer(blob, _HEAD, 1)[0])
+    at = _HEAD.itemsize
+    ids, tags, starts = np.frombuffer(blob, "<i8", docs, at), np.frombuffer(blob, "<i4", docs, at + 8 * docs), np.frombuffer(blob, "<u4", docs, at + 12 * docs)
+    at += 16 * docs
+    place = _from_planes(blob, at, n, 4, "<u4")
+    index = np.searchsorted(starts, place, side="right") - 1
+    size = np.frombuffer(blob, np.uint8, n, at + 4 * n)
+    wide = [np.zeros((n, 8), np.uint8), np.zeros((n, 8), np.uint8)]
+    wide[0][:, :5] = np.frombuffer(blob, np.uint8, 5 * n, at + 5 * n).reshape(n, 5)
+    wide[1][:, :7] = np.frombuffer(blob, np.uint8, 7 * n, at + 10 * n).reshape(n, 7)
+    return ids[index], tags[index], (place - starts[index]).astype("<i4"), size & 127, size > 127, wide[0].view("<u8").ravel(), wide[1].view("<u8").ravel()
+
+
+def _heads(*keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """First index and size of each stretch of equal keys."""
+    new = np.zeros(len(keys[0]), bool)
+    new[:1] = True
+    for key in keys:
+        new[1:] |= key[1:] != key[:-1]
+    head = np.flatnonzero(new)
+    return head, np.diff(np.append(head, len(new)))
+
+
+def _find(length: int, k: int, parts: int, groups: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ids, texts = batch.column(0), batch.column(1)
-            tags = batch.column(2).to_numpy(zero_copy_only=False)
+            tags = batch.column(2).to_numpy(zero_copy_only=False).astype("<i4")
             for lo, hi in slices(texts, BLOCK):
-                docs = ids.slice(lo, hi - lo)
-                raw, offs = buffers(texts.slice(lo, hi - lo))
-                doc, first, n, gram = _long_runs(raw, offs, length, k)
-                if not len(doc):
+                docs, tag = ids.slice(lo, hi - lo).to_numpy(zero_copy_only=False), tags[lo:hi]
+                offs, found = np.zeros(hi - lo + 1, np.int64), []
+                for a, b in slices(texts.slice(lo, hi - lo), PIECE):
+                    raw, at = buffers(texts.slice(lo + a, b - a))
+                    offs[a + 1 : b + 1] = offs[a] + at[1:]
+                    doc, first, n, gram = _long_runs(raw, at, length, k)
+                    if len(doc):
+                        begin = at[doc] + first
+                        found.append((doc + a, first.astype("<i4"), n, gram, span_hashes(_TABLE[raw], begin, begin + n + length - 1)))
+                if not found:
                     continue
-                docs, tag = docs.to_numpy(zero_copy_only=False), tags[lo:hi]
-                order = np.lexsort((docs[doc], gram))
-                doc, first, n, gram = doc[order], first[order].astype("<i4"), n[order].astype(np.uint8), gram[order]
-                head = np.flatnonzero(np.append(True, gram[1:] != gram[:-1]))
-                size = np.diff(np.append(head, len(gram)))
-                many = np.repeat(size > LOCAL, size)
-                place = np.arange(len(gram)) - np.repeat(head, size)
-                kept = ~many | (place == 0) | (place == np.repeat(size, size) - 1)
+                doc, first, n, gram, content = (np.concatenate(x) for x in zip(*found, strict=True))
+                del found
+                order = np.lexsort((docs[doc], content, gram))
+                doc, first, n, gram, content = (x[order] for x in (doc, first, n, gram, content))
+                owner = docs[doc]
+                head, size = _heads(gram, content)
+                later = owner > np.repeat(owner[head], size)  # the block holds an earlier equal run
+                out = [(d, 2, blob) for d, _, blob in _by_document(groups, owner[later], tag[doc[later]], 2, first[later], n[later].astype("<i4"))]
+                doc, first, n, gram, content = (x[~later] for x in (doc, first, n, gram, content))
+                head, _ = _heads(gram, content)
+                distinct = np.zeros(len(gram), np.int64)
+                distinct[head] = 1
+                rank = np.cumsum(distinct)
+                head, size = _heads(gram)
+                rank -= np.repeat(rank[head], size)  # number of the content among the k-gram's
+                contents = np.repeat(rank[head + size - 1] + 1, size)
+                many = contents > LOCAL
+                told = ~many | (rank < LOCAL)
+                # other runs of a k-gram that this block alone makes hot go straight to their texts
+                rest = ~told
+                out += [(d, 1, blob) for d, _, blob in _by_document(groups, docs[doc[rest]], tag[doc[rest]], 1, first[rest], n[rest].astype(np.uint8), np.zeros(int(rest.sum()), "<i4"), np.ones(int(rest.sum()), bool), np.zeros(int(rest.sum()), np.uint8))]
+                doc, first, n, gram, content, many = (x[told] for x in (doc, first, n, gram, content, many))
                 dest = (gram % U64(parts)).astype(np.int32)
-                out = []
-                for kind, chosen in ((0, np.flatnonzero(kept)), (1, np.flatnonzero(~kept))):
-                    if not len(chosen):
-                        continue
-                    # other entries of a k-gram that this block alone makes hot go straight to their texts
-                    to = dest[chosen] if kind == 0 else (docs[doc[chosen]] % parts).astype(np.int32)
-                    by = np.argsort(to, kind="stable")
-                    cuts = np.flatnonzero(np.append(True, to[by][1:] != to[by][:-1]))
-                    for a, b in zip(cuts, np.append(cuts[1:], len(by)), strict=True):
-                        x = chosen[by[a:b]]
-                        blob = _pack(docs, tag, doc[x], first[x], n[x], gram[x], many[x]) if kind == 0 else _pack(docs, tag, doc[x], first[x], n[x], dest[x], np.ones(len(x), bool))
-                        out.append((int(to[by[a]]), kind, blob))
-                yield _rows(*map(list, zip(*out, strict=True)))
+                by = np.argsort(dest, kind="stable")
+                head, size = _heads(dest[by])
+                for a, b in zip(head, head + size, strict=True):
+                    x = by[a:b]
+                    out.append((int(dest[x[0]]), 0, _report(docs, tag, offs, doc[x], first[x], n[x], gram[x], content[x], many[x])))
+                for a in range(0, len(out), 256):
+                    yield _rows(*map(list, zip(*out[a : a + 256], strict=True)))
 
     return run
 
 
 def _by_document(parts: int, ids: np.ndarray, tags: np.ndarray, kind: int, *columns: np.ndarray):
     """Blobs of entries for the texts they belong to."""
+    if not len(ids):
+        return
     to = (ids % parts).astype(np.int32)
-    by = np.argsort(to, kind="stable")
-    cuts = np.flatnonzero(np.append(True, to[by][1:] != to[by][:-1])) if len(by) else []
-    for a, b in zip(cuts, np.append(cuts[1:], len(by)), strict=True) if len(by) else []:
+    by = np.lexsort((tags, ids, to))
+    head, size = _heads(to[by])
+    for a, b in zip(head, head + size, strict=True):
         x = by[a:b]
-        pairs = np.stack([ids[x], tags[x]], 1)
-        names, index = np.unique(pairs, axis=0, return_inverse=True)
-        yield int(to[x[0]]), kind, _pack(names[:, 0], names[:, 1], index.ravel(), *(c[x] for c in columns))
+        start, count = _heads(ids[x], tags[x])
+        yield int(to[x[0]]), kind, _pack(ids[x[start]], tags[x[start]], np.repeat(np.arange(len(start)), count), *(c[x] for c in columns))
 
 
-def _match(parts: int):
+def _match(parts: int, groups: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        blobs = []
+        reports: list[tuple] = []
         for batch in batches:
             out = []
             for dest, kind, blob in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 if kind:
-                    out.append((dest, 1, blob))
+                    out.append((dest, kind, blob))
                 else:
-                    blobs.append(blob)
+                    reports.append((np.int32(dest), _reported(blob)))
             if out:
                 yield _rows(*map(list, zip(*out, strict=True)))
-        (ids, tags, first, n, gram, many), _ = _unpack_all(blobs, ("<i4", "u1", "<u8", "?"))
-        del blobs
-        if not len(ids):
+        if not reports:
             return
-        order = np.lexsort((ids, gram))
-        ids, gram = ids[order], gram[order]
-        head = np.flatnonzero(np.append(True, gram[1:] != gram[:-1]))
-        size = np.diff(np.append(head, len(gram)))
-        several = ids[head] != ids[head + size - 1]
-        hot = (size > HOT) | np.logical_or.reduceat(many[order], head)
-        chosen = np.flatnonzero(np.repeat(several, size))
-        x = order[chosen]
-        dest = (gram[chosen] % U64(parts)).astype(np.int32)
-        out = list(_by_document(parts, ids[chosen], tags[x], 1, first[x], n[x], dest, np.repeat(hot, size)[chosen]))
-        if out:
-            yield _rows(*map(list, zip(*out, strict=True)))
+        dest = np.concatenate([np.full(len(r[0]), d) for d, r in reports])
+        ids, tags, first, n, many, gram, content = (np.concatenate(x) for x in zip(*(r for _, r in reports), strict=True))
+        del reports
+        order = np.lexsort((ids, content, gram, dest))
+        dest, ids, tags, first, n, many, gram, content = (x[order] for x in (dest, ids, tags, first, n, many, gram, content))
+        head, size = _heads(dest, gram, content)
+        later = ids > np.repeat(ids[head], size)
+        yield from _packets(_by_document(groups, ids[later], tags[later], 2, first[later], n[later].astype("<i4")))
+        dest, ids, tags, first, n, many, gram, content = (x[~later] for x in (dest, ids, tags, first, n, many, gram, content))
+        distinct = np.zeros(len(gram), np.int64)
+        distinct[_heads(dest, gram, content)[0]] = 1
+        head, size = _heads(dest, gram)
+        contents = np.add.reduceat(distinct, head)
+        some = np.maximum.reduceat(ids, head) != np.minimum.reduceat(ids, head)
+        hot = (contents > HOT) | np.logical_or.reduceat(many, head)
+        left = np.repeat(((contents > 1) & some) | hot, size)
+        yield from _packets(_by_document(groups, ids[left], tags[left], 1, first[left], n[left].astype(np.uint8), dest[left].astype("<i4"), np.repeat(hot, size)[left], gram[left].astype(np.uint8)))
 
     return run
 
 
+def _packets(rows) -> Iterator[pa.RecordBatch]:
+    rows = list(rows)
+    for a in range(0, len(rows), 256):
+        yield _rows(*map(list, zip(*rows[a : a + 256], strict=True)))
+
+
 def _groups(batches: Iterator[pa.RecordBatch]):
     """(blobs, iterator over (id, tag, text bytes)) for each destination; blobs sort before texts."""
     now, blobs, texts = None, [], []
@@ -218,7 +291,7 @@ def _groups(batches: Iterator[pa.RecordBatch]):
                 if now is not None:
                     yield blobs, texts
                 now, blobs, texts = dest, [], []
-            if kind < 2:
+            if kind < 3:
                 blobs.append(blob)
             else:
                 texts.append((doc, tag, text or b"", *row))
@@ -236,12 +309,12 @@ def _entries(blobs: list[bytes], kinds: tuple[str, ...]) -> tuple[dict, list[np.
     return {(int(ids[a]), int(tags[a])): (int(a), int(b)) for a, b in zip(cuts, ends, strict=True)}, [c[order] for c in columns]
 
 
-def _cut(length: int, parts: int):
+def _cut(length: int, parts: int, groups: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for blobs, texts in _groups(batches):
             if not blobs:
                 continue
-            where, (first, n, dest, hot) = _entries(blobs, ("<i4", "u1", "<i4", "?"))
+            where, (first, n, dest, hot, cell) = _entries(blobs, ("<i4", "u1", "<i4", "?", "u1"))
             seen, pieces, picked, owner = set(), [], [], []
             names = []
             for doc, tag, text, *_ in texts:
@@ -257,8 +330,8 @@ def _cut(length: int, parts: int):
             if not pieces:
                 continue
             picked, owner = np.concatenate(picked), np.concatenate(owner)
-            docs, tags = np.array([x[0] for x in names], "<i8"), np.array([x[1] for x in names], "<i8")
-            first, n, dest, hot = first[picked], n[picked], dest[picked], hot[picked]
+            docs, tags = np.array([x[0] for x in names], "<i8"), np.array([x[1] for x in names], "<i4")
+            first, n, dest, hot, cell = (x[picked] for x in (first, n, dest, hot, cell))
             raw = np.frombuffer(b"".join(pieces), np.uint8)
             sizes = n.astype(np.int64) + length - 1
             base = np.cumsum(sizes) - sizes
@@ -281,29 +354,22 @@ def _cut(length: int, parts: int):
                 left = ~later
                 row, step, at, key = row[left], step[left], at[left], key[left]
                 windows = sliding_window_view(raw, length)[at]
-                out += _deal(docs, tags, owner[row], (first[row] + step).astype("<i4"), np.ones(len(row), np.uint8), (key % U64(parts)).astype(np.int32), windows.ravel(), np.full(len(row), length))
+                out += _deal(docs, tags, owner[row], (first[row] + step).astype("<i4"), np.ones(len(row), np.uint8), (key >> U64(48)).astype(np.uint8), (key % U64(parts)).astype(np.int32), windows.ravel(), np.full(len(row), length))
             cold = np.flatnonzero(~hot)
             if len(cold):
                 keep = np.repeat(~hot, sizes)
-                out += _deal(docs, tags, owner[cold], first[cold], n[cold], dest[cold], raw[keep], sizes[cold])
+                out += _deal(docs, tags, owner[cold], first[cold], n[cold], cell[cold], dest[cold], raw[keep], sizes[cold])
             for own, at in gone:
-                for x in _spans(docs, tags, own, at, np.ones(len(at), "<i4")):
-                    out.append((x[0], 1, x[2]))
-            for a in range(0, len(out), 256):
-                yield _rows(*map(list, zip(*out[a : a + 256], strict=True)))
-
-    def _spans(docs, tags, own, at, count):
-        if len(own):
-            order = np.lexsort((at, own))
-            own, at = own[order], at[order]
-            new = np.flatnonzero(np.append(True, (own[1:] != own[:-1]) | (at[1:] != at[:-1] + 1)))
-            count = np.diff(np.append(new, len(own))).astype("<i4")
-            yield from _by_document(parts, docs[own[new]], tags[own[new]], 1, at[new].astype("<i4"), count)
+                order = np.lexsort((at, own))
+                own, at = own[order], at[order]
+                new, count = _heads(own, at - np.arange(len(at)))
+                out += _by_document(groups, docs[own[new]], tags[own[new]], 2, at[new].astype("<i4"), count.astype("<i4"))
+            yield from _packets(out)
 
     return run
 
 
-def _deal(docs, tags, own, first, n, dest, raw, sizes) -> list[tuple[int, int, bytes]]:
+def _deal(docs, tags, own, first, n, cell, dest, raw, sizes) -> list[tuple[int, int, bytes]]:
     """Blobs of runs with their bytes, for the parts that order them."""
     by = np.argsort(dest, kind="stable")
     ends = np.cumsum(sizes)
@@ -313,7 +379,7 @@ def _deal(docs, tags, own, first, n, dest, raw, sizes) -> list[tuple[int, int, b
     for a, b in zip(cuts, np.append(cuts[1:], len(by)), strict=True):
         x = by[a:b]
         span = np.repeat(begins[x] - (np.cumsum(sizes[x]) - sizes[x]), sizes[x]) + np.arange(int(sizes[x].sum()))
-        out.append((int(dest[x[0]]), 0, _pack(docs, tags, own[x], first[x], n[x], raw=raw[span].tobytes())))
+        out.append((int(dest[x[0]]), 0, _pack(docs, tags, own[x], first[x], n[x], cell[x], raw=raw[span].tobytes())))
     return out
 
 
@@ -336,8 +402,27 @@ def previous_factor_documents(windows: np.ndarray, docs: np.ndarray) -> np.ndarr
     return out
 
 
-def _order(length: int, k: int, parts: int):
-    widest = 2 * length - k
+def _earlier(length: int, ids: np.ndarray, n: np.ndarray, runs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(run, window in it) of each window that a smaller document holds; a row of ``runs`` has a run's bytes, zero-padded."""
+    words = runs.view("<u8")
+    key = mix((words * powers(0xD6E8FEB86659FD93, words.shape[1])[1 : 1 + words.shape[1]]).sum(1, dtype=U64) + n.astype(U64))
+    order = np.lexsort((ids, key))
+    new = np.append(True, (key[order][1:] != key[order][:-1]) | (words[order[1:]] != words[order[:-1]]).any(1) | (n[order[1:]] != n[order[:-1]]))
+    group = np.empty(len(n), np.int64)
+    group[order] = np.cumsum(new) - 1
+    lead = order[np.flatnonzero(new)]  # the smallest document of each distinct run
+    base = np.cumsum(n[lead]) - n[lead]
+    row = np.repeat(lead, n[lead])
+    step = np.arange(len(row)) - np.repeat(base, n[lead])
+    earliest = previous_factor_documents(sliding_window_view(runs, length, axis=1)[row, step], ids[row])
+    row = np.repeat(np.arange(len(n)), n)
+    step = np.arange(len(row)) - np.repeat(np.cumsum(n) - n, n)
+    gone = earliest[base[group[row]] + step] < ids[row]
+    return row[gone], step[gone]
+
+
+def _order(length: int, k: int, groups: int):
+    wide = -(-(2 * length - k) // 8) * 8
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         blobs = []
@@ -345,56 +430,33 @@ def _order(length: int, k: int, parts: int):
             out = []
             for dest, kind, blob in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 if kind:
-                    out.append((dest, 1, blob))
+                    out.append((dest, kind, blob))
                 else:
                     blobs.append(blob)
             if out:
                 yield _rows(*map(list, zip(*out, strict=True)))
         if not blobs:
             return
-        (ids, tags, first, n), raw = _unpack_all(blobs, ("<i4", "u1"))
+        (ids, tags, first, n, cell), raw = _unpack_all(blobs, ("<i4", "u1", "u1"))
         del blobs
         raw, n = np.frombuffer(raw, np.uint8), n.astype(np.int64)
         sizes = n + length - 1
-        wide = -(-widest // 8) * 8
-        cells = np.zeros((len(n), wide), np.uint8)
-        cells[np.repeat(np.arange(len(n)), sizes), np.arange(len(raw)) - np.repeat(np.cumsum(sizes) - sizes, sizes)] = raw
-        del raw
-        words = cells.view("<u8")
-        key = mix((words * powers(0xD6E8FEB86659FD93, wide)[1 : 1 + words.shape[1]]).sum(1, dtype=U64) + n.astype(U64))
-        order = np.lexsort((ids, key))
-        new = np.append(True, (key[order][1:] != key[order][:-1]) | (words[order[1:]] != words[order[:-1]]).any(1) | (n[order[1:]] != n[order[:-1]]))
-        head = np.flatnonzero(new)
-        group = np.empty(len(n), np.int64)
-        group[order] = np.cumsum(new) - 1
-        lead = order[head]  # the smallest document of each distinct run
-        reps = n[lead]
-        base = np.cumsum(reps) - reps
-        row = np.repeat(lead, reps)
-        step = np.arange(len(row)) - np.repeat(base, reps)
-        earliest = np.empty(len(row), np.int64)
-        view = sliding_window_view(cells, length, axis=1)
-        share = -(-len(row) // 400_000)
-        if share > 1:  # equal windows stay together, memory stays bounded
-            part = np.empty(len(row), np.int16)
-            for a in range(0, len(row), 400_000):
-                w = view[row[a : a + 400_000], step[a : a + 400_000]]
-                part[a : a + 400_000] = mix(w[:, :8].copy().view("<u8").ravel() ^ (w[:, -8:].copy().view("<u8").ravel() * U64(0x9E3779B97F4A7C15))) % U64(share)
-        for p in range(share):
-            x = np.flatnonzero(part == p) if share > 1 else np.arange(len(row))
-            if len(x):
-                earliest[x] = previous_factor_documents(view[row[x], step[x]], ids[row[x]])
-        rows = np.repeat(np.arange(len(n)), n)
-        inner = np.arange(len(rows)) - np.repeat(np.cumsum(n) - n, n)
-        gone = earliest[base[group[rows]] + inner] < ids[rows]
-        rows, inner = rows[gone], inner[gone]
-        if not len(rows):
-            return
-        cut = np.flatnonzero(np.append(True, (rows[1:] != rows[:-1]) | (inner[1:] != inner[:-1] + 1)))
-        count = np.diff(np.append(cut, len(rows))).astype("<i4")
-        x = rows[cut]
-        out = list(_by_document(parts, ids[x], tags[x], 1, (first[x] + inner[cut]).astype("<i4"), count))
-        yield _rows(*map(list, zip(*out, strict=True)))
+        begins = np.cumsum(sizes) - sizes
+        # equal windows have equal cells; a share of the cells at a time bounds memory
+        shares = min(256, -(-len(n) // CELL))
+        cell = cell % shares
+        for share in range(shares):
+            x = np.flatnonzero(cell == share)
+            if not len(x):
+                continue
+            place = np.arange(int(sizes[x].sum())) - np.repeat(np.cumsum(sizes[x]) - sizes[x], sizes[x])
+            runs = np.zeros((len(x), wide), np.uint8)
+            runs[np.repeat(np.arange(len(x)), sizes[x]), place] = raw[np.repeat(begins[x], sizes[x]) + place]
+            row, step = _earlier(length, ids[x], n[x], runs)
+            if len(row):
+                head, size = _heads(row, step - np.arange(len(step)))
+                y = x[row[head]]
+                yield from _packets(_by_document(groups, ids[y], tags[y], 2, (first[y] + step[head]).astype("<i4"), size.astype("<i4")))
 
     return run
 
@@ -434,7 +496,7 @@ def _apply(length: int, text_too: bool):
         for blobs, texts in _groups(noted(batches)):
             where, columns = _entries(blobs, ("<i4", "<i4")) if blobs else ({}, None)
             for lo in range(0, len(texts), 1000):
-                out: list[list] = [[] for _ in range(7)]
+                out: list[list] = [[] for _ in range(6)]
                 for doc, tag, text, row in texts[lo : lo + 1000]:
                     spans = []
                     if doc is not None and (x := where.get((doc, tag))):
@@ -444,11 +506,11 @@ def _apply(length: int, text_too: bool):
                         spans = _whole_characters(text, spans)
                     edges = [0, *(e for s in spans for e in s), len(text)]
                     rest = b"".join(text[edges[i] : edges[i + 1]] for i in range(0, len(edges), 2))
-                    for column, value in zip(out, (doc, tag, len(text), len(text) - len(rest), [{"from": a, "to": b} for a, b in spans], rest if text_too else hashlib.sha256(rest).hexdigest(), row), strict=True):
+                    for column, value in zip(out, (doc, len(text), len(text) - len(rest), [{"from": a, "to": b} for a, b in spans], rest if text_too else hashlib.sha256(rest).hexdigest(), row), strict=True):
                         column.append(value)
                 span = pa.list_(pa.struct([("from", pa.int64()), ("to", pa.int64())]))
-                types = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), span, pa.binary() if text_too else pa.string(), row_type]
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, types, strict=True)], ["doc", "tag", "n_bytes", "n_removed", "spans", "kept", "row"])
+                types = [pa.int64(), pa.int64(), pa.int64(), span, pa.binary() if text_too else pa.string(), row_type]
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, types, strict=True)], ["doc", "n_bytes", "n_removed", "spans", "kept", "row"])
 
     return run
 
@@ -465,29 +527,29 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         raise ValueError("8 <= k < length <= 200")
     spark = docs.sparkSession
     work = Workspace(spark, "lpf")
-    width = shuffle_width(spark)
-    parts = 4 * width
+    parts = shuffle_width(spark)
+    groups = 4 * parts
     row = F.struct(*((F.col(f"`{c}`").isNull() if c == text_col else F.col(f"`{c}`")).alias(f"c{i}") for i, c in enumerate(docs.columns)))
-    source = docs.select(F.col(id_col).cast("long").alias("doc"), F.col(text_col).cast("string").alias("text"), F.coalesce(F.xxhash64(F.col(text_col)), F.lit(0)).alias("tag"), row.alias("row"))
+    source = docs.select(F.col(id_col).cast("long").alias("doc"), F.col(text_col).cast("string").alias("text"), F.shiftright(F.coalesce(F.xxhash64(F.col(text_col)), F.lit(0)), 32).cast("int").alias("tag"), row.alias("row"))
     ordered = source.where(f"doc is not null and octet_length(text) >= {length}").drop("row")
 
     def dealt(df: DataFrame) -> DataFrame:
-        return df.repartition(width, "dest")
+        return df.repartition(parts, "dest")
 
     def beside(packed: DataFrame, rows: DataFrame) -> DataFrame:
         """Packed entries and texts of the same documents in one partition, entries first."""
-        place = F.coalesce(F.pmod("doc", F.lit(parts)), F.pmod("tag", F.lit(parts))).cast("int").alias("dest")
-        texts = rows.select(place, F.lit(2).alias("kind"), F.lit(None).cast("binary").alias("blob"), "doc", "tag", F.col("text").cast("binary").alias("text"), *(["row"] if "row" in rows.columns else []))
+        place = F.coalesce(F.pmod("doc", F.lit(groups)), F.pmod("tag", F.lit(groups))).cast("int").alias("dest")
+        texts = rows.select(place, F.lit(3).alias("kind"), F.lit(None).cast("binary").alias("blob"), "doc", "tag", F.col("text").cast("binary").alias("text"), *(["row"] if "row" in rows.columns else []))
         return dealt(packed.unionByName(texts, allowMissingColumns=True)).sortWithinPartitions("dest", "kind")
 
-    found = work.table(dealt(ordered.mapInArrow(_find(length, k, parts), _PACKED)).mapInArrow(_match(parts), _PACKED), "found")
+    found = work.table(dealt(ordered.mapInArrow(_find(length, k, parts, groups), _PACKED)).mapInArrow(_match(parts, groups), _PACKED), "found")
     work.release()
-    cut = beside(found, ordered).mapInArrow(_cut(length, parts), _PACKED)
-    spans = work.table(dealt(cut).mapInArrow(_order(length, k, parts), _PACKED), "spans")
-    work.drop("found")
+    cut = beside(found.where("kind = 1"), ordered).mapInArrow(_cut(length, parts, groups), _PACKED)
+    spans = work.table(dealt(cut).mapInArrow(_order(length, k, groups), _PACKED), "spans")
     work.release()
-    schema = T.StructType([*(T.StructField(c, T.LongType()) for c in ("doc", "tag", "n_bytes", "n_removed")), T.StructField("spans", T.ArrayType(T.StructType([T.StructField("from", T.LongType()), T.StructField("to", T.LongType())]))), T.StructField("kept", T.BinaryType() if text_too else T.StringType()), source.schema["row"]])
-    return beside(spans, source).mapInArrow(_apply(length, text_too), schema).drop("tag")
+    spans = spans.unionByName(found.where("kind = 2"))
+    schema = T.StructType([*(T.StructField(c, T.LongType()) for c in ("doc", "n_bytes", "n_removed")), T.StructField("spans", T.ArrayType(T.StructType([T.StructField("from", T.LongType()), T.StructField("to", T.LongType())]))), T.StructField("kept", T.BinaryType() if text_too else T.StringType()), source.schema["row"]])
+    return beside(spans, source).mapInArrow(_apply(length, text_too), schema)
 
 
 def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = 50, n_chars_col: str | None = "n_chars") -> DataFrame:

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
+import time
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -37,7 +39,10 @@ class Workspace:
 
     def release(self) -> None:
         """Let Spark's cleaner remove the shuffle files of plans that are no longer referenced."""
-        self.spark.sparkContext._jvm.System.gc()
+        for _ in range(2):
+            gc.collect()
+            self.spark.sparkContext._jvm.System.gc()
+            time.sleep(0.2)
 
 
 def shuffle_width(spark: SparkSession) -> int:
