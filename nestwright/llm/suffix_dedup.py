@@ -528,7 +528,7 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     spark = docs.sparkSession
     work = Workspace(spark, "lpf")
     parts = shuffle_width(spark)
-    groups = 4 * parts
+    groups = parts
     row = F.struct(*((F.col(f"`{c}`").isNull() if c == text_col else F.col(f"`{c}`")).alias(f"c{i}") for i, c in enumerate(docs.columns)))
     source = docs.select(F.col(id_col).cast("long").alias("doc"), F.col(text_col).cast("string").alias("text"), F.shiftright(F.coalesce(F.xxhash64(F.col(text_col)), F.lit(0)), 32).cast("int").alias("tag"), row.alias("row"))
     ordered = source.where(f"doc is not null and octet_length(text) >= {length}").drop("row")
