@@ -41,9 +41,9 @@ from nestwright.llm.work import Workspace, shuffle_width
 
 #: Bytes of text whose runs are reported together and looked for together; contents of one k-gram that such a block may report, beyond which the
 #: k-gram is hot, as it is from HOT contents in all.
-BLOCK, PIECE, LOCAL, HOT = 8 << 20, 1 << 20, 16, 256
+BLOCK, PIECE, LOCAL, HOT = 4 << 20, 1 << 20, 16, 256
 #: Runs whose windows are sorted at a time.
-CELL = 16_000
+CELL = 8_000
 _PACKED = T.StructType([T.StructField("dest", T.IntegerType()), T.StructField("kind", T.IntegerType()), T.StructField("blob", T.BinaryType())])
 _HEAD = np.dtype([("n", "<i8"), ("docs", "<i8")])
 
@@ -285,8 +285,8 @@ def _packets(rows) -> Iterator[pa.RecordBatch]:
 def _groups(batches: Iterator[pa.RecordBatch]):
     """(blobs, iterator over (id, tag, text bytes)) for each destination; blobs sort before texts."""
     now, blobs, texts = None, [], []
-    for batch in batches:
-        for dest, kind, blob, doc, tag, text, *row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+    for part in (batch.slice(a, 512) for batch in batches for a in range(0, batch.num_rows, 512)):
+        for dest, kind, blob, doc, tag, text, *row in zip(*(c.to_pylist() for c in part.columns), strict=True):
             if dest != now:
                 if now is not None:
                     yield blobs, texts
