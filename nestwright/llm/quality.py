@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 
 from nestwright.llm.text import _TABLE, U64, buffers, mix, slices, span_hashes
 
-BITS, TRAIN_ROWS = 18, 6000
+BITS, TRAIN_ROWS = 18, 4000
 _BLOCK = 1 << 20
 _SPACE = np.zeros(256, bool)
 _SPACE[[9, 10, 11, 12, 13, 32]] = True
