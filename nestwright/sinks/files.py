@@ -62,13 +62,13 @@ def write_single(json_docs: DataFrame, path: str, form: str = "ndjson", pretty:
     return SinkResult(n, target.stat().st_size, path)
 
 
-def write_dead_letters(rejected: DataFrame, path: str, error_col: str = "_error") -> int:
+def write_dead_letters(rejected: DataFrame, path: str, error_col: str = "_error", mode: str = "append") -> int:
     """Rejected rows as ``{"_error": ..., "_record": {...}}`` lines; nothing is written when there are none."""
     record = F.struct(*(F.col(f"`{c}`") for c in rejected.columns if c != error_col))
     lines = rejected.select(F.to_json(F.struct(F.col(error_col).alias("_error"), record.alias("_record"))).alias("value"))
     if lines.isEmpty():
         return 0
-    return write_parts(lines, path, "append").records
+    return write_parts(lines, path, mode).records
 
 
 def report_csv(issues: DataFrame, path: str) -> None:

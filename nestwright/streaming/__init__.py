@@ -19,6 +19,6 @@ def stream_to_parts(pipeline: Pipeline, path: str, checkpoint: str, trigger: dic
         own = Pipeline(batch, pipeline.spec, pipeline.transforms, dead_letters=pipeline.dead_letters, validate_mode=pipeline.validate_mode, allowed=pipeline.allowed)
         own.json().write.mode("overwrite").option("maxRecordsPerFile", max_records_per_file).text(f"{path}/batch={number}")
         if pipeline.dead_letters:
-            write_dead_letters(own.rejected(), f"{pipeline.dead_letters}/batch={number}")
+            write_dead_letters(own.rejected(), f"{pipeline.dead_letters}/batch={number}", mode="overwrite")
 
     return pipeline.source.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(**(trigger or {"availableNow": True})).start()
