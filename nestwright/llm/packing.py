@@ -22,40 +22,72 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from nestwright.llm.text import slices
+
+_BLOCK = 1 << 20
 _kept: dict[str, _Ids] = {}
 
 
 class _Ids(dict):
     """Token ids of white-space-free chunks, as little-endian bytes.
 
-    The tokenizer drops white space and never joins across it, so a text's ids are its chunks' ids. Letters never join
-    with other characters either, and its lower-casing leaves ASCII free to be lowered first; both let chunks share
-    entries. A chunk with ``<`` may hold a special token and goes to the tokenizer whole.
+    A tokenizer with word ends drops white space and never joins across it, so a text's ids are its chunks' ids. It
+    lower-cases, and letters never join with other characters, so an ASCII word with marks behind it is its lower-case
+    letters and then the marks. New words are encoded many at a time and told apart by their word ends. A chunk with
+    ``<`` may hold a special token and goes to the tokenizer as it is, as do whole texts for tokenizers of other kinds.
     """
 
-    LIMIT = 600_000
+    LIMIT, MARKS = 2_000_000, ".,;:!?#$%&*|"
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
-        self.encode = Tokenizer.from_file(path).encode
+        self.tokenizer = Tokenizer.from_file(path)
+        vocabulary = self.tokenizer.get_vocab()
+        self.ends = np.zeros(max(vocabulary.values(), default=0) + 1, bool)
+        self.ends[[i for t, i in vocabulary.items() if t.endswith("</w>")]] = True
+
+    def encode(self, text: str) -> bytes:
+        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
-    def __missing__(self, chunk: str) -> bytes:
+    def learn(self, found: set[str]) -> None:
         if len(self) > self.LIMIT:
             self.clear()
-        ids = None
-        if "<" not in chunk and len(chunk) < 1000 and chunk.isascii():
-            core = chunk.rstrip(".,;:!?#$%&*|")
-            if core and core != chunk and core[-1].isalpha():
-                ids = self[core] + self[chunk[len(core) :]]
-            elif (low := chunk.lower()) != chunk:
-                ids = self[low]
-        if ids is None:
-            ids = self.encode(chunk, add_special_tokens=False).ids
-            ids = struct.pack(f"<{len(ids)}I", *ids)
-        if len(chunk) < 64:
-            self[chunk] = ids
-        return ids
+        words, marked = set(), []
+        for chunk in found:
+            if chunk in self:
+                continue
+            core = chunk.rstrip(self.MARKS).lower() if chunk.isascii() and "<" not in chunk else ""
+            if core.isalpha():
+                if core not in self:
+                    words.add(core)
+                if core != chunk:
+                    marked.append((chunk, core, chunk[len(core) :]))
+            else:
+                self[chunk] = self.encode(chunk)
+        words = list(words)
+        for a in range(0, len(words), 20_000):
+            part = words[a : a + 20_000]
+            ids = self.encode(" ".join(part))
+            stops = (4 * (np.flatnonzero(self.ends[np.frombuffer(ids, "<u4")]) + 1)).tolist()
+            if len(stops) == len(part):
+                start = 0
+                for word, stop in zip(part, stops, strict=True):
+                    self[word] = ids[start:stop]
+                    start = stop
+            else:
+                self.update((word, self.encode(word)) for word in part)
+        for chunk, core, marks in marked:
+            if marks and marks not in self:
+                self[marks] = self.encode(marks)
+            self[chunk] = self[core] + self[marks] if marks else self[core]
+
+    def texts(self, texts: list[str]) -> list[bytes]:
+        if not self.ends.any():
+            return [self.encode(t) for t in texts]
+        parts = [chunks(t) for t in texts]
+        self.learn(set().union(*parts))
+        return [b"".join(map(self.__getitem__, p)) for p in parts]
 
 
 def _lookup(path: str) -> _Ids:
@@ -130,9 +162,10 @@ def _pack(path: str, capacity: int, slack: float, end_id: int):
         ids_of, end = _lookup(path), struct.pack("<I", end_id)
         bins = _Bins(capacity, slack, TaskContext.get().partitionId() << 36)
         for batch in batches:
-            for doc, text in zip(batch.column(0), batch.column(1), strict=True):
-                ids = b"".join(map(ids_of.__getitem__, chunks(text.as_py() or ""))) + end
-                bins.add(doc.as_py(), 0, ids, len(ids) // 4)
+            for lo, hi in slices(batch.column(1), _BLOCK):
+                texts = [t or "" for t in batch.column(1).slice(lo, hi - lo).to_pylist()]
+                for doc, ids in zip(batch.column(0).slice(lo, hi - lo).to_pylist(), ids_of.texts(texts), strict=True):
+                    bins.add(doc, 0, ids + end, len(ids) // 4 + 1)
                 if len(bins.rows) > 20_000:
                     yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*bins.rows, strict=True)], names)
                     bins.rows = []
