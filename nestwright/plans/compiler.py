@@ -327,7 +327,7 @@ class Compiler:
             out = F.when(out != "", out)
         else:
             base = [F.lit(x) if i % 2 == 0 else S.iri_component(self.source(x)[0].cast("string"), self.normalise) for i, x in enumerate(re.split(r"\{([^{}]+)\}", spec.base_uri)) if x]
-            out = F.concat(*base, S.iri_component(value, self.normalise))
+            out = F.concat(*base) if spec.base_uri.endswith("}") else F.concat(*base, S.iri_component(value, self.normalise))
         errors.append(F.when(out.isNull(), F.lit("the document has no identifier")))
         return out, _first(*errors)
 

@@ -114,7 +114,8 @@ def parse(config: dict) -> MappingSpec:
         raise ConfigError("a mapping needs id_source")
     base, uri = config.get("base_uri") or "", bool(config.get("id_is_uri"))
     if not uri:
-        check_base_uri(re.sub(r"\{[^{}]+\}", "x", base))
+        plain = re.sub(r"\{[^{}]+\}", "x", base)
+        check_base_uri(plain + "/" if base.endswith("}") else plain)  # a template that ends in a column is the whole identifier
     props = tuple(_property(n, p, n) for n, p in (config.get("properties") or {}).items())
     return MappingSpec(config["id_source"], config.get("type", ""), base, config.get("context_url", ""), config.get("id_transform"), uri, props, config.get("record_status_defaults"), config.get("data_collection_defaults"), copy.deepcopy(config))
 
