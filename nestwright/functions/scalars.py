@@ -26,14 +26,19 @@ REDACTED = "***REDACTED***"
 _FLOAT = r"^[+-]?([0-9]+(\.[0-9]*)?|\.[0-9]+)([eE][+-]?[0-9]+)?$"
 
 
+def let(value: Column, then: Callable[[Column], Column]) -> Column:
+    """``then(value)`` with the value computed once however often it is used; inside lambdas Spark would repeat it."""
+    return F.get(F.transform(F.array(value), then), F.lit(0))
+
+
 def strip(c: Column) -> Column:
     """Without white space at both ends."""
-    return F.regexp_replace(c, f"^{SPACE}+|{SPACE}+$", "")
+    return F.when(c.rlike(f"^{SPACE}|{SPACE}$"), F.regexp_replace(c, f"^{SPACE}+|{SPACE}+$", "")).otherwise(c)
 
 
 def is_blank(c: Column) -> Column:
     """Null or only white space."""
-    return c.isNull() | (strip(c) == "")
+    return c.isNull() | ~c.rlike("[^" + SPACE[1:])
 
 
 def is_missing(c: Column, kind: T.DataType, collections: bool = True) -> Column:
@@ -75,7 +80,10 @@ def prefixed(prefix: str, drop_blanks: bool = False) -> Callable[[Column], Colum
 
 def int_clean(c: Column) -> Column:
     """Whole numbers in canonical form (any length), other finite numbers cut toward zero, anything else trimmed."""
-    text = strip(c)
+    return let(strip(c), _int_clean)
+
+
+def _int_clean(text: Column) -> Column:
     number = text.try_cast("double")
     whole = F.regexp_replace(F.regexp_replace(text, "^(-?)0+(?=[0-9])", "$1"), "^-0$", "0")
     cut = F.when(F.abs(number) < 9e18, number.try_cast("bigint").cast("string")).when(F.abs(number) < 1e38, number.try_cast("decimal(38,0)").cast("string")).otherwise(text)
@@ -88,18 +96,12 @@ def first_segment(c: Column) -> Column:
     return F.when(first != "", int_clean(first))
 
 
-def _date_part(c: Column) -> Column:
-    text = strip(c)
-    return F.when(text.contains("T"), F.split_part(text, F.lit("T"), F.lit(1))).when(F.split_part(text, F.lit(" "), F.lit(1)).contains("-"), F.split_part(text, F.lit(" "), F.lit(1))).otherwise(text)
-
-
 def date_iso(c: Column) -> Column:
     """The date of an ISO-like date or timestamp, zero-padded; null when it is none."""
-    day = _date_part(c)
-    part = lambda i: F.regexp_replace(F.split_part(day, F.lit("-"), F.lit(i)), "^0+(?=[0-9])", "")
-    padded = F.concat_ws("-", F.lpad(part(1), 4, "0"), F.lpad(part(2), 2, "0"), F.lpad(part(3), 2, "0"))
-    fits = day.rlike("^0*[0-9]{1,4}-0*[0-9]{1,2}-0*[0-9]{1,2}$") & (part(1) != "0")
-    return F.when(fits, F.date_format(F.try_to_date(padded, "yyyy-MM-dd"), "yyyy-MM-dd"))
+    form = r"(?s)^0*([0-9]{1,4})-0*([0-9]{1,2})-0*([0-9]{1,2})(?:T.*| [^T]*)?$"
+    text = strip(c)
+    day = F.when(text.rlike(form), F.regexp_replace(text, form, "$1-$2-$3"))
+    return let(day, lambda d: F.when(~d.startswith("0-"), F.date_format(F.try_to_date(d, "y-M-d"), "yyyy-MM-dd")))
 
 
 def decimal_clean(c: Column) -> Column:
@@ -110,10 +112,10 @@ def decimal_clean(c: Column) -> Column:
 
 @dataclass(frozen=True)
 class Transform:
-    """A named value function; ``fails`` says for which non-null values it is an error, as a message column."""
+    """A named value function; ``fails(text, value)`` says for which non-null texts it is an error, as a message column."""
 
     apply: Callable[[Column], Column]
-    fails: Callable[[Column], Column] | None = None
+    fails: Callable[[Column, Column], Column] | None = None
 
 
 TRANSFORMS: dict[str, Transform] = {
@@ -121,7 +123,7 @@ TRANSFORMS: dict[str, Transform] = {
     "race_prefix": Transform(prefixed("RaceAndEthnicity_", drop_blanks=True)),
     "first_pipe_split": Transform(first_segment),
     "int_clean": Transform(int_clean),
-    "date_format": Transform(date_iso, lambda c: F.when(c.isNotNull() & date_iso(c).isNull(), F.concat(F.lit("Value '"), c, F.lit("' is not a calendar date YYYY-MM-DD")))),
+    "date_format": Transform(date_iso, lambda c, v: F.when(c.isNotNull() & v.isNull(), F.concat(F.lit("Value '"), c, F.lit("' is not a calendar date YYYY-MM-DD")))),
     "decimal_clean": Transform(decimal_clean),
     "strip_whitespace": Transform(lambda c: F.when(strip(c) != "", strip(c))),
 }
@@ -141,7 +143,7 @@ def python_transform(function: Callable[[str], object]) -> Transform:
                 out.append((None, f"raised {type(e).__name__}: {e}"))
         return pd.DataFrame(out, columns=["value", "error"])
 
-    return Transform(lambda c: run(c)["value"], lambda c: run(c)["error"])
+    return Transform(lambda c: run(c)["value"], lambda c, _: run(c)["error"])
 
 
 def _escape(c: Column, safe: str) -> Column:

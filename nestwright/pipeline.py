@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from nestwright.errors import MappingError
 from nestwright.operators import quality
-from nestwright.plans.compiler import RELATED, Compiled, compile_mapping
+from nestwright.plans.compiler import RELATED, Compiled, _column, compile_mapping
 from nestwright.plans.spec import MappingSpec, with_overrides
 from nestwright.sinks import docstore, files
 
@@ -63,24 +63,26 @@ class Pipeline:
             rules = quality.compile_rules(self.spec, self.source.schema, self.allowed)
             bad = F.exists(rules.issues, lambda i: i["severity"] == "error") if self.validate_mode != "strict" else F.size(rules.issues) > 0
             error = F.coalesce(F.when(bad, F.lit("pre-build validation failed")), error)
-        return self.source.withColumn("_error", error)
+        return self.compiled.prepare(self.source).withColumn("_error", error)
+
+    def _select(self, **outputs) -> DataFrame:
+        return self._marked().where("_error is null").select(*(c.alias(n) for n, c in outputs.items()))
 
     def documents(self) -> DataFrame:
         """Good rows as ``id`` and nested ``document``."""
-        return self.compiled.select(self._marked().where("_error is null"), "id", "document")
+        return self._select(id=self.compiled.id, document=self.compiled.document)
 
     def json(self) -> DataFrame:
         """Good rows as ``value``: JSON texts, keys in configuration order."""
-        good = self._marked().where("_error is null")
         text = self.compiled.json
         if self.store_keys:
             head = F.concat(F.lit('{"id":'), F.to_json(F.array(F.translate(self.compiled.id, "/", "|"))))
             text = F.concat(F.regexp_replace(head, r"\[(.*)\]$", "$1"), F.lit(","), F.substr(text, F.lit(2)))
-        return good.select(text.alias("value"))
+        return self._select(value=text)
 
     def rejected(self) -> DataFrame:
         """Rows that fail, with ``_error``."""
-        return self._marked().where("_error is not null").drop(RELATED)
+        return self._marked().where("_error is not null").select(*(_column(c) for c in self.source.columns if c != RELATED), "_error")
 
     def warnings(self) -> DataFrame:
         return self.compiled.select(self.source, "id", "warnings").where(F.size("warnings") > 0)
@@ -120,7 +122,7 @@ class Pipeline:
 
     def to_store(self, client: Callable, partition_value: str | None = None, concurrency: int = 25) -> DataFrame:
         """One result row per upserted document."""
-        rows = self.compiled.select(self._marked().where("_error is null"), "id", "json")
+        rows = self._select(id=self.compiled.id, json=self.compiled.json)
         kind = self.spec.type if isinstance(self.spec.type, str) else (self.spec.type or [None])[0]
         named = rows.withColumnRenamed("id", "@id").withColumn("@type", F.lit(kind).cast("string"))
         return docstore.upsert(docstore.prepare(named, partition_value=partition_value), client, concurrency)

@@ -47,6 +47,7 @@ class Compiler:
     def __init__(self, spec: MappingSpec, schema: T.StructType, transforms: dict | None = None, normalise: bool = True):
         self.spec, self.schema, self.normalise = spec, schema, normalise
         self.kinds = {f.name: f.dataType for f in schema.fields}
+        self.staged: list[tuple[str, Column]] = []
         self.transforms = dict(S.TRANSFORMS)
         for name, t in (transforms or {}).items():
             self.transforms[name] = t if isinstance(t, S.Transform) else S.python_transform(t)
@@ -55,20 +56,25 @@ class Compiler:
         """A source column; a name that the source lacks is null in every row."""
         return (_column(name), self.kinds[name]) if name in self.kinds else (F.lit(None).cast("string"), T.StringType())
 
+    def stage(self, c: Column) -> Column:
+        """A value that several outputs use: a column of its own, so that it is computed once a row."""
+        self.staged.append((f"_nw{len(self.staged)}", c))
+        return F.col(self.staged[-1][0])
+
     def transform(self, name: str) -> S.Transform:
         if name not in self.transforms:
             raise ConfigError(f"unknown transform {name!r}; known: {', '.join(sorted(self.transforms))}")
         return self.transforms[name]
 
-    def _transformed(self, text: Column, f: FieldSpec, prop: str) -> tuple[Column, Column | None]:
+    def _transformed(self, text: Column, f: FieldSpec, prop: str, keep: Callable[[Column], Column] = lambda c: c) -> tuple[Column, Column | None]:
         if not f.transform:
             return text, None
         t = self.transform(f.transform)
-        value = t.apply(text)
+        value = keep(t.apply(text))
         where = f"field '{f.source}' in property '{prop}'"
         error = None
         if t.fails is not None:
-            why = t.fails(text)
+            why = t.fails(text, value)
             error = F.when(why.isNotNull(), F.concat(F.lit(f"Transform '{f.transform}' failed on {where}: "), why))
         if not f.optional:
             none = F.when(text.isNotNull() & value.isNull(), F.lit(f"Transform '{f.transform}' made nothing of the required {where}"))
@@ -114,7 +120,7 @@ class Compiler:
                 errors.append(F.when(~missing, scalar))
             nested_kind = isinstance(kind, (T.ArrayType, T.MapType, T.StructType))
             text = F.lit(None).cast("string") if nested_kind else F.when(~missing, S.strip_control(c.cast("string")))
-            value, error = self._transformed(text, f, p.name)
+            value, error = self._transformed(text, f, p.name, self.stage)
             errors.append(error)
             parts.append((f.target, value, "text", f))
         warnings = []
@@ -125,7 +131,8 @@ class Compiler:
         parts = self._merged(parts)
         pairs = [(n, c) for n, c, _, _ in parts]
         # null when no field has a value: what stands for "no instance"
-        items = F.filter(F.array(F.when(self._some(pairs), self._node(pairs))), lambda x: x.isNotNull())
+        node = F.array(self._node(pairs))
+        items = self.stage(F.when(self._some(pairs), node).otherwise(F.slice(node, 1, 0)))
         return Instances(items, _first(*errors), _first(*warnings), [(n, k, d) for n, _, k, d in parts])
 
     def _multiple(self, p: PropertySpec) -> Instances:
@@ -140,14 +147,16 @@ class Compiler:
                 scalars.append(F.when(~missing, scalar))
             nested_kind = isinstance(kind, (T.ArrayType, T.MapType, T.StructType))
             splits[f.source] = (missing, F.lit(None).cast("array<string>") if nested_kind else F.when(~missing, F.split(c.cast("string"), delimiter)))
-        first = splits[p.fields[0].source][1]
         nested = self._nested(p)
-        layout: list[tuple[str, str, object]] = []
+        order = list(splits)
+        bound = F.struct(*(splits[n][1].alias(f"s{k}") for k, n in enumerate(order)))
+        lead = f"s{order.index(p.fields[0].source)}"
+        first = splits[p.fields[0].source][1]
 
-        def build(i: Column) -> tuple[list, list]:
+        def build(s: Column, i: Column) -> tuple[list, list]:
             parts, errors = [], []
             for f in p.fields:
-                segment = S.strip(F.get(splits[f.source][1], i))
+                segment = S.strip(F.get(s.getField(f"s{order.index(f.source)}"), i))
                 text = F.when(segment != "", S.strip_control(segment))
                 if f.multi_value_split:
                     inner = F.filter(F.transform(F.split(text, "\\Q" + f.multi_value_split + "\\E"), S.strip), lambda x: x != "")
@@ -163,19 +172,25 @@ class Compiler:
                 parts.append((q.name, F.when(F.size(inner.items) > 0, inner.items), "node", (q, inner)))
             return self._merged(parts), errors
 
-        layout = [(n, k, d) for n, _, k, d in build(F.lit(0))[0]]
-        numbers = F.when(F.size(first) > 0, F.sequence(F.lit(0), F.size(first) - 1)).otherwise(F.array().cast("array<int>"))
-        live = F.filter(numbers, lambda i: S.strip(F.get(first, i)) != "")
+        probe = build(bound, F.lit(0))
+        layout = [(n, k, d) for n, _, k, d in probe[0]]
 
-        def node(i: Column) -> Column:
-            pairs = [(n, c) for n, c, _, _ in build(i)[0]]
+        def live(s: Column) -> Column:
+            """Positions of the first column's segments that are not blank."""
+            segments = s.getField(lead)
+            numbered = F.transform(segments, lambda x, i: F.when(~S.is_blank(x), i))
+            return F.coalesce(F.filter(numbered, lambda i: i.isNotNull()), F.array().cast("array<int>"))
+
+        def node(s: Column, i: Column) -> Column:
+            pairs = [(n, c) for n, c, _, _ in build(s, i)[0]]
             return F.when(self._some(pairs), self._node(pairs))
 
-        items = F.coalesce(F.filter(F.transform(live, node), lambda x: x.isNotNull()), F.filter(F.transform(F.array().cast("array<int>"), node), lambda x: x.isNotNull()))
-        failing = [e for e in build(F.lit(0))[1] if e is not None]
-        error = F.get(F.filter(F.transform(live, lambda i: _first(*build(i)[1])), lambda x: x.isNotNull()), F.lit(0)) if failing else None
+        # the splits are made once per row and bound to a name: inside a lambda they would be made for every segment
+        items = self.stage(S.let(bound, lambda s: F.filter(F.transform(live(s), lambda i: node(s, i)), lambda x: x.isNotNull())))
+        failing = any(e is not None for e in probe[1])
+        error = S.let(bound, lambda s: F.get(F.filter(F.transform(live(s), lambda i: _first(*build(s, i)[1])), lambda x: x.isNotNull()), F.lit(0))) if failing else None
         counts = [F.when(~splits[f.source][0] & ~splits[p.fields[0].source][0] & (F.size(splits[f.source][1]) < F.size(first)), F.lit(f"'{f.source}' has fewer segments than '{p.fields[0].source}' in property '{p.name}'")) for f in p.fields[1:]]
-        errors = [*scalars, error, *(F.when(F.size(live) > 0, inner.error) for _, inner in nested if inner.error is not None)]
+        errors = [*scalars, error, *(F.when(F.size(items) > 0, inner.error) for _, inner in nested if inner.error is not None)]
         return Instances(items, _first(*errors), _first(*counts), layout)
 
     def _satellite(self, p: PropertySpec) -> Instances:
@@ -212,7 +227,7 @@ class Compiler:
                 skip = skip | s
             return F.when(~skip & self._some(pairs), self._node(pairs))
 
-        items = F.filter(F.transform(rows, node), lambda x: x.isNotNull())
+        items = self.stage(F.filter(F.transform(rows, node), lambda x: x.isNotNull()))
         layout = [(f.target, "list" if f.multi_value_split else "text", f) for f in p.fields]
         layout = list({n: (n, k, d) for n, k, d in layout}.values())
         lost = F.size(rows) - F.size(items)
@@ -320,7 +335,7 @@ class Compiler:
         if spec.id_transform:
             t = self.transform(spec.id_transform)
             if t.fails is not None:
-                errors.append(t.fails(value))
+                errors.append(t.fails(value, t.apply(value)))
             value = t.apply(value)
         if spec.id_is_uri:
             out = S.strip(value)
@@ -328,6 +343,7 @@ class Compiler:
         else:
             base = [F.lit(x) if i % 2 == 0 else S.iri_component(self.source(x)[0].cast("string"), self.normalise) for i, x in enumerate(re.split(r"\{([^{}]+)\}", spec.base_uri)) if x]
             out = F.concat(*base) if spec.base_uri.endswith("}") else F.concat(*base, S.iri_component(value, self.normalise))
+        out = self.stage(out)
         errors.append(F.when(out.isNull(), F.lit("the document has no identifier")))
         return out, _first(*errors)
 
@@ -344,7 +360,7 @@ class Compiler:
         text = F.concat(F.lit("{"), F.concat_ws(",", *head, *pairs), F.lit("}"))
         warnings = [i.warning for _, i in props if i.warning is not None]
         warning = F.filter(F.array(*warnings), lambda x: x.isNotNull()) if warnings else F.array().cast("array<string>")
-        return Compiled(spec, ident, doc, text, _first(*errors), warning)
+        return Compiled(spec, ident, doc, text, _first(*errors), warning, self.staged)
 
 
 @dataclass
@@ -357,10 +373,17 @@ class Compiled:
     json: Column
     error: Column
     warnings: Column
+    staged: list[tuple[str, Column]]
+
+    def prepare(self, df: DataFrame) -> DataFrame:
+        """``df`` with the columns that the outputs are made of; select outputs from it."""
+        for name, c in self.staged:
+            df = df.withColumn(name, c)
+        return df
 
     def select(self, df: DataFrame, *outputs: str, keep: tuple[str, ...] = ()) -> DataFrame:
         """Chosen outputs (id, document, json, error, warnings) beside source columns; Spark reads only what they use."""
-        return df.select(*(_column(c) for c in keep), *(getattr(self, o).alias(o) for o in outputs))
+        return self.prepare(df).select(*(_column(c) for c in keep), *(getattr(self, o).alias(o) for o in outputs))
 
 
 def collapse(items: Column) -> Column:
