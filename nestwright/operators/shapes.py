@@ -255,6 +255,10 @@ class Shapes:
         return out
 
 
+def _each(nodes: Column, check, *given) -> Column:
+    return F.transform(nodes, lambda e: check(e, *given))
+
+
 def compile_constraints(shapes: Shapes, spec: MappingSpec, document: Column, names: dict[str, str] | None = None) -> Column:
     """Array of violations (property_path, severity, message, expected, actual) of a compiled document column.
 
@@ -292,7 +296,7 @@ def compile_constraints(shapes: Shapes, spec: MappingSpec, document: Column, nam
             continue
         fields = {f.target: f for f in prop.fields}
 
-        def of_node(e: Column, child=child, fields=fields, name=name) -> Column:
+        def of_node(e: Column, child: NodeShape, fields: dict, name: str) -> Column:
             found = []
             for q in child.properties:
                 f = fields.get(call(q))
@@ -313,7 +317,7 @@ def compile_constraints(shapes: Shapes, spec: MappingSpec, document: Column, nam
                 found += [issue(e.getField(t).isNotNull(), f"{name}.{t}", "the shape is closed", "no such property") for t in fields if t not in known]
             return F.filter(F.array(*found), lambda x: x.isNotNull()) if found else F.expr(none)
 
-        lists.append(F.flatten(F.transform(nodes, of_node)))
+        lists.append(F.flatten(_each(nodes, of_node, child, fields, name)))
     if shapes.root().closed:
         known = {call(p) for p in shapes.root().properties}
         flat += [issue(F.size(document.getField(n)) > 0, n, "the shape is closed", "no such property") for n in by_name if n not in known]

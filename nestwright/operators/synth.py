@@ -83,7 +83,7 @@ def generate(spark: SparkSession, spec: MappingSpec, rows: int, seed: int = 0, p
                 piece = lambda i, f=f, one=one, n=n: F.array_join(F.array_distinct(F.transform(F.sequence(F.lit(1), n(i)), lambda j: one(i * 100 + j))), f.multi_value_split)
             else:
                 piece = one
-            whole = F.array_join(F.transform(F.sequence(F.lit(1), count), piece), p.split_on) if p.cardinality == "multiple" else piece(F.lit(1))
+            whole = F.array_join(F.transform(F.sequence(F.lit(1), count), lambda i: piece(i)), p.split_on) if p.cardinality == "multiple" else piece(F.lit(1))
             out[f.source] = F.when(_draw(seed, f.source + "?", at) >= skip, whole) if f.optional else whole
     if spec.id_source not in out:
         out[spec.id_source] = (F.lit(100_000_000) + at).cast("string")

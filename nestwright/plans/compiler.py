@@ -239,6 +239,17 @@ class Compiler:
     def _typed(value: Column, datatype: str) -> Column:
         return F.when(value.isNotNull(), F.struct(F.lit(datatype).alias("@type"), value.alias("@value")))
 
+    @staticmethod
+    def _bound(build: Callable, p: PropertySpec, names: list) -> Callable[[Column], Column]:
+        return lambda x: build(p, names, x)
+
+    def _typing(self, datatype: str) -> Callable[[Column], Column]:
+        return lambda x: self._typed(x, datatype)
+
+    @staticmethod
+    def _quoting(datatype: str) -> Callable[[Column], Column]:
+        return lambda x: F.concat(F.lit('{"@type":' + json.dumps(datatype) + ',"@value":'), S.json_quote(x), F.lit("}"))
+
     @staticmethod
     def _bare(datatype: str | None) -> bool:
         return not datatype or datatype in ("xsd:string", "named_individual")
@@ -265,11 +276,11 @@ class Compiler:
             c = e.getField(n)
             if k == "node":
                 q, inner = d
-                parts.append((n, F.transform(c, lambda x, q=q, inner=inner: self._wide_node(q, inner.names, x))))
+                parts.append((n, F.transform(c, self._bound(self._wide_node, q, inner.names))))
             elif self._bare(d.datatype):
                 parts.append((n, c))
             elif k == "list":
-                parts.append((n, F.transform(c, lambda x, t=d.datatype: self._typed(x, t))))
+                parts.append((n, F.transform(c, self._typing(d.datatype))))
             else:
                 parts.append((n, self._typed(c, d.datatype)))
         if p.wrapper_field and p.inner_type:
@@ -303,10 +314,10 @@ class Compiler:
             c, key = e.getField(n), F.lit(json.dumps(n, ensure_ascii=False) + ":")
             if k == "node":
                 q, inner = d
-                nodes = F.filter(F.transform(c, lambda x, q=q, inner=inner: self._text_node(q, inner.names, x)), lambda x: x.isNotNull())
+                nodes = F.filter(F.transform(c, self._bound(self._text_node, q, inner.names)), lambda x: x.isNotNull())
                 value = collapse(nodes)
             else:
-                quote = S.json_quote if self._bare(d.datatype) else (lambda x, t=d.datatype: F.concat(F.lit('{"@type":' + json.dumps(t) + ',"@value":'), S.json_quote(x), F.lit("}")))
+                quote = S.json_quote if self._bare(d.datatype) else self._quoting(d.datatype)
                 if k == "text":
                     value = quote(c)
                 elif not d.datatype:

@@ -84,6 +84,8 @@ def read_rows(spark: SparkSession, rows: dict | Iterable[dict], columns: list[st
         if v is None or isinstance(kinds[name], T.ArrayType):
             return v
         if isinstance(kinds[name], T.StringType):
+            if v != v or v in ([], {}, ()):  # NaN and empty collections are missing values
+                return None
             return json.dumps(v) if isinstance(v, (dict, list)) else str(v)
         return float(v) if isinstance(kinds[name], T.DoubleType) else v
 
