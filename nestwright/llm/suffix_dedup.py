@@ -37,7 +37,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from nestwright.llm.text import _TABLE, U64, buffers, mix, powers, slices, span_hashes
-from nestwright.llm.work import Workspace, shuffle_width
+from nestwright.llm.work import Workspace, own_partition, shuffle_width
 
 #: Bytes of text whose runs are reported together and looked for together; contents of one k-gram that such a block may report, beyond which the
 #: k-gram is hot, as it is from HOT contents in all.
@@ -533,13 +533,15 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     source = docs.select(F.col(id_col).cast("long").alias("doc"), F.col(text_col).cast("string").alias("text"), F.shiftright(F.coalesce(F.xxhash64(F.col(text_col)), F.lit(0)), 32).cast("int").alias("tag"), row.alias("row"))
     ordered = source.where(f"doc is not null and octet_length(text) >= {length}").drop("row")
 
+    place = own_partition(spark, "dest", parts)
+
     def dealt(df: DataFrame) -> DataFrame:
-        return df.repartition(parts, "dest")
+        return df.repartition(parts, place)
 
     def beside(packed: DataFrame, rows: DataFrame) -> DataFrame:
         """Packed entries and texts of the same documents in one partition, entries first."""
-        place = F.coalesce(F.pmod("doc", F.lit(groups)), F.pmod("tag", F.lit(groups))).cast("int").alias("dest")
-        texts = rows.select(place, F.lit(3).alias("kind"), F.lit(None).cast("binary").alias("blob"), "doc", "tag", F.col("text").cast("binary").alias("text"), *(["row"] if "row" in rows.columns else []))
+        group = F.coalesce(F.pmod("doc", F.lit(groups)), F.pmod("tag", F.lit(groups))).cast("int").alias("dest")
+        texts = rows.select(group, F.lit(3).alias("kind"), F.lit(None).cast("binary").alias("blob"), "doc", "tag", F.col("text").cast("binary").alias("text"), *(["row"] if "row" in rows.columns else []))
         return dealt(packed.unionByName(texts, allowMissingColumns=True)).sortWithinPartitions("dest", "kind")
 
     found = work.table(dealt(ordered.mapInArrow(_find(length, k, parts, groups), _PACKED)).mapInArrow(_match(parts, groups), _PACKED), "found")
