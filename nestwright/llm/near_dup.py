@@ -10,8 +10,11 @@ aligned: longest common subsequence of words inside the diagonal band that the t
 divided by the longer text's words. Pairs that are connected already are not aligned again, so a bucket of n copies
 takes n-1 alignments. Classes are the connected components of the verified links.
 
-Buckets of more than ``bucket`` texts are dealt out as several blocks that share the bucket's smallest texts as
-pivots; each of the ``sketches`` tables deals differently.
+Buckets of more than ``bucket`` texts are dealt out as several blocks that share two pivots; each of the ``sketches``
+tables deals differently. Where such a bucket still holds several classes, a second pass looks for the links between
+them: two texts whose sets of k-word runs are alike to the threshold share a run among the first ones of each, in any
+fixed order, as many as the threshold lets differ plus one (prefix filter). The order puts runs that only one class
+holds first and common ones last, so most texts have nothing to compare.
 
 Rows with null ids take no part and get a null class. Texts without a word are their own class; rows with equal ids
 are taken as one document.
@@ -84,6 +87,23 @@ def _sketch(k: int, sketches: int, ell: int):
     return run
 
 
+def _distinct_runs(k: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for lo, hi in slices(batch.column(2), _BLOCK):
+                grams, at = shingles(*word_hashes(batch.column(2).slice(lo, hi - lo)), k)
+                doc = np.repeat(np.arange(hi - lo), np.diff(at))
+                order = np.lexsort((grams, doc))
+                grams, doc = grams[order], doc[order]
+                new = np.append(True, (grams[1:] != grams[:-1]) | (doc[1:] != doc[:-1]))[: len(grams)]
+                grams, doc = grams[new], doc[new]
+                size = np.bincount(doc, minlength=hi - lo)
+                rep, own = (batch.column(i).slice(lo, hi - lo).to_numpy() for i in range(2))
+                yield pa.RecordBatch.from_arrays([pa.array(x) for x in (rep[doc], own[doc], size[doc].astype(np.int64), grams.view(np.int64))], ["rep", "class", "size", "run"])
+
+    return run
+
+
 def _word_codes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for lo, hi in slices(batch.column(1), _BLOCK):
@@ -133,11 +153,12 @@ def similar(a: np.ndarray, b: np.ndarray, counts_a, counts_b, threshold: float)
 
 
 def _verify(threshold: float):
-    def links(rows: list[tuple[int, bytes]]):
-        rows = sorted(dict(rows).items())
-        texts = [np.frombuffer(w, "<u4") for _, w in rows]
+    def links(rows: list[tuple[int, int, bytes]]):
+        rows = sorted({r[0]: r for r in rows}.values())
+        texts = [np.frombuffer(r[2], "<u4") for r in rows]
         counts = [np.unique(t, return_counts=True) for t in texts]
-        root = list(range(len(rows)))
+        first: dict[int, int] = {}
+        root = [first.setdefault(r[1], i) for i, r in enumerate(rows)]  # what is one class already needs no link
 
         def find(i: int) -> int:
             while root[i] != i:
@@ -152,7 +173,7 @@ def _verify(threshold: float):
 
     def stream(batches: Iterator[pa.RecordBatch]):
         for batch in batches:
-            yield from zip(*(batch.column(i).to_pylist() for i in range(4)), strict=True)
+            yield from zip(*(batch.column(i).to_pylist() for i in range(5)), strict=True)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         out = []
@@ -187,9 +208,33 @@ def near_duplicate_classes(docs: DataFrame, id_col: str = "doc_id", text_col: st
     members = work.table(members.unionByName(pivots), "members")
 
     codes = source.where("doc is not null").mapInArrow(_word_codes, "rep long, words binary")
-    dealt = members.join(codes, "rep").select("key", "block", "rep", "words").repartition(shuffle_width(spark), "key", "block").sortWithinPartitions("key", "block")
-    links = dealt.mapInArrow(_verify(threshold), "a long, b long")
-    labels = connected_components(links, work)
+
+    def verified(members: DataFrame, of: str) -> DataFrame:
+        dealt = members.join(codes, "rep").select("key", "block", "rep", F.col(of).alias("class"), "words")
+        return dealt.repartition(shuffle_width(spark), "key", "block").sortWithinPartitions("key", "block").mapInArrow(_verify(threshold), "a long, b long")
+
+    labels = connected_components(verified(members, "rep"), work)
+
+    # classes that meet in a bucket which was dealt out
+    placed = members.join(buckets.where(F.col("n") > bucket).select("key"), "key").join(labels, F.col("rep") == F.col("node"), "left").select("key", "rep", F.coalesce("label", "rep").alias("class"))
+    placed = work.table(placed, "placed")
+    several = placed.groupBy("key").agg(F.min("class").alias("lo"), F.max("class").alias("hi")).where("lo <> hi").select("key")
+    pool = work.table(placed.join(several, "key").groupBy("rep").agg(F.min("class").alias("class")), "pool")
+    texts = pool.join(source, pool.rep == source.doc).select("rep", "class", "text")
+    runs = work.table(texts.mapInArrow(_distinct_runs(k), "rep long, class long, size long, run long").distinct(), "runs")
+    common = runs.groupBy("run").agg(F.count(F.lit(1)).alias("n"), F.min("class").alias("lo"), F.max("class").alias("hi")).where("lo <> hi").select("run", "n")
+    shared = runs.join(common, "run").groupBy("rep", "class", "size").agg(F.sort_array(F.collect_list(F.struct("n", "run"))).alias("shared"))
+    # of the runs in order, those up to the number that may differ and one more; runs of one class alone come first
+    leading = F.floor(F.col("size") - F.lit(threshold) * F.col("size") + F.lit(1e-9)) + 1 - (F.col("size") - F.size("shared"))
+    leading = work.table(shared.select("rep", "class", F.explode(F.slice("shared", 1, F.greatest(leading, F.lit(0)).cast("int"))).alias("at")).select("rep", "class", F.col("at.run").alias("key")), "leading")
+    meets = leading.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.bit_xor(F.xxhash64("rep")).alias("members"), F.min("class").alias("lo"), F.max("class").alias("hi"), F.min("rep").alias("pivot"), F.max("rep").alias("pivot2")).where("lo <> hi")
+    meets = work.table(meets.groupBy("members", "n", "lo", "hi").agg(F.min_by(F.struct("key", "pivot", "pivot2"), "key").alias("m")).select("n", "m.*"), "meets")
+    blocks = F.ceil(F.col("n") / bucket).cast("long")
+    again = leading.join(meets, "key").select("key", F.pmod(F.xxhash64("rep", "key"), blocks).alias("block"), "rep", "class")
+    pivots = meets.where(F.col("n") > bucket).select("key", F.explode(F.sequence(F.lit(0), blocks - 1)).alias("block"), F.explode(F.array("pivot", "pivot2")).alias("rep")).join(pool, "rep").select("key", "block", "rep", "class")
+    late = work.table(verified(work.table(again.unionByName(pivots), "again"), "class"), "late-links")
+    if late.limit(1).count():
+        labels = connected_components(late.unionByName(labels.select(F.col("node").alias("a"), F.col("label").alias("b"))), work, "late")
 
     classes = work.table(reps.join(labels, reps.rep == labels.node, "left").select("fp1", "fp2", "rep", F.coalesce("label", "rep").alias("class")), "classes")
     joined = rows.alias("r").join(classes.alias("c"), (F.col("r.fp1") == F.col("c.fp1")) & (F.col("r.fp2") == F.col("c.fp2")), "left")

@@ -110,6 +110,17 @@ def test_near_duplicate_classes(spark, corpus):
     assert [got[i] for i in range(len(corpus))] == root
 
 
+def test_near_duplicates_in_dealt_buckets(spark):
+    """Texts of one template share its buckets; pairs among them are found however the buckets are dealt."""
+    template, texts = prose(75, 70), []
+    for i in range(30):
+        own = [f"own{i}x{j}" for j in range(25)]
+        texts += [f"{template} {' '.join(own)}", f"{template} {' '.join(own[:-1])} other"]
+    df = frame(spark, texts)
+    got = {r.doc_id: r.class_id for r in near_dup.near_duplicate_classes(df, sketches=3, bucket=2).collect()}
+    assert got == {i: i - i % 2 for i in range(60)}
+
+
 def test_near_duplicates_edges(spark):
     t = prose(50, 5)
     df = frame(spark, [t, t, t, "", None], [4, None, 2, 8, 9])
