@@ -10,11 +10,11 @@ aligned: longest common subsequence of words inside the diagonal band that the t
 divided by the longer text's words. Pairs that are connected already are not aligned again, so a bucket of n copies
 takes n-1 alignments. Classes are the connected components of the verified links.
 
-Buckets of more than ``bucket`` texts are dealt out as several blocks that share two pivots; each of the ``sketches``
-tables deals differently. Where such a bucket still holds several classes, a second pass looks for the links between
-them: two texts whose sets of k-word runs are alike to the threshold share a run among the first ones of each, in any
-fixed order, as many as the threshold lets differ plus one (prefix filter). The order puts runs that only one class
-holds first and common ones last, so most texts have nothing to compare.
+Buckets of more than ``bucket`` texts are dealt out as several blocks that share two pivots, which makes one class of
+most copies. Where such a bucket still holds several classes, a second pass compares every pair of its texts that is
+in different classes: the bucket is cut into tiles of bounded size by length, and each two tiles whose lengths and
+classes leave something to find meet in a group of their own. Two bounds, which no similar pair fails, come before the
+alignment: common words, and common pairs of neighbouring words. So the size of a bucket decides the order of work only.
 
 Rows with null ids take no part and get a null class. Texts without a word are their own class; rows with equal ids
 are taken as one document.
@@ -27,7 +27,7 @@ from itertools import groupby
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from nestwright.llm.components import connected_components
@@ -35,6 +35,9 @@ from nestwright.llm.text import U64, mix, shingles, slices, span_hashes, word_ha
 from nestwright.llm.work import Workspace, shuffle_width
 
 _BLOCK = 1 << 20
+_TILE = 1 << 21  # words of a tile; a text counts for _HEAD more
+_HEAD = 192
+_BINS = 256, 512  # of words, of pairs of neighbouring words
 
 
 def order_min_hash(words: np.ndarray, offs: np.ndarray, k: int, sketches: int, ell: int) -> np.ndarray:
@@ -87,23 +90,6 @@ def _sketch(k: int, sketches: int, ell: int):
     return run
 
 
-def _distinct_runs(k: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for lo, hi in slices(batch.column(2), _BLOCK):
-                grams, at = shingles(*word_hashes(batch.column(2).slice(lo, hi - lo)), k)
-                doc = np.repeat(np.arange(hi - lo), np.diff(at))
-                order = np.lexsort((grams, doc))
-                grams, doc = grams[order], doc[order]
-                new = np.append(True, (grams[1:] != grams[:-1]) | (doc[1:] != doc[:-1]))[: len(grams)]
-                grams, doc = grams[new], doc[new]
-                size = np.bincount(doc, minlength=hi - lo)
-                rep, own = (batch.column(i).slice(lo, hi - lo).to_numpy() for i in range(2))
-                yield pa.RecordBatch.from_arrays([pa.array(x) for x in (rep[doc], own[doc], size[doc].astype(np.int64), grams.view(np.int64))], ["rep", "class", "size", "run"])
-
-    return run
-
-
 def _word_codes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for lo, hi in slices(batch.column(1), _BLOCK):
@@ -153,12 +139,11 @@ def similar(a: np.ndarray, b: np.ndarray, counts_a, counts_b, threshold: float)
 
 
 def _verify(threshold: float):
-    def links(rows: list[tuple[int, int, bytes]]):
+    def links(rows: list[tuple[int, bytes]]):
         rows = sorted({r[0]: r for r in rows}.values())
-        texts = [np.frombuffer(r[2], "<u4") for r in rows]
+        texts = [np.frombuffer(r[1], "<u4") for r in rows]
         counts = [np.unique(t, return_counts=True) for t in texts]
-        first: dict[int, int] = {}
-        root = [first.setdefault(r[1], i) for i, r in enumerate(rows)]  # what is one class already needs no link
+        root = list(range(len(rows)))
 
         def find(i: int) -> int:
             while root[i] != i:
@@ -173,7 +158,7 @@ def _verify(threshold: float):
 
     def stream(batches: Iterator[pa.RecordBatch]):
         for batch in batches:
-            yield from zip(*(batch.column(i).to_pylist() for i in range(5)), strict=True)
+            yield from zip(*(batch.column(i).to_pylist() for i in range(4)), strict=True)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         out = []
@@ -188,51 +173,125 @@ def _verify(threshold: float):
     return run
 
 
-def near_duplicate_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 5, threshold: float = 0.8, sketches: int = 20, ell: int = 2, bucket: int = 96) -> DataFrame:
+def _binned(texts: list[np.ndarray], bins: int) -> np.ndarray:
+    """Counts of the texts' items by bin, in the smallest type that holds them."""
+    out = np.zeros((len(texts), bins), np.uint32)
+    for row, t in zip(out, texts, strict=True):
+        row += np.bincount(t % bins, minlength=bins).astype(np.uint32)
+    return out.astype(np.min_scalar_type(int(out.max(initial=0))))
+
+
+def _pairs_of_words(t: np.ndarray) -> np.ndarray:
+    return ((mix(t[:-1].astype(U64)) + t[1:]) * U64(0x9E3779B97F4A7C15)) >> U64(40)
+
+
+def _common(bins: np.ndarray, i: int, others: np.ndarray) -> np.ndarray:
+    """At least the number of items that text i has in common with each of the others."""
+    out = [np.minimum(bins[others[k : k + 2048]], bins[i]).sum(1, dtype=np.int64) for k in range(0, len(others), 2048)]
+    return np.concatenate(out) if out else np.zeros(0, np.int64)
+
+
+def links_between(rows: list[tuple[int, int, int, bytes]], threshold: float) -> Iterator[tuple[int, int]]:
+    """Links that join the classes of two tiles, or of one: rows of (side, text, class, words).
+
+    Every pair of different classes, from different sides if there are two, is aligned unless a bound rules it out. A
+    common subsequence of c words leaves at least 3c - 1 - both lengths pairs of neighbouring words in common.
+    """
+    rows = sorted(rows, key=lambda r: (len(r[3]), r[1]))
+    texts = [np.frombuffer(r[3], "<u4") for r in rows]
+    sizes = np.array([len(t) for t in texts])
+    side, root = np.array([r[0] for r in rows]), np.unique([r[2] for r in rows], return_inverse=True)[1]
+    both = side.min() != side.max()
+    words, pairs = _binned(texts, _BINS[0]), _binned([_pairs_of_words(t) for t in texts], _BINS[1])
+    counts: dict[int, tuple] = {}
+    for i in range(1, len(rows)):
+        need = int(np.ceil(threshold * sizes[i] - 1e-9))
+        other = np.arange(np.searchsorted(sizes[:i], need), i)
+        other = other[root[other] != root[i]]
+        if both:
+            other = other[side[other] != side[i]]
+        other = other[_common(words, i, other) >= need]
+        other = other[_common(pairs, i, other) >= 3 * need - 1 - sizes[i] - sizes[other]]
+        for j in other.tolist():
+            if root[i] != root[j]:
+                for x in (i, j):
+                    if x not in counts:
+                        counts[x] = np.unique(texts[x], return_counts=True)
+                if similar(texts[i], texts[j], counts[i], counts[j], threshold):
+                    root[root == root[i]] = root[j]
+                    yield rows[j][1], rows[i][1]
+
+
+def _meet(threshold: float):
+    def stream(batches: Iterator[pa.RecordBatch]):
+        for batch in batches:
+            yield from zip(*(batch.column(i).to_pylist() for i in range(5)), strict=True)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for _, group in groupby(stream(batches), key=lambda r: r[0]):
+            if out := list(links_between(list({r[2]: r[1:] for r in group}.values()), threshold)):
+                yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*out, strict=True)], ["a", "b"])
+
+    return run
+
+
+def tiles_that_meet(placed: DataFrame, work: Workspace, threshold: float, bucket: int, tile: int) -> DataFrame:
+    """(pair, side, rep, class) from the (key, rep, class, n_words) of buckets: tiles of a bucket, two and two.
+
+    Classes of more than ``bucket`` texts in a bucket have tiles of their own, which do not meet each other.
+    """
+    own = F.when(F.count(F.lit(1)).over(Window.partitionBy("key", "class")) > bucket, F.col("class").cast("string"))
+    placed = placed.withColumn("own", F.coalesce(own, F.lit("-")))
+    weight = F.col("n_words") + _HEAD
+    before = F.sum(weight).over(Window.partitionBy("key", "own").orderBy("n_words", "rep")) - weight
+    placed = work.table(placed.withColumn("number", F.floor(before / tile)), "tiled")
+    tiles = placed.groupBy("key", "own", "number").agg(F.min("n_words").alias("shortest"), F.max("n_words").alias("longest"), F.min("class").alias("lo"), F.max("class").alias("hi"))
+    tiles = work.table(tiles.withColumn("tile", F.monotonically_increasing_id()), "tiles")
+    a, b = tiles.alias("a"), tiles.alias("b")
+    once = F.struct("a.shortest", "a.tile") <= F.struct("b.shortest", "b.tile")
+    near = F.col("a.longest") >= F.col("b.shortest") * threshold - 1e-9
+    differ = F.least("a.lo", "b.lo") < F.greatest("a.hi", "b.hi")
+    pairs = a.join(b, (F.col("a.key") == F.col("b.key")) & once & near & differ).select(F.col("a.tile").alias("t0"), F.col("b.tile").alias("t1"))
+    pairs = work.table(pairs.withColumn("pair", F.monotonically_increasing_id()), "pairs")
+    sides = pairs.select("pair", F.explode(F.array_distinct(F.array("t0", "t1"))).alias("tile"), "t1").select("pair", "tile", (F.col("tile") == F.col("t1")).cast("int").alias("side"))
+    numbered = placed.join(tiles.select("key", "own", "number", "tile"), ["key", "own", "number"])
+    return numbered.join(sides, "tile").select("pair", "side", "rep", "class")
+
+
+def near_duplicate_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 5, threshold: float = 0.8, sketches: int = 20, ell: int = 2, bucket: int = 96, tile: int = _TILE) -> DataFrame:
     """One row per input row: the id, ``class_id`` (smallest id of its class) and ``copy_of`` (smallest id with the same words)."""
     spark = docs.sparkSession
     work = Workspace(spark, "omh")
     source = docs.select(F.col(id_col).cast("long").alias("doc"), F.col(text_col).cast("string").alias("text"))
     rows = work.table(source.mapInArrow(_sketch(k, sketches, ell), "doc long, fp1 long, fp2 long, n_words long, keys array<long>"), "sketches")
     taking_part = rows.where("n_words > 0 and doc is not null")
-    reps = work.table(taking_part.groupBy("fp1", "fp2").agg(F.min_by("keys", "doc").alias("keys"), F.min("doc").alias("rep")), "representatives")
+    reps = work.table(taking_part.groupBy("fp1", "fp2").agg(F.min_by("keys", "doc").alias("keys"), F.min("n_words").alias("n_words"), F.min("doc").alias("rep")), "representatives")
 
     entries = reps.select("rep", F.explode("keys").alias("key"))
     buckets = entries.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("rep").alias("pivot"), F.max("rep").alias("pivot2"), F.bit_xor(F.xxhash64("rep")).alias("members")).where("n > 1")
     # buckets with the same members, found by several sketches, are looked at once
     small = buckets.where(F.col("n") <= bucket).groupBy("members", "n").agg(F.min("key").alias("key"), F.min("pivot").alias("pivot"), F.min("pivot2").alias("pivot2"))
-    buckets = work.table(small.select("key", "n", "pivot", "pivot2").unionByName(buckets.where(F.col("n") > bucket).select("key", "n", "pivot", "pivot2")), "buckets")
+    columns = ["key", "n", "pivot", "pivot2", "members"]
+    buckets = work.table(small.select(*columns).unionByName(buckets.where(F.col("n") > bucket).select(*columns)), "buckets")
     blocks = F.ceil(F.col("n") / bucket).cast("long")
-    members = entries.join(buckets, "key").select("key", F.pmod(F.xxhash64("rep", "key"), blocks).alias("block"), "rep")
+    members = entries.join(buckets.drop("members"), "key").select("key", F.pmod(F.xxhash64("rep", "key"), blocks).alias("block"), "rep")
     pivots = buckets.where(F.col("n") > bucket).select("key", F.explode(F.sequence(F.lit(0), blocks - 1)).alias("block"), F.explode(F.array("pivot", "pivot2")).alias("rep"))
     members = work.table(members.unionByName(pivots), "members")
 
     codes = source.where("doc is not null").mapInArrow(_word_codes, "rep long, words binary")
 
-    def verified(members: DataFrame, of: str) -> DataFrame:
-        dealt = members.join(codes, "rep").select("key", "block", "rep", F.col(of).alias("class"), "words")
-        return dealt.repartition(shuffle_width(spark), "key", "block").sortWithinPartitions("key", "block").mapInArrow(_verify(threshold), "a long, b long")
-
-    labels = connected_components(verified(members, "rep"), work)
+    dealt = members.join(codes, "rep").select("key", "block", "rep", "words")
+    links = dealt.repartition(shuffle_width(spark), "key", "block").sortWithinPartitions("key", "block").mapInArrow(_verify(threshold), "a long, b long")
+    labels = connected_components(links, work)
 
-    # classes that meet in a bucket which was dealt out
-    placed = members.join(buckets.where(F.col("n") > bucket).select("key"), "key").join(labels, F.col("rep") == F.col("node"), "left").select("key", "rep", F.coalesce("label", "rep").alias("class"))
+    # classes that meet in a bucket which was dealt out; of buckets with the same members one is looked at
+    large = buckets.where(F.col("n") > bucket).groupBy("members", "n").agg(F.min("key").alias("key"))
+    placed = members.join(large.select("key"), "key").select("key", "rep").distinct().join(labels, F.col("rep") == F.col("node"), "left").select("key", "rep", F.coalesce("label", "rep").alias("class"))
     placed = work.table(placed, "placed")
     several = placed.groupBy("key").agg(F.min("class").alias("lo"), F.max("class").alias("hi")).where("lo <> hi").select("key")
-    pool = work.table(placed.join(several, "key").groupBy("rep").agg(F.min("class").alias("class")), "pool")
-    texts = pool.join(source, pool.rep == source.doc).select("rep", "class", "text")
-    runs = work.table(texts.mapInArrow(_distinct_runs(k), "rep long, class long, size long, run long").distinct(), "runs")
-    common = runs.groupBy("run").agg(F.count(F.lit(1)).alias("n"), F.min("class").alias("lo"), F.max("class").alias("hi")).where("lo <> hi").select("run", "n")
-    shared = runs.join(common, "run").groupBy("rep", "class", "size").agg(F.sort_array(F.collect_list(F.struct("n", "run"))).alias("shared"))
-    # of the runs in order, those up to the number that may differ and one more; runs of one class alone come first
-    leading = F.floor(F.col("size") - F.lit(threshold) * F.col("size") + F.lit(1e-9)) + 1 - (F.col("size") - F.size("shared"))
-    leading = work.table(shared.select("rep", "class", F.explode(F.slice("shared", 1, F.greatest(leading, F.lit(0)).cast("int"))).alias("at")).select("rep", "class", F.col("at.run").alias("key")), "leading")
-    meets = leading.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.bit_xor(F.xxhash64("rep")).alias("members"), F.min("class").alias("lo"), F.max("class").alias("hi"), F.min("rep").alias("pivot"), F.max("rep").alias("pivot2")).where("lo <> hi")
-    meets = work.table(meets.groupBy("members", "n", "lo", "hi").agg(F.min_by(F.struct("key", "pivot", "pivot2"), "key").alias("m")).select("n", "m.*"), "meets")
-    blocks = F.ceil(F.col("n") / bucket).cast("long")
-    again = leading.join(meets, "key").select("key", F.pmod(F.xxhash64("rep", "key"), blocks).alias("block"), "rep", "class")
-    pivots = meets.where(F.col("n") > bucket).select("key", F.explode(F.sequence(F.lit(0), blocks - 1)).alias("block"), F.explode(F.array("pivot", "pivot2")).alias("rep")).join(pool, "rep").select("key", "block", "rep", "class")
-    late = work.table(verified(work.table(again.unionByName(pivots), "again"), "class"), "late-links")
+    placed = placed.join(several, "key").join(reps.select("rep", "n_words"), "rep")
+    meets = tiles_that_meet(placed, work, threshold, bucket, tile).join(codes, "rep").select("pair", "side", "rep", "class", "words")
+    late = work.table(meets.repartition(shuffle_width(spark), "pair").sortWithinPartitions("pair").mapInArrow(_meet(threshold), "a long, b long"), "late-links")
     if late.limit(1).count():
         labels = connected_components(late.unionByName(labels.select(F.col("node").alias("a"), F.col("label").alias("b"))), work, "late")
 

@@ -121,6 +121,35 @@ def test_near_duplicates_in_dealt_buckets(spark):
     assert got == {i: i - i % 2 for i in range(60)}
 
 
+def test_near_duplicates_of_low_jaccard_in_large_buckets(spark):
+    """Every pair of classes in a large bucket is compared: scattered edits leave few common runs but align to 0.8."""
+    template, texts = prose(60, 71).split(), []
+    for i in range(40):
+        own = [f"own{i}x{j}" for j in range(60)]
+        other = [w if j % 9 else f"new{i}x{j}" for j, w in enumerate(own)]
+        texts += [" ".join(template + own), " ".join(template + other)]
+    got = {r.doc_id: r.class_id for r in near_dup.near_duplicate_classes(frame(spark, texts), bucket=2, tile=4000).collect()}
+    assert got == {i: i - i % 2 for i in range(80)}
+
+
+def test_links_between_tiles():
+    texts = [" ".join(prose(12, i).split()[:6] * 2 + prose(r, i + r).split()) for i in range(30) for r in (3, 4)]
+    codes = [np.array([zlib.crc32(w.encode()) for w in t.split()], "<u4") for t in texts]
+    rows = [(i % 2, i, i // 4, c.tobytes()) for i, c in enumerate(codes)]
+    for sides in (rows, [(0, *r[1:]) for r in rows]):
+        root = [r[2] for r in rows]
+        for i in range(len(rows)):
+            for j in range(i):
+                n = max(len(codes[i]), len(codes[j]))
+                if (sides[i][0] != sides[j][0] or sides is not rows) and lcs(codes[i].tolist(), codes[j].tolist()) >= 0.6 * n:
+                    root = [root[j] if x == root[i] else x for x in root]
+        mine = [r[2] for r in rows]
+        for a, b in near_dup.links_between(sides, 0.6):
+            assert mine[a] != mine[b]
+            mine = [mine[b] if x == mine[a] else x for x in mine]
+        assert len(set(zip(root, mine))) == len(set(root)) == len(set(mine))
+
+
 def test_near_duplicates_edges(spark):
     t = prose(50, 5)
     df = frame(spark, [t, t, t, "", None], [4, None, 2, 8, 9])
