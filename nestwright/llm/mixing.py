@@ -5,9 +5,10 @@ source with weight w may be released at slot floor(k / w) and must run before sl
 the released block of earliest deadline. On one processor that schedule always exists and keeps every source less than
 one block from weight * slots at every moment, in both directions.
 
-Weights are taken as whole numbers out of ``period``, so the schedule repeats after ``period`` slots. One period is
-simulated; any block's slot then follows from its number by arithmetic, so no task walks the corpus. When a source
-runs out, a new phase begins with the rest at their relative weights: every document is placed, none is repeated.
+Weights are exact fractions, never rounded to a period, so the bound holds at any number of slots. One task works the
+schedule out slot by slot and streams it to a table of (source, block, slot), one row for every ``block`` documents;
+its memory grows with the number of sources alone. When a source runs out, a new phase begins with the rest at their
+relative weights: every document is placed, none is repeated, and no slot stays empty.
 
 A document's number in its source comes from counts by (source, bucket of its random key) and a rank inside the
 bucket; buckets hold a bounded number of rows however large a source is. Null sources count as one source (written
@@ -17,12 +18,17 @@ null). Rows with equal ids are placed one by one.
 from __future__ import annotations
 
 import heapq
-import json
 import math
+from collections.abc import Iterator
+from fractions import Fraction
+from itertools import islice
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from nestwright.llm.work import Workspace
+
 
 def whole_weights(weights: dict, period: int) -> dict:
     """Positive whole weights that sum to ``period``, by largest remainders; each source gets at least 1."""
@@ -40,59 +46,59 @@ def whole_weights(weights: dict, period: int) -> dict:
     return out
 
 
-def pfair_period(whole: dict) -> list:
-    """Source of each slot of one period: among released blocks, the earliest deadline runs; ties by name."""
+def exact_weights(weights: dict) -> dict:
+    """Whole weights in exactly the proportions of ``weights``."""
+    if not weights or any(not math.isfinite(w) or w <= 0 for w in weights.values()):
+        raise ValueError("weights are positive finite numbers")
+    parts = {s: Fraction(w) for s, w in weights.items()}
+    scale = math.lcm(*(w.denominator for w in parts.values()))
+    return {s: int(w * scale) for s, w in parts.items()}
+
+
+def pfair(whole: dict) -> Iterator:
+    """Source of each slot, without end: among released blocks, the earliest deadline runs; ties by name."""
     period = sum(whole.values())
-    released = [[] for _ in range(period)]
     names = sorted(whole, key=str)
-    for i, s in enumerate(names):
-        released[0].append((-(-period // whole[s]), i, 0))
-    ready: list[tuple[int, int, int]] = []
-    slots = []
-    for now in range(period):
-        for x in released[now]:
-            heapq.heappush(ready, x)
+    ready = [(-(-period // whole[s]), i, 0) for i, s in enumerate(names)]
+    heapq.heapify(ready)
+    later: list[tuple[int, int, int, int]] = []
+    now = 0
+    while True:
+        while later and later[0][0] <= now:
+            heapq.heappush(ready, heapq.heappop(later)[1:])
         deadline, i, k = heapq.heappop(ready)
         if deadline <= now:
             raise AssertionError("a deadline was missed")
-        slots.append(names[i])
+        yield names[i]
         a = whole[names[i]]
-        if k + 1 < a:
-            x = (-(-(k + 2) * period // a), i, k + 1)
-            release = (k + 1) * period // a
-            if release <= now:
-                heapq.heappush(ready, x)
-            else:
-                released[release].append(x)
-    return slots
-
-
-def phases(blocks: dict, weights: dict, period: int) -> list[dict]:
-    """Phases of the schedule: first block of each source, first slot, slots of a period by source."""
-    left, done, slot, out = dict(blocks), dict.fromkeys(blocks, 0), 0, []
-    while active := {s: weights[s] for s in left if left[s] > 0}:
-        whole = whole_weights(active, max(period, 1 << (len(active) * 8 - 1).bit_length()))
-        rounds = min(-(-left[s] // whole[s]) for s in active)
-        slots = pfair_period(whole)
-        where = {s: [] for s in active}
-        for t, s in enumerate(slots):
-            where[s].append(t)
-        out.append({"slot": slot, "length": len(slots), "first": {s: done[s] for s in active}, "where": where})
-        for s in active:
-            n = min(left[s], rounds * whole[s])
-            left[s] -= n
-            done[s] += n
-        slot += rounds * len(slots)
-    return out
+        heapq.heappush(later, ((k + 1) * period // a, -(-(k + 2) * period // a), i, k + 1))
+        now += 1
+
+
+def pfair_period(whole: dict) -> list:
+    """Source of each slot of one period."""
+    return list(islice(pfair(whole), sum(whole.values())))
+
+
+def schedule(blocks: dict, weights: dict) -> Iterator[tuple]:
+    """(source, block, slot) of all blocks; a phase ends where a source runs out."""
+    done, slot = dict.fromkeys(blocks, 0), 0
+    while active := {s: weights[s] for s in blocks if done[s] < blocks[s]}:
+        for s in pfair(exact_weights(active)):
+            yield s, done[s], slot
+            done[s] += 1
+            slot += 1
+            if done[s] == blocks[s]:
+                break
 
 
 def mix(docs: DataFrame, source_col: str = "source", key_cols: tuple[str, ...] = ("doc_id",), weights: dict | None = None, exponent: float = 0.5, block: int = 16, period: int = 1024, seed: int = 7, bucket_rows: int = 256, keep: tuple[str, ...] | None = None) -> DataFrame:
     """``docs`` (or the columns ``keep``) with ``mix_block``, ``mix_slot`` and ``mix_position``.
 
     ``weights``: target weight by source, null's under None; without it a source's weight is its number of documents to
-    the power ``exponent``, from counts over all rows. ``mix_slot`` orders the blocks (slots left by a source that ran
-    out stay unused) and ``mix_position`` is slot * block + place in the block.
-    The driver holds one number a source and one period a phase, whatever the number of rows.
+    the power ``exponent``, from counts over all rows. ``mix_slot`` orders the blocks and ``mix_position`` is
+    slot * block + place in the block. ``period`` is the number of slots written at once; results do not depend on it.
+    The driver holds one number a source, whatever the number of rows.
     """
     spark = docs.sparkSession
     columns = list(keep or docs.columns)
@@ -104,35 +110,35 @@ def mix(docs: DataFrame, source_col: str = "source", key_cols: tuple[str, ...] =
     if missing := [s for s in totals if s not in target]:
         raise ValueError(f"no weight for sources {missing[:5]}")
     buckets = max(1, min(1 << 15, -(-max(totals.values()) // bucket_rows)))
-    plan = phases({s: -(-n // block) for s, n in totals.items()}, target, period)
-
-    # a row for each source and phase: blocks from "from" on run in this phase
-    turns = [(s is None, s or "", int(first), p["slot"], p["length"], w) for p in plan for s, first in p["first"].items() for w in [p["where"][s]]]
-    by_source: dict = {}
-    for null, s, *turn in turns:
-        by_source.setdefault(("-" if null else "+") + s, []).append(turn)
-    # of each phase of a source: first block, first slot, slots of a period, the source's slots among them
-    schema = "map<string,array<struct<first:bigint,slot:bigint,length:bigint,places:array<bigint>>>>"
-    as_json = json.dumps({s: [dict(zip(("first", "slot", "length", "places"), t, strict=True)) for t in ts] for s, ts in by_source.items()})
-    cells = sum(len(t[3]) for ts in by_source.values() for t in ts)
-    table = spark.createDataFrame([(as_json,)], "j string").select(F.explode(F.from_json("j", schema)).alias("_mix_name", "_mix_turns"))
+    called = {s: "-" if s is None else f"+{s}" for s in totals}
+    blocks = {called[s]: -(-n // block) for s, n in totals.items()}
+    weight = {called[s]: target[s] for s in totals}
+    exact_weights(weight)  # bad weights are told here
+
+    def slots(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for _ in range(batch.num_rows):
+                rows = schedule(blocks, weight)
+                while part := list(islice(rows, max(1, period))):
+                    yield pa.RecordBatch.from_arrays([pa.array(x, kind) for x, kind in zip(zip(*part, strict=True), (pa.string(), pa.int64(), pa.int64()), strict=True)], ["s", "k", "slot"])
+
+    table = Workspace(spark, "mix").table(spark.range(0, 1, 1, 1).mapInArrow(slots, "s string, k long, slot long"), "slots")
 
     name = F.when(F.col(source_col).isNull(), "-").otherwise(F.concat(F.lit("+"), F.col(source_col).cast("string")))
     rows = docs.select(*columns, name.alias("_mix_source"), key.alias("_mix_key"))
     rows = rows.withColumn("_mix_bucket", F.floor((F.shiftrightunsigned("_mix_key", 32)) * buckets / F.lit(1 << 32)).cast("long"))
     counts = docs.select(name.alias("s"), F.floor((F.shiftrightunsigned(key, 32)) * buckets / F.lit(1 << 32)).cast("long").alias("b")).groupBy("s", "b").agg(F.count(F.lit(1)).alias("n"))
-    before = counts.select(F.col("s").alias("_mix_source"), F.col("b").alias("_mix_bucket"), (F.sum("n").over(Window.partitionBy("s").orderBy("b")) - F.col("n")).alias("_mix_before"))
+    before = counts.select("s", "b", "n", (F.sum("n").over(Window.partitionBy("s").orderBy("b")) - F.col("n")).alias("before"))
+    # the blocks that a bucket's rows are in, with their slots
+    first = F.floor(F.col("before") / block)
+    spread = before.select("s", "b", "before", F.explode(F.sequence(first, F.floor((F.col("before") + F.col("n") - 1) / block))).alias("k"))
+    before = spread.join(table, ["s", "k"]).groupBy(F.col("s").alias("_mix_source"), F.col("b").alias("_mix_bucket")).agg(F.first("before").alias("_mix_before"), F.sort_array(F.collect_list(F.struct("k", "slot"))).alias("_mix_slots"))
     ranked = rows.withColumn("_mix_rank", F.row_number().over(Window.partitionBy("_mix_source", "_mix_bucket").orderBy("_mix_key")) - 1)
-    if cells <= 1_000_000:  # 8 MB of slots; beyond that Spark chooses by size
-        table = F.broadcast(table)
-    placed = ranked.join(before, ["_mix_source", "_mix_bucket"]).join(table, F.col("_mix_source") == F.col("_mix_name"))
+    placed = ranked.join(before, ["_mix_source", "_mix_bucket"])
     number = F.col("_mix_before") + F.col("_mix_rank")
     placed = placed.withColumn("mix_block", F.floor(number / block).cast("long")).withColumn("_mix_place", F.pmod(number, F.lit(block)))
-    placed = placed.withColumn("_mix_turn", F.element_at(F.filter("_mix_turns", lambda t: t["first"] <= F.col("mix_block")), -1))
-    inside = F.col("mix_block") - F.col("_mix_turn.first")
-    size = F.size("_mix_turn.places").cast("long")
-    slot = F.col("_mix_turn.slot") + F.floor(inside / size) * F.col("_mix_turn.length") + F.get(F.col("_mix_turn.places"), F.pmod(inside, size).cast("int"))
-    placed = placed.withColumn("mix_slot", slot.cast("long"))
+    inside = (F.col("mix_block") - F.get("_mix_slots", F.lit(0))["k"]).cast("int")
+    placed = placed.withColumn("mix_slot", F.get("_mix_slots", inside)["slot"])
     return placed.select(*columns, "mix_block", "mix_slot", (F.col("mix_slot") * block + F.col("_mix_place")).cast("long").alias("mix_position"))
 
 

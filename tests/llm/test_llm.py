@@ -186,6 +186,29 @@ def test_mixing_places_every_row_once(spark):
         mixing.mix(df, weights={"big": 1})
 
 
+def test_mixing_keeps_to_the_target_weights_over_many_periods(spark):
+    """Less than one block from the weights that were asked for, not from weights rounded to a period."""
+    n = 20
+    df = spark.range(n * 300).select(F.col("id").alias("doc_id"), F.concat(F.lit("s"), F.col("id") % n).alias("source"))
+    got = mixing.mix(df, weights={f"s{i}": 1 for i in range(n)}, block=1).select("source", "mix_slot").toPandas()
+    done = dict.fromkeys(got.source, 0)
+    slots = got.sort_values("mix_slot").source.tolist()
+    assert got.mix_slot.is_unique and len(slots) == n * 300
+    for t, s in enumerate(slots, 1):
+        done[s] += 1
+        assert all(abs(x * n - t) < n for x in done.values())
+    for seed in range(4):
+        weights = {i: random.Random(seed * 99 + i).random() ** 2 + 1e-4 for i in range(30)}
+        whole, done = mixing.exact_weights(weights), dict.fromkeys(weights, 0)
+        total = sum(whole.values())
+        for t, (s, k, slot) in enumerate(mixing.schedule(dict.fromkeys(weights, 10**9), weights), 1):
+            assert (k, slot) == (done[s], t - 1)
+            done[s] += 1
+            assert all(abs(done[x] * total - t * whole[x]) < total for x in weights)
+            if t == 5000:
+                break
+
+
 # ---- 9: packing ----------------------------------------------------------------------------------------------------
 def test_packing(spark):
     from tokenizers import Tokenizer
