@@ -40,8 +40,10 @@ def convert(args) -> int:
 
 
 def validate(args) -> int:
-    p = Pipeline(_source(args), _spec(args), allowed=Registry(*args.shapes_dir).get(args.shape).shapes().allowed_values() if args.shacl else None)
-    table, issues = p.validate(args.mode, args.sample_rate)
+    folder = Registry(*args.shapes_dir).get(args.shape) if args.shacl else None
+    shapes, names = (folder.shapes(), context_names(folder.context)) if folder else (None, None)
+    p = Pipeline(_source(args), _spec(args), allowed=shapes.allowed_values() if shapes else None)
+    table, issues = p.validate(args.mode, args.sample_rate, shacl=shapes, names=names)
     facts = table.head().asDict()
     if args.report_path:
         if args.report_format in ("json", "html"):

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from nestwright.errors import MappingError
 from nestwright.operators import quality
+from nestwright.operators.shapes import Shapes, compile_constraints
 from nestwright.plans.compiler import RELATED, Compiled, _column, compile_mapping
 from nestwright.plans.spec import MappingSpec, with_overrides
 from nestwright.sinks import docstore, files
@@ -87,13 +88,31 @@ class Pipeline:
     def warnings(self) -> DataFrame:
         return self.compiled.select(self.source, "id", "warnings").where(F.size("warnings") > 0)
 
-    def validate(self, mode: str = "report", sample_rate: float = 0.1, seed: int = 0) -> tuple[DataFrame, DataFrame]:
-        """(summary, issues). ``sample`` checks a random share; ``strict`` raises at the first issue."""
-        rows = quality.sample(self.source, sample_rate, seed) if mode == "sample" else self.source
-        checked = quality.compile_rules(self.spec, self.source.schema, self.allowed).check(rows)
+    def validate(self, mode: str = "report", sample_rate: float = 0.1, seed: int = 0, shacl: Shapes | None = None, names: dict[str, str] | None = None) -> tuple[DataFrame, DataFrame]:
+        """(summary, issues). Row checks see every row in every mode; ``strict`` raises at the first issue.
+
+        With ``shacl``, and when no row check found an error, the documents built are checked against its constraints
+        in a second phase; ``sample`` checks a random share of them there. ``names`` are a context's, by IRI. The summary
+        counts source rows once, and the issues of both phases.
+        """
+        checked = quality.compile_rules(self.spec, self.source.schema, self.allowed).check(self.source)
         if mode == "strict":
             quality.first_strict(checked)
-        return quality.summary(checked), quality.issue_table(checked)
+        table, issues = quality.summary(checked), quality.issue_table(checked)
+        if shacl is None or not table.head().conforms:
+            return table, issues
+        rows = quality.sample(self.source, sample_rate, seed) if mode == "sample" else self.source
+        # a row without a document is an issue of its own
+        none = F.expr(f"cast(array() as array<{quality.ISSUE}>)")
+        unbuilt = F.struct(F.lit("@id").alias("property_path"), F.lit("error").alias("severity"), F.col("_error").alias("message"), F.lit("a document").alias("expected"), F.lit("").alias("actual"))
+        built = self.compiled.prepare(rows).select(self.compiled.id.alias("record_id"), self.compiled.error.alias("_error"), self.compiled.document.alias("_document"))
+        found = F.when(F.col("_error").isNotNull(), F.array(unbuilt)).otherwise(F.coalesce(compile_constraints(shacl, self.spec, F.col("_document"), names), none))
+        judged = built.select(F.coalesce("record_id", F.lit("None")).alias("record_id"), found.alias("issues")).withColumn("conforms", ~F.exists("issues", lambda i: i["severity"] == "error"))
+        if mode == "strict":
+            quality.first_strict(judged)
+        second = quality.summary(judged).select(*(F.col(c).alias(f"_{c}") for c in ("error_count", "warning_count", "failed_records")))
+        both = table.crossJoin(second).select("total_records", *((F.col(c) + F.col(f"_{c}")).alias(c) for c in ("error_count", "warning_count", "failed_records")))
+        return both.withColumn("conforms", F.col("error_count") == 0), issues.unionByName(quality.issue_table(judged))
 
     # ---- actions ------------------------------------------------------------------------------------------------
     def _settle(self) -> tuple[int, int]:

@@ -212,6 +212,31 @@ def test_command_line(spark, tmp_path, capsys):
     assert main(["convert", *base[:3], "nothing", *base[4:], "-o", "x"]) == 2
 
 
+def test_validation_in_two_phases(spark, tmp_path):
+    rows = [{"id": str(i), "day": None, "name": "ann"} for i in range(40)]
+    bad = read_rows(spark, [*rows, {"id": "x", "day": None, "name": None}])
+    for seed in range(3):  # row checks are never sampled
+        table, issues = Pipeline(bad, parse(SPEC)).validate("sample", 0.05, seed)
+        assert table.head().asDict() == {"total_records": 41, "error_count": 1, "warning_count": 0, "failed_records": 1, "conforms": False}
+        assert [r.record_id for r in issues.collect()] == ["x"]
+    shapes = Shapes(TTL)
+    zoe = Pipeline(read_rows(spark, [{**r, "name": "zoe"} for r in rows]), parse(SPEC))
+    assert zoe.validate()[0].head().conforms
+    table, issues = zoe.validate(shacl=shapes)
+    assert (table.head().total_records, table.head().error_count, table.head().conforms, issues.count()) == (40, 40, False, 40)
+    assert zoe.validate("sample", 0.1, shacl=shapes)[0].head().error_count == 4
+    with pytest.raises(QualityError):
+        zoe.validate("strict", shacl=shapes)
+    assert Pipeline(read_rows(spark, rows), parse(SPEC)).validate(shacl=shapes)[0].head().conforms
+    d = tmp_path / "thing"
+    d.mkdir()
+    (d / "thing_mapping.yaml").write_text(json.dumps(SPEC))
+    (d / "thing_SHACL.ttl").write_text(TTL.replace("sh:path ex:day ; sh:datatype xsd:date", "sh:path ex:day ; sh:minCount 1 ; sh:datatype xsd:date"))
+    (tmp_path / "in.csv").write_text("id,day,name\n1,2024-01-02,ann\n2,,bob\n")
+    base = ["validate", "--shapes-dir", str(tmp_path), "-s", "thing", "-i", str(tmp_path / "in.csv")]
+    assert main(base) == 0 and main([*base, "--shacl"]) == 1
+
+
 def test_logs_hide_personal_data():
     assert scrub({"ssn": "1", "note": ["a@b.org", {"FirstName": "x"}]}) == {"ssn": "***REDACTED***", "note": ["***REDACTED***", {"FirstName": "***REDACTED***"}]}
 
