@@ -97,11 +97,12 @@ def train(spark: SparkSession, ordinary: list[str], buckets: int = 1 << 14) -> d
     families = [UNKNOWN, *TEMPLATES]
     known = [t for ts in TEMPLATES.values() for t in ts]
     vocabulary = {g for t in known for g in _grams(_words(t))}
+    # sampled lines that hold notices are no everyday text, or their words would count as everyday ones below
+    ordinary = [t for t in ordinary if not any(g in vocabulary for g in _grams(_words(t)) if g.count(" ") == 2)]
     common = {w for t in ordinary for w in _words(t)}
     vocabulary = {g for g in vocabulary if set(g.split(" ")) - common}  # an n-gram of everyday words alone tells nothing
-    plain = [t for t in ordinary if not any(g in vocabulary for g in _grams(_words(t)) if g.count(" ") == 2)]
     everyday = ["The license of the driver was valid", "Version 2 of the work is out", "General use of the software is free to the public", "He was licensed to practise", "Terms and conditions of the common good", "By the creative work of many", "", "the", "copyright law in general", "this work is under the terms of the contract"]
-    rows = [(families.index(f), _grams(_words(t))) for f, t in _cuttings()] + [(0, _grams(_words(t))) for t in [*plain, *everyday * 8]]
+    rows = [(families.index(f), _grams(_words(t))) for f, t in _cuttings()] + [(0, _grams(_words(t))) for t in [*ordinary, *everyday * 8]]
     data = spark.createDataFrame([(float(y), sorted(set(g) & vocabulary), i) for i, (y, g) in enumerate(rows)], "label double, grams array<string>, i long").coalesce(1)
     fitted = CountVectorizer(inputCol="grams", outputCol="features", vocabSize=buckets, binary=True).fit(data)
     seen, unseen = data.where("i % 5 <> 0"), data.where("i % 5 = 0")

@@ -370,6 +370,19 @@ def test_licenses(spark):
         assert got[i].family == family and got[i].confirmed and got[i].licenses[0].line == 1
 
 
+def test_licenses_on_first_lines(spark):
+    """Notices that the sample of first lines holds are found all the same."""
+    plain = [prose(30, i) for i in range(60)]
+    notices = {"mit": "Released under the MIT License.", "gpl": "This work is licensed under the GNU General Public License, version 3."}
+    df = frame(spark, [*plain, *(n + "\n" + prose(20, 700 + i) for i in range(10) for n in notices.values())])
+    sample = licenses.sample_paragraphs(df)
+    assert set(notices.values()) <= set(sample)
+    got = {r.doc_id: r for r in licenses.scan(df, licenses.train(spark, sample)).collect()}
+    assert all(got[i].n_licenses == 0 for i in range(60))
+    for i in range(60, 80):
+        assert got[i].family == list(notices)[i % 2] and got[i].confirmed and got[i].licenses[0].line == 0
+
+
 # ---- pipeline ------------------------------------------------------------------------------------------------------
 def test_pipeline(spark, small):
     import corpus_pipeline as C
