@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 
 from nestwright.llm.components import connected_components
 from nestwright.llm.text import U64, mix, shingles, slices, span_hashes, word_hashes
-from nestwright.llm.work import Workspace, shuffle_width
+from nestwright.llm.work import Workspace, lean, shuffle_width
 
 _BLOCK = 1 << 20
 _TILE = 1 << 21  # words of a tile; a text counts for _HEAD more
@@ -85,17 +85,11 @@ def _sketch(k: int, sketches: int, ell: int):
                 keys = order_min_hash(words, offs, k, sketches, ell)
                 n = np.diff(offs)
                 keys = pa.ListArray.from_arrays(pa.array(np.arange(len(n) + 1) * sketches, pa.int32()), pa.array(keys.ravel().view(np.int64)))
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), pa.array(fp1.view(np.int64)), pa.array(fp2.view(np.int64)), pa.array(n, pa.int64()), keys], ["doc", "fp1", "fp2", "n_words", "keys"])
+                codes = (words >> U64(32)).astype("<u4").tobytes()
+                codes = pa.array([codes[4 * a : 4 * b] for a, b in zip(offs[:-1].tolist(), offs[1:].tolist(), strict=True)], pa.binary())
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), pa.array(fp1.view(np.int64)), pa.array(fp2.view(np.int64)), pa.array(n, pa.int64()), keys, codes], ["doc", "fp1", "fp2", "n_words", "keys", "words"])
 
-    return run
-
-
-def _word_codes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        for lo, hi in slices(batch.column(1), _BLOCK):
-            words, offs = word_hashes(batch.column(1).slice(lo, hi - lo))
-            codes = (words >> U64(32)).astype("<u4").tobytes()
-            yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), pa.array([codes[4 * a : 4 * b] for a, b in zip(offs[:-1].tolist(), offs[1:].tolist(), strict=True)], pa.binary())], ["rep", "words"])
+    return lean(run)
 
 
 def banded_lcs(a: list[int], b: list[int], band: int) -> int:
@@ -170,15 +164,16 @@ def _verify(threshold: float):
         if out:
             yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*out, strict=True)], ["a", "b"])
 
-    return run
+    return lean(run)
 
 
 def _binned(texts: list[np.ndarray], bins: int) -> np.ndarray:
-    """Counts of the texts' items by bin, in the smallest type that holds them."""
-    out = np.zeros((len(texts), bins), np.uint32)
+    """Counts of the texts' items by bin."""
+    kind = np.min_scalar_type(max((len(t) for t in texts), default=0))
+    out = np.zeros((len(texts), bins), kind)
     for row, t in zip(out, texts, strict=True):
-        row += np.bincount(t % bins, minlength=bins).astype(np.uint32)
-    return out.astype(np.min_scalar_type(int(out.max(initial=0))))
+        row[:] = np.bincount(t % bins, minlength=bins)
+    return out
 
 
 def _pairs_of_words(t: np.ndarray) -> np.ndarray:
@@ -202,8 +197,7 @@ def links_between(rows: list[tuple[int, int, int, bytes]], threshold: float) ->
     sizes = np.array([len(t) for t in texts])
     side, root = np.array([r[0] for r in rows]), np.unique([r[2] for r in rows], return_inverse=True)[1]
     both = side.min() != side.max()
-    words, pairs = _binned(texts, _BINS[0]), _binned([_pairs_of_words(t) for t in texts], _BINS[1])
-    counts: dict[int, tuple] = {}
+    words, pairs = _binned(texts, _BINS[0]), _binned([_pairs_of_words(t).astype(np.uint32) for t in texts], _BINS[1])
     for i in range(1, len(rows)):
         need = int(np.ceil(threshold * sizes[i] - 1e-9))
         other = np.arange(np.searchsorted(sizes[:i], need), i)
@@ -214,10 +208,8 @@ def links_between(rows: list[tuple[int, int, int, bytes]], threshold: float) ->
         other = other[_common(pairs, i, other) >= 3 * need - 1 - sizes[i] - sizes[other]]
         for j in other.tolist():
             if root[i] != root[j]:
-                for x in (i, j):
-                    if x not in counts:
-                        counts[x] = np.unique(texts[x], return_counts=True)
-                if similar(texts[i], texts[j], counts[i], counts[j], threshold):
+                counts = [np.unique(texts[x], return_counts=True) for x in (i, j)]
+                if similar(texts[i], texts[j], *counts, threshold):
                     root[root == root[i]] = root[j]
                     yield rows[j][1], rows[i][1]
 
@@ -232,7 +224,7 @@ def _meet(threshold: float):
             if out := list(links_between(list({r[2]: r[1:] for r in group}.values()), threshold)):
                 yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*out, strict=True)], ["a", "b"])
 
-    return run
+    return lean(run)
 
 
 def tiles_that_meet(placed: DataFrame, work: Workspace, threshold: float, bucket: int, tile: int) -> DataFrame:
@@ -263,7 +255,7 @@ def near_duplicate_classes(docs: DataFrame, id_col: str = "doc_id", text_col: st
     spark = docs.sparkSession
     work = Workspace(spark, "omh")
     source = docs.select(F.col(id_col).cast("long").alias("doc"), F.col(text_col).cast("string").alias("text"))
-    rows = work.table(source.mapInArrow(_sketch(k, sketches, ell), "doc long, fp1 long, fp2 long, n_words long, keys array<long>"), "sketches")
+    rows = work.table(source.mapInArrow(_sketch(k, sketches, ell), "doc long, fp1 long, fp2 long, n_words long, keys array<long>, words binary"), "sketches")
     taking_part = rows.where("n_words > 0 and doc is not null")
     reps = work.table(taking_part.groupBy("fp1", "fp2").agg(F.min_by("keys", "doc").alias("keys"), F.min("n_words").alias("n_words"), F.min("doc").alias("rep")), "representatives")
 
@@ -278,7 +270,8 @@ def near_duplicate_classes(docs: DataFrame, id_col: str = "doc_id", text_col: st
     pivots = buckets.where(F.col("n") > bucket).select("key", F.explode(F.sequence(F.lit(0), blocks - 1)).alias("block"), F.explode(F.array("pivot", "pivot2")).alias("rep"))
     members = work.table(members.unionByName(pivots), "members")
 
-    codes = source.where("doc is not null").mapInArrow(_word_codes, "rep long, words binary")
+    # the words of texts that share a bucket are all that the two passes read
+    codes = work.table(rows.select(F.col("doc").alias("rep"), "words").join(members.select("rep").distinct(), "rep", "left_semi"), "codes")
 
     dealt = members.join(codes, "rep").select("key", "block", "rep", "words")
     links = dealt.repartition(shuffle_width(spark), "key", "block").sortWithinPartitions("key", "block").mapInArrow(_verify(threshold), "a long, b long")
@@ -296,7 +289,7 @@ def near_duplicate_classes(docs: DataFrame, id_col: str = "doc_id", text_col: st
         labels = connected_components(late.unionByName(labels.select(F.col("node").alias("a"), F.col("label").alias("b"))), work, "late")
 
     classes = work.table(reps.join(labels, reps.rep == labels.node, "left").select("fp1", "fp2", "rep", F.coalesce("label", "rep").alias("class")), "classes")
-    joined = rows.alias("r").join(classes.alias("c"), (F.col("r.fp1") == F.col("c.fp1")) & (F.col("r.fp2") == F.col("c.fp2")), "left")
+    joined = rows.drop("keys", "words").alias("r").join(classes.alias("c"), (F.col("r.fp1") == F.col("c.fp1")) & (F.col("r.fp2") == F.col("c.fp2")), "left")
     alone = (F.col("r.n_words") == 0) | F.col("c.rep").isNull()
     return joined.select(F.col("r.doc").alias(id_col), F.when(F.col("r.doc").isNotNull(), F.when(alone, F.col("r.doc")).otherwise(F.col("c.class"))).alias("class_id"), F.when(F.col("r.doc").isNotNull(), F.when(alone, F.col("r.doc")).otherwise(F.col("c.rep"))).alias("copy_of"))
 

@@ -23,6 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from nestwright.llm.text import slices
+from nestwright.llm.work import lean
 
 _BLOCK = 1 << 20
 _kept: dict[str, _Ids] = {}
@@ -32,12 +33,15 @@ class _Ids(dict):
     """Token ids of white-space-free chunks, as little-endian bytes.
 
     A tokenizer with word ends drops white space and never joins across it, so a text's ids are its chunks' ids. It
-    lower-cases, and letters never join with other characters, so an ASCII word with marks behind it is its lower-case
-    letters and then the marks. New words are encoded many at a time and told apart by their word ends. A chunk with
+    lower-cases, and letters never join with other characters, so a word with marks behind it is its letters (lower case,
+    if ASCII) and then the marks. New words are encoded many at a time and told apart by their word ends. A chunk with
     ``<`` may hold a special token and goes to the tokenizer as it is, as do whole texts for tokenizers of other kinds.
+
+    Two generations bound what is kept: past ``LIMIT`` bytes the present one becomes the old one, whose words come back
+    as they are met again, and the one before is dropped. At most two limits and one block's new words are held.
     """
 
-    LIMIT, MARKS = 2_000_000, ".,;:!?#$%&*|"
+    LIMIT, ENTRY, MARKS = 48 << 20, 230, ".,;:!?#$%&*|"
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
@@ -46,41 +50,53 @@ class _Ids(dict):
         vocabulary = self.tokenizer.get_vocab()
         self.ends = np.zeros(max(vocabulary.values(), default=0) + 1, bool)
         self.ends[[i for t, i in vocabulary.items() if t.endswith("</w>")]] = True
+        self.old: dict[str, bytes] = {}
+        self.held = 0
+
+    def keep(self, chunk: str, ids: bytes) -> None:
+        self[chunk] = ids
+        self.held += self.ENTRY + len(chunk) + len(ids)
 
     def encode(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
     def learn(self, found: set[str]) -> None:
-        if len(self) > self.LIMIT:
+        if self.held > self.LIMIT:
+            self.old = dict(self)
             self.clear()
+            self.held = 0
+        new = found.difference(self)
+        back = {c: ids for c in new if (ids := self.old.get(c)) is not None}
+        self.update(back)
+        self.held += self.ENTRY * len(back)
         words, marked = set(), []
-        for chunk in found:
-            if chunk in self:
-                continue
-            core = chunk.rstrip(self.MARKS).lower() if chunk.isascii() and "<" not in chunk else ""
+        for chunk in new.difference(back):
+            core = chunk.rstrip(self.MARKS)
             if core.isalpha():
-                if core not in self:
-                    words.add(core)
-                if core != chunk:
-                    marked.append((chunk, core, chunk[len(core) :]))
+                low = core.lower() if core.isascii() else core
+                if low not in self:
+                    words.add(low)
+                if low != chunk:
+                    marked.append((chunk, low, chunk[len(core) :]))
             else:
-                self[chunk] = self.encode(chunk)
+                self.keep(chunk, self.encode(chunk))
         words = list(words)
         for a in range(0, len(words), 20_000):
             part = words[a : a + 20_000]
             ids = self.encode(" ".join(part))
             stops = (4 * (np.flatnonzero(self.ends[np.frombuffer(ids, "<u4")]) + 1)).tolist()
             if len(stops) == len(part):
-                start = 0
-                for word, stop in zip(part, stops, strict=True):
-                    self[word] = ids[start:stop]
-                    start = stop
+                self.update(zip(part, map(ids.__getitem__, map(slice, [0, *stops[:-1]], stops)), strict=True))
+                self.held += (self.ENTRY + 8) * len(part) + len(ids)
             else:
-                self.update((word, self.encode(word)) for word in part)
-        for chunk, core, marks in marked:
-            if marks and marks not in self:
-                self[marks] = self.encode(marks)
-            self[chunk] = self[core] + self[marks] if marks else self[core]
+                for word in part:
+                    self.keep(word, self.encode(word))
+        tails = {"": b""}
+        for chunk, word, marks in marked:
+            if marks not in tails:
+                tails[marks] = self.encode(marks)
+            self[chunk] = self[word] + tails[marks]
+        self.held += (self.ENTRY + 20) * len(marked)
 
     def texts(self, texts: list[str]) -> list[bytes]:
         if not self.ends.any():
@@ -173,7 +189,7 @@ def _pack(path: str, capacity: int, slack: float, end_id: int):
         if bins.rows:
             yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*bins.rows, strict=True)], names)
 
-    return run
+    return lean(run)
 
 
 def pack(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str = "text", capacity: int = 4096, end_id: int = 2, slack: float = 0.01) -> DataFrame:

@@ -21,6 +21,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from nestwright.llm.text import _TABLE, U64, buffers, mix, slices, span_hashes
+from nestwright.llm.work import lean
 
 BITS, TRAIN_ROWS = 18, 4000
 _BLOCK = 1 << 20
@@ -107,7 +108,7 @@ def _examples(bits: int):
                 value = np.bincount(where, share, len(used)).astype("<f4")
                 yield pa.RecordBatch.from_arrays([pa.array([used.astype("<i4").tobytes()]), pa.array([value.tobytes()]), batch.column(1).slice(i, 1)], ["index", "value", "label"])
 
-    return run
+    return lean(run)
 
 
 def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", train_rows: int = TRAIN_ROWS, bits: int = BITS) -> tuple[np.ndarray, float]:
@@ -136,7 +137,7 @@ def _score(weights: np.ndarray, bias: float, bits: int):
             texts = batch.column(batch.num_columns - 1)
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(scores(texts))], [*batch.schema.names[:-1], "score"])
 
-    return run
+    return lean(run)
 
 
 def score(docs: DataFrame, model: tuple[np.ndarray, float], text_col: str = "text", keep: tuple[str, ...] = ("doc_id",), bits: int = BITS, name: str = "score") -> DataFrame:

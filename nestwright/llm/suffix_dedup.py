@@ -37,7 +37,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from nestwright.llm.text import _TABLE, U64, buffers, mix, powers, slices, span_hashes
-from nestwright.llm.work import Workspace, own_partition, shuffle_width
+from nestwright.llm.work import Workspace, lean, own_partition, shuffle_width
 
 #: Bytes of text whose runs are reported together and looked for together; contents of one k-gram that such a block may report, beyond which the
 #: k-gram is hot, as it is from HOT contents in all.
@@ -225,7 +225,7 @@ def _find(length: int, k: int, parts: int, groups: int):
                 for a in range(0, len(out), 256):
                     yield _rows(*map(list, zip(*out[a : a + 256], strict=True)))
 
-    return run
+    return lean(run)
 
 
 def _by_document(parts: int, ids: np.ndarray, tags: np.ndarray, kind: int, *columns: np.ndarray):
@@ -273,7 +273,7 @@ def _match(parts: int, groups: int):
         left = np.repeat(((contents > 1) & some) | hot, size)
         yield from _packets(_by_document(groups, ids[left], tags[left], 1, first[left], n[left].astype(np.uint8), dest[left].astype("<i4"), np.repeat(hot, size)[left], gram[left].astype(np.uint8)))
 
-    return run
+    return lean(run)
 
 
 def _packets(rows) -> Iterator[pa.RecordBatch]:
@@ -366,7 +366,7 @@ def _cut(length: int, parts: int, groups: int):
                 out += _by_document(groups, docs[own[new]], tags[own[new]], 2, at[new].astype("<i4"), count.astype("<i4"))
             yield from _packets(out)
 
-    return run
+    return lean(run)
 
 
 def _deal(docs, tags, own, first, n, cell, dest, raw, sizes) -> list[tuple[int, int, bytes]]:
@@ -458,7 +458,7 @@ def _order(length: int, k: int, groups: int):
                 y = x[row[head]]
                 yield from _packets(_by_document(groups, ids[y], tags[y], 2, (first[y] + step[head]).astype("<i4"), size.astype("<i4")))
 
-    return run
+    return lean(run)
 
 
 def _merge(first: np.ndarray, count: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
@@ -512,7 +512,7 @@ def _apply(length: int, text_too: bool):
                 types = [pa.int64(), pa.int64(), pa.int64(), span, pa.binary() if text_too else pa.string(), row_type]
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, types, strict=True)], ["doc", "n_bytes", "n_removed", "spans", "kept", "row"])
 
-    return run
+    return lean(run)
 
 
 def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = 50, k: int = 16, text_too: bool = False) -> DataFrame:

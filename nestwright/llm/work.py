@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+import ctypes
 import gc
 import tempfile
 import time
 import uuid
+from collections.abc import Callable, Iterator
+from functools import wraps
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -28,14 +32,18 @@ class Workspace:
         self.path = f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
     def table(self, df: DataFrame, name: str) -> DataFrame:
-        """Write ``df`` once and return a scan of what was written."""
+        """Write ``df`` once and return a scan of what was written; it is deleted when the session's process ends."""
         df.write.parquet(f"{self.path}/{name}")
+        where = self._where()
+        where.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(where)
         return self.spark.read.schema(df.schema).parquet(f"{self.path}/{name}")
 
+    def _where(self, name: str | None = None):
+        return self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{self.path}/{name}" if name else self.path)
+
     def drop(self, name: str) -> None:
         """Delete a table that no later plan reads."""
-        jvm = self.spark.sparkContext._jvm
-        where = jvm.org.apache.hadoop.fs.Path(f"{self.path}/{name}")
+        where = self._where(name)
         where.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
 
     def release(self) -> None:
@@ -46,6 +54,27 @@ class Workspace:
             time.sleep(0.2)
 
 
+def lean(run: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iterator]:
+    """``run`` over Arrow batches, giving its memory back when it ends: workers are used again by other stages."""
+
+    @wraps(run)
+    def wrapped(batches: Iterator) -> Iterator:
+        from nestwright.llm import text
+
+        try:
+            yield from run(batches)
+        finally:
+            text._powers.clear()
+            gc.collect()
+            pa.default_memory_pool().release_unused()
+            try:
+                ctypes.CDLL(None).malloc_trim(0)
+            except (OSError, AttributeError):  # not the GNU C library
+                pass
+
+    return wrapped
+
+
 def shuffle_width(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
