@@ -270,8 +270,8 @@ def near_duplicate_classes(docs: DataFrame, id_col: str = "doc_id", text_col: st
     pivots = buckets.where(F.col("n") > bucket).select("key", F.explode(F.sequence(F.lit(0), blocks - 1)).alias("block"), F.explode(F.array("pivot", "pivot2")).alias("rep"))
     members = work.table(members.unionByName(pivots), "members")
 
-    # the words of texts that share a bucket are all that the two passes read
-    codes = work.table(rows.select(F.col("doc").alias("rep"), "words").join(members.select("rep").distinct(), "rep", "left_semi"), "codes")
+    # the words of texts that share a bucket are all that the two passes read; members grow with the corpus, so no broadcast
+    codes = work.table(rows.select(F.col("doc").alias("rep"), "words").join(members.select("rep").distinct().hint("merge"), "rep", "left_semi"), "codes")
 
     dealt = members.join(codes, "rep").select("key", "block", "rep", "words")
     links = dealt.repartition(shuffle_width(spark), "key", "block").sortWithinPartitions("key", "block").mapInArrow(_verify(threshold), "a long, b long")
