@@ -21,7 +21,24 @@ TRAVERSAL = r"\.\.[/\\]|[/\\]\.\.|^\.\.|\.\.%|%2[eE]%2[eE]"
 #: Personal data in running text, and names of fields that hold it.
 SSN = r"\b\d{3}-\d{2}-\d{4}\b"
 EMAIL = r"\b[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Z|a-z]{2,}\b"
-PRIVATE_FIELDS = frozenset("ssn social_security_number date_of_birth dob birthdate person_identifier personidentifier personidentifiers first_name firstname last_name lastname lastorsurname middle_name middlename generationcodeorsuffix".split())
+PRIVATE_FIELDS = frozenset({
+    "ssn",
+    "social_security_number",
+    "date_of_birth",
+    "dob",
+    "birthdate",
+    "person_identifier",
+    "personidentifier",
+    "personidentifiers",
+    "first_name",
+    "firstname",
+    "last_name",
+    "lastname",
+    "lastorsurname",
+    "middle_name",
+    "middlename",
+    "generationcodeorsuffix",
+})
 REDACTED = "***REDACTED***"
 _FLOAT = r"^[+-]?([0-9]+(\.[0-9]*)?|\.[0-9]+)([eE][+-]?[0-9]+)?$"
 
@@ -193,9 +210,10 @@ def formula_guard(c: Column) -> Column:
     return F.when(F.regexp_replace(c, r"^\s+", "").rlike(r"^[=+\-@]"), F.concat(F.lit("'"), c)).otherwise(c)
 
 
-def document_key(c: Column) -> Column:
-    """Identifier as a document-store key: ``/`` becomes ``|``."""
-    return F.translate(c, "/", "|")
+def document_key(c: Column, strict: bool = False) -> Column:
+    """Identifier as a document-store key: ``/`` becomes ``|``. With ``strict`` an empty or null one is an error."""
+    key = F.translate(c, "/", "|")
+    return F.when(c.isNull() | (c == ""), F.raise_error(F.lit("an empty identifier is no document key")).cast("string")).otherwise(key) if strict else key
 
 
 def local_name(c: Column) -> Column:

@@ -6,19 +6,40 @@ an optional callable for the rest. Columns and targets are metadata, so this run
 
 from __future__ import annotations
 
+import json
 import math
 import re
 from collections.abc import Callable
 from dataclasses import dataclass, field
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
 
-from nestwright.operators.profile import DATES, profile
+from nestwright.operators.profile import profile
 from nestwright.operators.shapes import Shapes, local_name
 
 #: Abbreviations in column names and what they stand for, and datatypes that a value type fits.
-SHORT = {"fname": ["firstname"], "lname": ["lastname", "lastorsurname"], "mname": ["middlename"], "dob": ["birthdate", "dateofbirth"], "bdate": ["birthdate"], "birthdt": ["birthdate"], "ssn": ["personidentifier"], "gender": ["sex", "hassex"], "race": ["raceand", "hasraceand"], "eth": ["ethnicity", "raceand"], "id": ["identifier", "personidentifier"]}
-FITS = {"string": {"string", "token", "normalizedString"}, "date": {"date", "dateTime"}, "integer": {"integer", "int", "long", "nonNegativeInteger", "positiveInteger", "token", "string"}, "float": {"float", "double", "decimal"}, "boolean": {"boolean"}}
+SHORT = {
+    "nm": ["name"],
+    "fname": ["firstname"],
+    "lname": ["lastname", "lastorsurname"],
+    "mname": ["middlename"],
+    "dob": ["birthdate", "dateofbirth"],
+    "bdate": ["birthdate"],
+    "birthdt": ["birthdate"],
+    "ssn": ["personidentifier"],
+    "gender": ["sex", "hassex"],
+    "race": ["raceand", "hasraceand"],
+    "eth": ["ethnicity", "raceand"],
+    "id": ["identifier", "personidentifier"],
+}
+FITS = {
+    "string": {"string", "token", "normalizedString"},
+    "date": {"date", "dateTime"},
+    "integer": {"integer", "int", "long", "nonNegativeInteger", "positiveInteger", "token", "string"},
+    "float": {"float", "double", "decimal"},
+    "boolean": {"boolean"},
+}
 CONCEPT_SHARE, LEAST_SCORE = 0.7, 0.4
 
 
@@ -117,7 +138,7 @@ def by_name(column: dict, t: Target) -> Match:
     xsd = local_name(t.datatype) if t.datatype else ""
     if xsd in FITS.get(column["inferred_type"], ()):
         score, why = score + 0.2, [*why, "type fits"]
-    if column["inferred_type"] == "date" and xsd in ("date", "dateTime") and any(re.match(DATES, v) for v in column["values"] or ["2000-01-01"]):
+    if column["inferred_type"] == "date" and xsd in ("date", "dateTime") and column.get("date_pattern"):
         score, why = score + 0.15, [*why, "date form"]
     return Match(column["column"], t, min(score, 1.0), "heuristic", why, suggested_transform(column["inferred_type"], column["delimiter"], t))
 
@@ -188,3 +209,89 @@ def suggest(df: DataFrame, shapes: Shapes, names: dict[str, str] | None = None,
     root = shapes.root()
     kind = (names or {}).get(root.target_class or "", local_name(root.target_class or root.iri))
     return assemble(found, df.columns, context_url, base_uri, kind), found
+
+
+def preview(df: DataFrame, config: dict, count: int = 5) -> list[dict]:
+    """Documents that a suggested configuration makes of the first ``count`` rows; empty where it cannot be used."""
+    from nestwright.errors import NestwrightError
+    from nestwright.pipeline import Pipeline
+    from nestwright.plans.spec import parse
+
+    try:
+        return [json.loads(r[0]) for r in Pipeline(df.limit(count), parse(config)).json().collect()]
+    except (NestwrightError, KeyError, TypeError, ValueError):
+        return []
+
+
+def _json_in(reply: str, opening: str) -> object:
+    """The first JSON value in a model's reply that begins with ``opening``; fences and text around it are skipped."""
+    decoder = json.JSONDecoder()
+    for m in re.finditer(re.escape(opening), reply):
+        try:
+            return decoder.raw_decode(reply, m.start())[0]
+        except ValueError:
+            continue
+    return None
+
+
+def values_in(reply: str) -> list[str] | None:
+    """Non-blank values out of a model's reply: ``{"values": [...]}`` or a bare list; None without either."""
+    for found in (_json_in(reply, "{"), _json_in(reply, "[")):
+        values = found.get("values") if isinstance(found, dict) else found
+        if isinstance(values, list):
+            return [str(v) for v in values if v is not None and str(v).strip()]
+    return None
+
+
+def mappings_in(reply: str) -> list[dict]:
+    """The entries of ``{"mappings": [...]}`` in a model's reply; empty without it."""
+    found = _json_in(reply, "{")
+    entries = found.get("mappings") if isinstance(found, dict) else None
+    return [m for m in entries if isinstance(m, dict)] if isinstance(entries, list) else []
+
+
+def asking(complete: Callable[[str], str], transforms: tuple[str, ...] = ()) -> Callable[[list[dict], list[Target]], list[Match]]:
+    """A matcher for what rules leave over: ``complete`` answers a prompt. Unknown columns, properties and transforms go."""
+
+    def ask(columns: list[dict], wanted: list[Target]) -> list[Match]:
+        named = {f"{t.property}.{t.name}" if t.property else t.name: t for t in wanted}
+        facts = [{"column": c["column"], "type": c["inferred_type"], "values": list(c["values"] or [])[:5]} for c in columns]
+        prompt = "Match columns to properties. Answer with JSON {\"mappings\": [{\"column\", \"property\", \"confidence\", \"transform\"}]}.\nColumns: " + json.dumps(facts) + "\nProperties: " + json.dumps([{"property": n, "datatype": t.datatype, "values": list(t.values)[:10]} for n, t in named.items()]) + "\nTransforms: " + json.dumps(list(transforms))
+        known = {c["column"] for c in columns}
+        out = []
+        for m in mappings_in(complete(prompt)):
+            t = named.get(str(m.get("property")))
+            if t is None or m.get("column") not in known:
+                continue
+            try:
+                sure = float(m.get("confidence", 0))
+            except (TypeError, ValueError):
+                sure = 0.0
+            change = m.get("transform")
+            out.append(Match(m["column"], t, sure, "asked", ["a model's reply"], change if change in transforms else None))
+        return out
+
+    return ask
+
+
+def overlap(values: Column, known: list[str]) -> Column:
+    """How a column's distinct ``values`` lie in a concept set, for large tables: the shares that ``by_values`` compares.
+
+    ``values``: array of texts; a struct of the shares found direct, after the last ``_`` and as beginnings (weight 0.9).
+    """
+    low = F.lit([k.lower() for k in known])
+    mine = F.transform(values, lambda v: F.lower(F.trim(v)))
+    share = lambda test: F.size(F.filter(mine, test)) / F.size(mine)
+    return F.struct(
+        share(lambda v: F.array_contains(low, v)).alias("direct"),
+        share(lambda v: v.contains("_") & F.array_contains(low, F.substring_index(v, "_", -1))).alias("prefixed"),
+        (share(lambda v: (v != "") & F.exists(low, lambda k: k.startswith(v))) * 0.9).alias("abbreviation"),
+    )
+
+
+def best_matches(scores: DataFrame) -> DataFrame:
+    """The first best target of each column from (column, target, position, score): highest score, then position."""
+    from pyspark.sql import Window
+
+    rank = F.row_number().over(Window.partitionBy("column").orderBy(F.desc("score"), "position"))
+    return scores.withColumn("_rank", rank).where("_rank = 1").drop("_rank")

@@ -1,4 +1,8 @@
-"""Column profiles in one aggregation: null and distinct shares, inferred type, delimiter, date form, small value sets."""
+"""Column profiles: null and distinct shares, inferred type, delimiter, date form, small value sets.
+
+Columns are looked at one below the other: one aggregation by column and value, pre-aggregated before its shuffle, then
+one by column over distinct values and their counts.
+"""
 
 from __future__ import annotations
 
@@ -8,51 +12,71 @@ from pyspark.sql import functions as F
 from nestwright.functions.scalars import is_blank, strip
 from nestwright.plans.compiler import _column
 
-#: Forms of dates, and texts that stand for truth values.
-DATES = r"^\d{4}-\d{2}-\d{2}$|^\d{2}/\d{2}/\d{4}$|^\d{2}-\d{2}-\d{4}$"
-TRUTHS = ("true", "false", "yes", "no", "y", "n", "t", "f", "0", "1")
+#: Forms of dates with their names, and texts that stand for truth values.
+DATE_FORMS = {
+    r"^\d{4}-\d{2}-\d{2}$": "YYYY-MM-DD",
+    r"^\d{2}/\d{2}/\d{4}$": "MM/DD/YYYY",
+    r"^\d{2}-\d{2}-\d{4}$": "MM-DD-YYYY",
+}
+DATES = "|".join(DATE_FORMS)
+TRUTHS = ("true", "false", "yes", "no", "0", "1")
 _INT, _FLOAT = r"^[+-]?[0-9]+$", r"^[+-]?(([0-9]+(\.[0-9]*)?|\.[0-9]+)([eE][+-]?[0-9]+)?|inf|infinity|nan)$"
+_MOST_VALUES = 20
+
+
+def date_form(c: Column) -> Column:
+    """The name of the form that a text has as a date; null for other texts."""
+    out = F.lit(None).cast("string")
+    for form, name in DATE_FORMS.items():
+        out = F.coalesce(out, F.when(c.rlike(form), name))
+    return out
 
 
-def _profile(c: Column) -> Column:
-    text = c.cast("string")
-    full = F.when(~is_blank(text), strip(text))
-    n = F.count(full)
-    share = lambda cond: F.count_if(cond) / n
-    every = lambda cond: (n > 0) & (F.count_if(cond) == n)
-    low = F.lower(full)
-    special = F.count_if(low.rlike("^[+-]?(inf|infinity|nan)$"))
-    kind = (
-        F.when(n == 0, "string")
-        .when(share(full.rlike(DATES)) >= 0.8, "date")
-        .when(every(full.rlike(_INT)), "integer")
-        .when(every(low.rlike(_FLOAT)) & (special < n), "float")
-        .when(every(low.isin(*TRUTHS)), "boolean")
+def _kind(v: Column, n: Column) -> Column:
+    """The type that ``n`` occurrences of each value ``v`` make together; null values count nothing."""
+    total = F.sum(F.when(v.isNotNull(), n))
+    held = lambda cond: F.coalesce(F.sum(F.when(cond, n)), F.lit(0))
+    low = F.lower(v)
+    special = held(low.rlike("^[+-]?(inf|infinity|nan)$"))
+    return (
+        F.when(total.isNull(), "string")
+        .when(held(v.rlike(DATES)) >= 0.8 * total, "date")
+        .when(held(v.rlike(_INT)) == total, "integer")
+        .when((held(low.rlike(_FLOAT)) == total) & (special < total), "float")
+        .when(held(low.isin(*TRUTHS)) == total, "boolean")
         .otherwise("string")
     )
-    delimiter = F.when(share(F.contains(full, F.lit("|"))) > 0.1, "|").when(share(F.contains(full, F.lit(","))) > 0.1, ",")
-    distinct = F.count_distinct(full)
-    return F.struct(
-        F.count(F.lit(1)).alias("total"),
-        (1 - n / F.greatest(F.count(F.lit(1)), F.lit(1))).alias("null_rate"),
-        F.coalesce(distinct / F.when(n > 0, n), F.lit(0.0)).alias("unique_rate"),
-        distinct.alias("distinct_count"),
-        kind.alias("inferred_type"),
-        delimiter.alias("delimiter"),
-        F.when(distinct <= 20, F.array_sort(F.collect_set(F.when(full.isNotNull(), full)))).otherwise(F.array().cast("array<string>")).alias("values"),
-    )
 
 
 def profile(df: DataFrame, columns: list[str] | None = None, sample_size: int | None = 100) -> DataFrame:
-    """One row per column. ``sample_size`` rows are looked at, all when it is None (value sets then only where small)."""
+    """One row per column: column, total, null_rate, unique_rate, distinct_count, inferred_type, delimiter,
+    date_pattern (form of the first value) and values (sorted, at most 20, else empty).
+
+    ``sample_size`` rows are looked at, all when it is None.
+    """
     names = columns or df.columns
-    rows = df.select(*(_column(c) for c in names))
+    rows = df.select(*(_column(c).cast("string").alias(f"c{i}") for i, c in enumerate(names)))
     rows = rows.limit(sample_size) if sample_size else rows
-    if sample_size is None:  # an unbounded distinct set is never gathered
-        wide = rows.agg(*(F.approx_count_distinct(_column(c)).alias(f"a{i}") for i, c in enumerate(names))).head()
-        small = [c for i, c in enumerate(names) if wide[i] <= 200]
-    else:
-        small = names
-    out = rows.agg(*((_profile(_column(c)) if c in small else _profile(_column(c)).withField("values", F.array().cast("array<string>"))).alias(f"p{i}") for i, c in enumerate(names)))
-    each = F.array(*(F.struct(F.lit(c).alias("column"), F.col(f"p{i}").alias("p")) for i, c in enumerate(names)))
-    return out.select(F.explode(each).alias("e")).select("e.column", "e.p.*")
+    text = [F.when(~is_blank(F.col(f"c{i}")), strip(F.col(f"c{i}"))) for i in range(len(names))]
+    cells = rows.select(F.monotonically_increasing_id().alias("at"), F.posexplode(F.array(*text)).alias("i", "v"))
+    counted = cells.groupBy("i", "v").agg(F.count(F.lit(1)).alias("n"), F.min("at").alias("at"))
+    v, n = F.col("v"), F.col("n")
+    full = F.sum(F.when(v.isNotNull(), n))
+    share = lambda mark: F.sum(F.when(F.contains(v, F.lit(mark)), n)) / full > 0.1
+    facts = counted.groupBy("i").agg(
+        F.sum("n").alias("total"),
+        (1 - F.coalesce(full, F.lit(0)) / F.sum("n")).alias("null_rate"),
+        F.coalesce(F.count("v") / full, F.lit(0.0)).alias("unique_rate"),
+        F.count("v").alias("distinct_count"),
+        _kind(v, n).alias("inferred_type"),
+        F.when(share("|"), "|").when(share(","), ",").alias("delimiter"),
+        date_form(F.min_by(v, F.when(v.isNotNull(), F.col("at")))).alias("date_pattern"),
+    )
+    small = facts.where(f"distinct_count <= {_MOST_VALUES}").select("i")
+    sets = counted.where("v is not null").join(small, "i", "left_semi").groupBy("i").agg(F.array_sort(F.collect_list("v")).alias("values"))
+    named = F.element_at(F.lit(list(names)), F.col("i") + 1).alias("column")
+    empty = F.array().cast("array<string>")
+    none = df.sparkSession.createDataFrame([(i,) for i in range(len(names))], "i int")  # an empty table has columns, too
+    out = none.join(facts, "i", "left").join(sets, "i", "left").orderBy("i")
+    zero = lambda c, x: F.coalesce(c, F.lit(x)).alias(c)
+    return out.select(named, zero("total", 0), zero("null_rate", 0.0), zero("unique_rate", 0.0), zero("distinct_count", 0), zero("inferred_type", "string"), "delimiter", "date_pattern", F.coalesce("values", empty).alias("values"))

@@ -7,6 +7,7 @@ primary row. One projection finds all issues, one aggregation counts them.
 from __future__ import annotations
 
 from dataclasses import dataclass
+from typing import NamedTuple
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -116,6 +117,29 @@ def summary(checked: DataFrame) -> DataFrame:
     return checked.agg(F.count(F.lit(1)).alias("total_records"), count("error").alias("error_count"), count("warning").alias("warning_count"), F.count_if(~F.col("conforms")).alias("failed_records")).withColumn("conforms", F.col("error_count") == 0)
 
 
+class CheckResult(NamedTuple):
+    """The one-row table of counters and the table of issues."""
+
+    table: DataFrame
+    issues: DataFrame
+
+    def facts(self) -> dict:
+        return self.table.head().asDict()
+
+    def summary(self) -> str:
+        f = self.facts()
+        return f"{'conforms' if f['conforms'] else 'does not conform'}: {f['total_records']} records, {f['error_count']} errors, {f['warning_count']} warnings"
+
+    def to_dict(self, most: int = 1000) -> dict:
+        """Counters and the first ``most`` issues; ``issues`` is the whole table."""
+        return {**self.facts(), "issues": [r.asDict() for r in self.issues.limit(most).collect()]}
+
+    def to_dataframe(self) -> DataFrame:
+        """Issues beside the counters of the run."""
+        f = self.facts()
+        return self.issues.select("*", *(F.lit(f[c]).alias(c) for c in ("conforms", "total_records", "error_count", "warning_count")))
+
+
 def first_strict(checked: DataFrame) -> None:
     """Raises on the first issue of any severity; stops at the first row that has one."""
     row = checked.where(F.size("issues") > 0).select("record_id", F.get("issues", F.lit(0)).alias("i")).head()
@@ -124,9 +148,26 @@ def first_strict(checked: DataFrame) -> None:
 
 
 def sample(df: DataFrame, rate: float, seed: int = 0) -> DataFrame:
-    """A simple random sample of max(1, int(n * rate)) rows without replacement, the same for one seed."""
-    n = df.count()
-    return df.orderBy(F.rand(seed)).limit(max(1, int(n * rate)))
+    """A simple random sample of max(1, int(n * rate)) rows without replacement, the same for one seed.
+
+    Rows draw numbers of 24 bits; two counts by half of the bits (at most 4096 rows each) tell the largest number that is
+    still taken, so nothing is sorted. Only among the rows of that one number a limit decides.
+    """
+    drawn = df.withColumn("_draw", F.floor(F.rand(seed) * (1 << 24)).cast("int"))
+    counts = lambda rows, by: sorted((r[0], r[1]) for r in rows.groupBy(by.alias("d")).count().collect())
+    high = counts(drawn, F.shiftright("_draw", 12))
+    left = max(1, int(sum(n for _, n in high) * rate))
+
+    def cut(table: list[tuple[int, int]], left: int) -> tuple[int, int]:
+        for d, n in table:
+            if n >= left:
+                return d, left
+            left -= n
+        return (table[-1][0], table[-1][1]) if table else (0, 0)
+
+    first, left = cut(high, left)
+    last, left = cut(counts(drawn.where(F.shiftright("_draw", 12) == first), F.col("_draw")), left)
+    return drawn.where(F.col("_draw") < last).unionByName(drawn.where(F.col("_draw") == last).limit(left)).drop("_draw")
 
 
 def duplicate_ids(documents: DataFrame, id_col: str = "id") -> DataFrame:

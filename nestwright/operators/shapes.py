@@ -255,74 +255,150 @@ class Shapes:
         return out
 
 
-def _each(nodes: Column, check, *given) -> Column:
-    return F.transform(nodes, lambda e: check(e, *given))
-
-
-def compile_constraints(shapes: Shapes, spec: MappingSpec, document: Column, names: dict[str, str] | None = None) -> Column:
+#: Lexical forms of the datatypes that documents carry.
+LEXICAL = {
+    "date": r"^-?[0-9]{4,}-[0-9]{2}-[0-9]{2}(Z|[+-][0-9]{2}:[0-9]{2})?$",
+    "dateTime": r"^-?[0-9]{4,}-[0-9]{2}-[0-9]{2}T[0-9]{2}:[0-9]{2}:[0-9]{2}(\.[0-9]+)?(Z|[+-][0-9]{2}:[0-9]{2})?$",
+    "integer": r"^[+-]?[0-9]+$",
+    "int": r"^[+-]?[0-9]+$",
+    "decimal": r"^[+-]?([0-9]+(\.[0-9]*)?|\.[0-9]+)$",
+    "boolean": r"^(true|false|0|1)$",
+}
+_VIOLATIONS = "cast(array() as array<struct<property_path:string,severity:string,message:string,expected:string,actual:string>>)"
+_STATUS = ("hasRecordStatus", "hasDataCollection")
+
+
+class _Judge:
+    """Constraints of node shapes as columns over the nodes of a document, followed down to any depth."""
+
+    def __init__(self, shapes: Shapes, names: dict[str, str], unknown_class: str):
+        self.shapes, self.names, self.unknown_class = shapes, names, unknown_class
+
+    def call(self, p: PropertyShape) -> str:
+        return self.names.get(p.path, p.name or local_name(p.path))
+
+    def class_name(self, iri: str) -> str:
+        return self.names.get(iri, local_name(iri))
+
+    @staticmethod
+    def issue(cond: Column | bool, path: str, message: str, expected: str, actual: Column | None = None, severity: str = "error") -> Column:
+        actual = F.lit("") if actual is None else F.coalesce(actual, F.lit(""))
+        found = F.struct(F.lit(path).alias("property_path"), F.lit(severity).alias("severity"), F.lit(message).alias("message"), F.lit(expected).alias("expected"), actual.alias("actual"))
+        return F.when(F.lit(cond) if isinstance(cond, bool) else cond, found)
+
+    def counts(self, q: PropertyShape, n: Column, path: str) -> list[Column]:
+        out = [self.issue(n < q.min_count, path, "too few values", f"at least {q.min_count}", n.cast("string"))] if q.min_count else []
+        return out + ([self.issue(n > q.max_count, path, "too many values", f"at most {q.max_count}", n.cast("string"))] if q.max_count is not None else [])
+
+    def kind(self, q: PropertyShape, is_a: str, there: Column, path: str) -> list[Column]:
+        """``is_a``: IRI, BlankNode or Literal; node kinds name one or two of them."""
+        want = local_name(q.node_kind) if q.node_kind else ""
+        return [self.issue(there, path, "node kind differs", want, F.lit(is_a))] if want and is_a not in want.split("Or") else []
+
+    def type_of(self, q: PropertyShape, kind: str, there: Column, path: str) -> list[Column]:
+        child = self.shapes.shapes.get(q.node or "")
+        want = q.node_class or (child.target_class if child else None)
+        return [self.issue(there, path, "class differs", self.class_name(want), F.lit(kind))] if want and kind != self.class_name(want) else []
+
+    @staticmethod
+    def found(flat: list[Column], lists: list[Column]) -> Column:
+        none = F.expr(_VIOLATIONS)
+        here = F.filter(F.array(*flat), lambda x: x.isNotNull()) if flat else none
+        return F.concat(here, *(F.coalesce(x, none) for x in lists))
+
+    def literal(self, q: PropertyShape, f, c: Column, path: str) -> tuple[list[Column], list[Column]]:
+        """Issues of one field: counts, datatype and its lexical form, allowed values, node kind."""
+        bare = f.datatype in (None, "xsd:string", "named_individual")
+        many = bool(f.multi_value_split)
+        values = c if many else F.when(c.isNotNull(), F.array(c))
+        n = F.when(c.isNull(), 0).otherwise(F.size(values))
+        text = (lambda v: v) if bare else (lambda v: v["@value"])
+        flat = self.counts(q, n, path) + self.kind(q, "IRI" if f.datatype == "named_individual" else "Literal", n > 0, path)
+        lists = []
+        if q.datatype:
+            want, have = "xsd:" + local_name(q.datatype), f.datatype or "xsd:string"
+            if have != want:
+                flat.append(self.issue(n > 0, path, "datatype differs", want, F.lit(have)))
+            elif form := LEXICAL.get(local_name(q.datatype)):
+                lists.append(F.transform(F.filter(values, lambda v: ~text(v).rlike(form)), lambda v: self.row(path, "not a literal of its datatype", want, text(v))))
+        if q.allowed:
+            ok, expected = F.lit([local_name(v) for v in q.allowed]), ", ".join(map(local_name, q.allowed))
+            lists.append(F.transform(F.filter(values, lambda v: ~F.array_contains(ok, text(v))), lambda v: self.row(path, "value is not allowed", expected, text(v))))
+        return flat, lists
+
+    @staticmethod
+    def row(path: str, message: str, expected: str, actual: Column) -> Column:
+        return F.struct(F.lit(path).alias("property_path"), F.lit("error").alias("severity"), F.lit(message).alias("message"), F.lit(expected).alias("expected"), actual.alias("actual"))
+
+    def nodes(self, q: PropertyShape, prop: PropertySpec, nodes: Column, path: str) -> tuple[list[Column], list[Column]]:
+        """Issues of a property whose values are nodes, references or concepts."""
+        n = F.when(nodes.isNull(), 0).otherwise(F.size(nodes))
+        flat, lists = self.counts(q, n, path), []
+        if prop.is_concept or prop.is_reference:
+            text = (lambda v: v) if prop.is_concept else (lambda v: v["@id"])
+            flat += self.kind(q, "IRI", n > 0, path)
+            if q.allowed:
+                ok, expected = F.lit([*map(local_name, q.allowed), *q.allowed]), ", ".join(map(local_name, q.allowed))
+                lists.append(F.transform(F.filter(nodes, lambda v: ~F.array_contains(ok, text(v))), lambda v: self.row(path, "value is not allowed", expected, text(v))))
+            if q.node_class and prop.is_reference and self.unknown_class:
+                flat.append(self.issue(n > 0, path, "the class of a reference is not known", self.class_name(q.node_class), severity=self.unknown_class))
+            return flat, lists
+        flat += self.kind(q, "BlankNode", n > 0, path) + self.type_of(q, prop.type, n > 0, path)
+        if q.datatype:
+            flat.append(self.issue(n > 0, path, "datatype differs", "xsd:" + local_name(q.datatype), F.lit("a node")))
+        if child := self.shapes.shapes.get(q.node or ""):
+            lists.append(F.flatten(F.transform(nodes, lambda e: self.element(child, prop, e, path))))
+        return flat, lists
+
+    def element(self, shape: NodeShape, prop: PropertySpec, e: Column, path: str) -> Column:
+        if prop.wrapper_field and prop.inner_type:
+            outer = self.node(shape, e, path + ".", {}, {}, {prop.wrapper_field})
+            for q in shape.properties:
+                if self.call(q) == prop.wrapper_field:
+                    inner, at = e.getField(prop.wrapper_field), f"{path}.{prop.wrapper_field}"
+                    here = self.found(self.type_of(q, prop.inner_type, inner.isNotNull(), at), [])
+                    child = self.shapes.shapes.get(q.node or "")
+                    deep = [self.fields(child, prop, inner, at)] if child else []
+                    return F.concat(outer, here, *deep)
+            return outer
+        return self.fields(shape, prop, e, path)
+
+    def fields(self, shape: NodeShape, prop: PropertySpec, e: Column, path: str) -> Column:
+        held = {name for name, has in zip(_STATUS, (prop.record_status, prop.data_collection), strict=True) if has}
+        return self.node(shape, e, path + ".", {f.target: f for f in prop.fields}, {p.name: p for p in prop.properties}, held)
+
+    def node(self, shape: NodeShape, e: Column, path: str, fields: dict, nested: dict, held: set) -> Column:
+        flat, lists = [], []
+        for q in shape.properties:
+            name = self.call(q)
+            if name in nested:
+                more = self.nodes(q, nested[name], e.getField(name), path + name)
+            elif name in fields:
+                more = self.literal(q, fields[name], e.getField(name), path + name)
+            elif name not in held and q.min_count and local_name(q.path) not in _STATUS:
+                more = [self.issue(True, path + name, "too few values", f"at least {q.min_count}", F.lit("0"))], []
+            else:
+                continue
+            flat += more[0]
+            lists += more[1]
+        if shape.closed:
+            known = {self.call(q) for q in shape.properties} | {self.names.get(i, local_name(i)) for i in shape.ignored}
+            for name in sorted({*fields, *nested, *held} - known):
+                c = e.getField(name)
+                there = F.size(c) > 0 if name in nested else c.isNotNull()
+                flat.append(self.issue(there, path + name, "the shape is closed", "no such property"))
+        return self.found(flat, lists)
+
+
+def compile_constraints(shapes: Shapes, spec: MappingSpec, document: Column, names: dict[str, str] | None = None, unknown_class: str = "warning") -> Column:
     """Array of violations (property_path, severity, message, expected, actual) of a compiled document column.
 
-    Classes of nodes that are references alone cannot be known from a document and are not judged.
+    Counts, datatypes and their lexical forms, allowed values, classes, node kinds and closed shapes are checked, from
+    the root shape down through child nodes, nested properties and the inner nodes of wrappers. The class of a node that
+    is a reference alone cannot be known from a document: it is told with the severity ``unknown_class``, or not at all
+    when that is empty.
     """
-    names = names or {}
-    none = "cast(array() as array<struct<property_path:string,severity:string,message:string,expected:string,actual:string>>)"
-    call = lambda p: names.get(p.path, p.name or local_name(p.path))
-
-    def issue(cond: Column, path: str, message: str, expected: str, actual: Column | None = None) -> Column:
-        return F.when(cond, F.struct(F.lit(path).alias("property_path"), F.lit("error").alias("severity"), F.lit(message).alias("message"), F.lit(expected).alias("expected"), F.coalesce(actual if actual is not None else F.lit(""), F.lit("")).alias("actual")))
-
-    def counts(p: PropertyShape, n: Column, path: str) -> list[Column]:
-        out = [issue(n < p.min_count, path, "too few values", f"at least {p.min_count}", n.cast("string"))] if p.min_count else []
-        return out + ([issue(n > p.max_count, path, "too many values", f"at most {p.max_count}", n.cast("string"))] if p.max_count is not None else [])
-
-    lists: list[Column] = []
-    flat: list[Column] = []
-    by_name: dict[str, PropertySpec] = {p.name: p for p in spec.properties}
-    for p in shapes.root().properties:
-        name = call(p)
-        if name not in by_name:
-            if p.min_count and local_name(p.path) not in ("hasRecordStatus", "hasDataCollection"):
-                flat.append(issue(F.lit(True), name, "too few values", f"at least {p.min_count}", F.lit("0")))
-            continue
-        prop, nodes = by_name[name], document.getField(name)
-        flat += counts(p, F.size(nodes), name)
-        child = shapes.shapes.get(p.node or "")
-        if child is None or prop.is_concept or prop.is_reference:
-            if p.allowed and prop.is_concept:
-                ok = F.lit([local_name(v) for v in p.allowed])
-                lists.append(F.transform(F.filter(nodes, lambda v: ~F.array_contains(ok, v)), lambda v: F.struct(F.lit(name).alias("property_path"), F.lit("error").alias("severity"), F.lit("value is not allowed").alias("message"), F.lit(", ".join(map(local_name, p.allowed))).alias("expected"), v.alias("actual"))))
-            continue
-        if prop.wrapper_field and prop.inner_type:
-            continue
-        fields = {f.target: f for f in prop.fields}
-
-        def of_node(e: Column, child: NodeShape, fields: dict, name: str) -> Column:
-            found = []
-            for q in child.properties:
-                f = fields.get(call(q))
-                if f is None:
-                    continue
-                path, c = f"{name}.{f.target}", e.getField(f.target)
-                plain = f.datatype in (None, "xsd:string", "named_individual")
-                n = F.when(c.isNull(), 0).otherwise(F.size(c) if f.multi_value_split else F.lit(1))
-                found += counts(q, n, path)
-                if q.datatype and not (plain and q.datatype == XSD + "string") and (f.datatype or "xsd:string") != "xsd:" + local_name(q.datatype):
-                    found.append(issue(c.isNotNull(), path, "datatype differs", "xsd:" + local_name(q.datatype), F.lit(f.datatype or "xsd:string")))
-                if q.allowed and plain:
-                    ok = F.lit([local_name(v) for v in q.allowed])
-                    bad = F.exists(c, lambda v: ~F.array_contains(ok, v)) if f.multi_value_split else ~F.array_contains(ok, c)
-                    found.append(issue(bad, path, "value is not allowed", ", ".join(map(local_name, q.allowed)), F.array_join(c, ",") if f.multi_value_split else c))
-            if child.closed:
-                known = {call(q) for q in child.properties}
-                found += [issue(e.getField(t).isNotNull(), f"{name}.{t}", "the shape is closed", "no such property") for t in fields if t not in known]
-            return F.filter(F.array(*found), lambda x: x.isNotNull()) if found else F.expr(none)
-
-        lists.append(F.flatten(_each(nodes, of_node, child, fields, name)))
-    if shapes.root().closed:
-        known = {call(p) for p in shapes.root().properties}
-        flat += [issue(F.size(document.getField(n)) > 0, n, "the shape is closed", "no such property") for n in by_name if n not in known]
-    base = F.filter(F.array(*flat), lambda x: x.isNotNull()) if flat else F.expr(none)
-    return F.concat(base, *lists)
+    return _Judge(shapes, names or {}, unknown_class).node(shapes.root(), document, "", {}, {p.name: p for p in spec.properties}, set())
 
 
 @dataclass(frozen=True)

@@ -49,7 +49,7 @@ def value(f: FieldSpec, pool: list[str] | None, draw: Column) -> Column:
     if kind == "dateTime":
         return F.concat(F.date_format(F.date_add(F.lit("2000-01-01").cast("date"), F.floor(draw * 9_000).cast("int")), "yyyy-MM-dd"), F.lit("T00:00:00"))
     if kind in ("decimal", "float", "double"):
-        return F.format_number(draw * 180 - 90, "0.0000")
+        return (draw * 180 - 90).cast("decimal(10,4)").cast("string")
     if kind in ("integer", "int", "long", "short", "nonNegativeInteger", "positiveInteger"):
         return (F.floor(draw * 1000) + 1).cast("string")
     if kind == "boolean":

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+import threading
 import time
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
@@ -9,7 +11,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
-from nestwright.errors import MappingError
+from nestwright.errors import ConfigError, MappingError, SinkError
 from nestwright.operators import quality
 from nestwright.operators.shapes import Shapes, compile_constraints
 from nestwright.plans.compiler import RELATED, Compiled, _column, compile_mapping
@@ -32,12 +34,26 @@ class RunResult:
         return self.records_out / self.elapsed if self.elapsed else 0.0
 
 
+@dataclass
+class _Counted:
+    """A DataFrame whose rows are counted as the driver takes them."""
+
+    docs: DataFrame
+    tell: Callable[[int, int | None], None]
+
+    def toLocalIterator(self, prefetchPartitions: bool = False) -> Iterator:
+        for n, row in enumerate(self.docs.toLocalIterator(prefetchPartitions=prefetchPartitions), 1):
+            self.tell(n, None)
+            yield row
+
+
 @dataclass
 class Pipeline:
     """``source`` (batch or streaming) mapped by ``spec``.
 
     Without ``dead_letters`` the first row that fails stops a run; with it failing rows are written there. ``validate``
-    drops rows whose checks find an error the same way ("report"), or stops at any issue ("strict").
+    drops rows whose checks find an error the same way ("report"), or stops at any issue ("strict"). ``progress`` is
+    called with (done, total): documents on the driver (total None), or tasks where executors write.
     """
 
     source: DataFrame
@@ -51,6 +67,8 @@ class Pipeline:
     validate_mode: str | None = None
     allowed: dict[str, list[str]] | None = None
     store_keys: bool = False
+    shapes: Shapes | None = None
+    progress: Callable[[int, int | None], None] | None = None
 
     def __post_init__(self):
         if self.source_overrides or self.transform_overrides or self.id_source or self.id_transform:
@@ -73,13 +91,16 @@ class Pipeline:
         """Good rows as ``id`` and nested ``document``."""
         return self._select(id=self.compiled.id, document=self.compiled.document)
 
-    def json(self) -> DataFrame:
-        """Good rows as ``value``: JSON texts, keys in configuration order."""
+    def _text(self):
         text = self.compiled.json
         if self.store_keys:
             head = F.concat(F.lit('{"id":'), F.to_json(F.array(F.translate(self.compiled.id, "/", "|"))))
             text = F.concat(F.regexp_replace(head, r"\[(.*)\]$", "$1"), F.lit(","), F.substr(text, F.lit(2)))
-        return self._select(value=text)
+        return text
+
+    def json(self) -> DataFrame:
+        """Good rows as ``value``: JSON texts, keys in configuration order."""
+        return self._select(value=self._text())
 
     def rejected(self) -> DataFrame:
         """Rows that fail, with ``_error``."""
@@ -88,19 +109,22 @@ class Pipeline:
     def warnings(self) -> DataFrame:
         return self.compiled.select(self.source, "id", "warnings").where(F.size("warnings") > 0)
 
-    def validate(self, mode: str = "report", sample_rate: float = 0.1, seed: int = 0, shacl: Shapes | None = None, names: dict[str, str] | None = None) -> tuple[DataFrame, DataFrame]:
+    def validate(self, mode: str = "report", sample_rate: float = 0.1, seed: int = 0, shacl: Shapes | bool | None = None, names: dict[str, str] | None = None) -> quality.CheckResult:
         """(summary, issues). Row checks see every row in every mode; ``strict`` raises at the first issue.
 
-        With ``shacl``, and when no row check found an error, the documents built are checked against its constraints
+        With ``shacl`` (True: the pipeline's ``shapes``), and when no row check found an error, the documents built are checked against its constraints
         in a second phase; ``sample`` checks a random share of them there. ``names`` are a context's, by IRI. The summary
         counts source rows once, and the issues of both phases.
         """
+        if shacl is True and self.shapes is None:
+            raise ConfigError("the pipeline has no shapes to check documents against")
+        shacl = self.shapes if shacl is True else shacl or None
         checked = quality.compile_rules(self.spec, self.source.schema, self.allowed).check(self.source)
         if mode == "strict":
             quality.first_strict(checked)
         table, issues = quality.summary(checked), quality.issue_table(checked)
         if shacl is None or not table.head().conforms:
-            return table, issues
+            return quality.CheckResult(table, issues)
         rows = quality.sample(self.source, sample_rate, seed) if mode == "sample" else self.source
         # a row without a document is an issue of its own
         none = F.expr(f"cast(array() as array<{quality.ISSUE}>)")
@@ -112,26 +136,81 @@ class Pipeline:
             quality.first_strict(judged)
         second = quality.summary(judged).select(*(F.col(c).alias(f"_{c}") for c in ("error_count", "warning_count", "failed_records")))
         both = table.crossJoin(second).select("total_records", *((F.col(c) + F.col(f"_{c}")).alias(c) for c in ("error_count", "warning_count", "failed_records")))
-        return both.withColumn("conforms", F.col("error_count") == 0), issues.unionByName(quality.issue_table(judged))
+        return quality.CheckResult(both.withColumn("conforms", F.col("error_count") == 0), issues.unionByName(quality.issue_table(judged)))
 
     # ---- actions ------------------------------------------------------------------------------------------------
-    def _settle(self) -> tuple[int, int]:
-        """Rows in and failed; the failed ones are written, or the first stops the run."""
+    def _settle(self) -> int:
+        """Rows that failed; they are written, or the first stops the run."""
         if self.dead_letters is None:
             row = self.rejected().select("_error").head()
             if row:
                 raise MappingError(row[0])
-            return -1, 0
-        return -1, files.write_dead_letters(self.rejected(), self.dead_letters)
+            return 0
+        return files.write_dead_letters(self.rejected(), self.dead_letters)
 
     def _run(self, write: Callable[[DataFrame], files.SinkResult]) -> RunResult:
+        """For writers that stream through the driver: failed rows are settled first."""
         began = time.time()
-        _, failed = self._settle()
-        done = write(self.json())
+        failed = self._settle()
+        done = write(self._counted(self.json()))
+        return RunResult(done.records + failed, done.records, failed, done.bytes, time.time() - began, done.path, self.dead_letters if failed else None)
+
+    def _run_once(self, write: Callable[[DataFrame], files.SinkResult]) -> RunResult:
+        """For writers of the executors: one pass over the source, and one more only where rows failed.
+
+        Without dead letters a failed row fails its task, and Spark commits nothing.
+        """
+        began, seen = time.time(), Observation()
+        marked = self._marked()
+        if self.dead_letters is None:
+            text = F.when(F.col("_error").isNotNull(), F.raise_error(F.concat(F.lit("row error: "), F.col("_error"))).cast("string")).otherwise(self._text())
+            try:
+                done, failed = write(marked.select(text.alias("value"))), 0
+            except SinkError:
+                raise
+            except Exception as e:
+                if m := re.search(r"row error: ([^\n]*)", str(e)):
+                    raise MappingError(m[1]) from e
+                raise
+        else:
+            counted = marked.observe(seen, F.count_if(F.col("_error").isNotNull()).alias("failed"))
+            done = write(counted.where("_error is null").select(self._text().alias("value")))
+            failed = files.write_dead_letters(self.rejected(), self.dead_letters) if seen.get["failed"] else 0
         return RunResult(done.records + failed, done.records, failed, done.bytes, time.time() - began, done.path, self.dead_letters if failed else None)
 
+    def _counted(self, docs: DataFrame) -> DataFrame | _Counted:
+        return docs if self.progress is None else _Counted(docs, self.progress)
+
+    def _watched(self, write: Callable[[], files.SinkResult]) -> files.SinkResult:
+        """Runs ``write`` and tells ``progress`` of the tasks of the stages under way."""
+        if self.progress is None:
+            return write()
+        tracker, over = self.source.sparkSession.sparkContext.statusTracker(), threading.Event()
+
+        def tell() -> None:
+            while not over.wait(0.2):
+                stages = [x for i in tracker.getActiveStageIds() if (x := tracker.getStageInfo(i))]
+                if stages:
+                    self.progress(sum(x.numCompletedTasks for x in stages), sum(x.numTasks for x in stages))
+
+        thread = threading.Thread(target=tell, daemon=True)
+        thread.start()
+        try:
+            done = write()
+        finally:
+            over.set()
+            thread.join()
+        self.progress(done.records, done.records)
+        return done
+
     def to_parts(self, path: str, mode: str = "error", chunk_size: int = 10_000, workers: int | None = None) -> RunResult:
-        return self._run(lambda docs: files.write_parts(docs, path, mode, chunk_size, workers))
+        return self._run_once(lambda docs: self._watched(lambda: files.write_parts(docs, path, mode, chunk_size, workers)))
+
+    def to_sink(self, sink: files.Sink | files.ChunkSink) -> RunResult:
+        """Into any sink: one that writes a DataFrame from the executors, or one that takes chunks on the driver."""
+        if isinstance(sink, files.Sink):
+            return self._run_once(lambda docs: self._watched(lambda: sink.write(docs)))
+        return self._run(lambda docs: files.write_chunks(docs, sink))
 
     def to_ndjson(self, path: str) -> RunResult:
         return self._run(lambda docs: files.write_single(docs, path))
@@ -151,7 +230,7 @@ class Pipeline:
         import json
 
         self._settle()
-        for row in self.json().toLocalIterator():
+        for row in self._counted(self.json()).toLocalIterator():
             yield json.loads(row[0])
 
     def metrics(self) -> DataFrame:

@@ -57,6 +57,24 @@ class MappingSpec:
     data_collection: dict | None = None
     raw: dict = field(default_factory=dict, compare=False, repr=False)
 
+    def config(self) -> dict:
+        """The configuration that the specification was made of; a copy, which may be changed."""
+        return copy.deepcopy(self.raw)
+
+    def satellite_columns(self) -> dict[str, list[str]]:
+        """Columns that the mapping reads from each satellite."""
+        out: dict[str, set[str]] = {}
+
+        def walk(props, table):
+            for p in props:
+                own = p.source_table or table
+                if own:
+                    out.setdefault(own, set()).update(f.source for f in p.fields)
+                walk(p.properties, own)
+
+        walk(self.properties, None)
+        return {t: sorted(c) for t, c in out.items()}
+
     def sources(self) -> set[str]:
         """Columns that the mapping reads from the primary row."""
         out = {self.id_source, *re.findall(r"\{([^{}]+)\}", self.base_uri)}

@@ -11,8 +11,25 @@ from pyspark.sql import functions as F
 
 from nestwright.functions.scalars import document_key
 
-#: Indexing of a container made for such documents: only what they are found by.
-INDEXING = {"indexingMode": "consistent", "includedPaths": [{"path": "/id/?"}, {"path": "/partitionKey/?"}, {"path": '/"@type"/?'}], "excludedPaths": [{"path": "/*"}]}
+#: Indexing of a container made for such documents, only what they are found by.
+INDEXING = {
+    "indexingMode": "consistent",
+    "automatic": True,
+    "includedPaths": [{"path": "/id/?"}, {"path": "/partitionKey/?"}, {"path": '/"@type"/?'}],
+    "excludedPaths": [{"path": "/*"}],
+}
+
+
+def open_container(client, database: str, container: str, create_if_missing: bool = True, partition_key: str = "/partitionKey"):
+    """The container, made first with its database and ``INDEXING`` where missing. ``client`` is a store's own client.
+
+    It has ``create_database_if_not_exists(id=)`` and ``get_database_client(name)``; a database has
+    ``create_container_if_not_exists(id=, partition_key=, indexing_policy=)`` and ``get_container_client(name)``.
+    """
+    if not create_if_missing:
+        return client.get_database_client(database).get_container_client(container)
+    place = client.create_database_if_not_exists(id=database)
+    return place.create_container_if_not_exists(id=container, partition_key=partition_key, indexing_policy=INDEXING)
 
 
 def prepare(documents: DataFrame, id_col: str = "@id", type_col: str = "@type", partition_value: str | None = None) -> DataFrame:

@@ -5,10 +5,14 @@ from __future__ import annotations
 import html
 import json
 import os
-from dataclasses import dataclass
+import re
+import uuid
+from collections.abc import Iterator
+from dataclasses import dataclass, field
 from pathlib import Path
+from typing import Protocol, runtime_checkable
 
-from pyspark.sql import DataFrame, Observation
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from nestwright.errors import SinkError
@@ -22,6 +26,107 @@ class SinkResult:
     records: int
     bytes: int
     path: str
+    files: int = 0
+    errors: list[str] = field(default_factory=list)
+
+
+@runtime_checkable
+class Sink(Protocol):
+    """What ``Pipeline.to_sink`` takes: something that writes a DataFrame of one column of JSON texts."""
+
+    def write(self, json_docs: DataFrame) -> SinkResult: ...
+
+
+@runtime_checkable
+class ChunkSink(Protocol):
+    """The other thing it takes: something that is handed lists of documents on the driver, one after another."""
+
+    chunk_size: int
+
+    def open(self) -> None: ...
+    def write_chunk(self, docs: list[dict]) -> None: ...
+    def close(self) -> SinkResult: ...
+
+
+class Folder:
+    """A folder of any file system that Spark knows."""
+
+    def __init__(self, spark: SparkSession, path: str, options: dict[str, str] | None = None):
+        self.jvm = spark.sparkContext._jvm
+        conf = spark.sparkContext._jsc.hadoopConfiguration()
+        for k, v in (options or {}).items():
+            conf.set(k, v)
+        self.at = self.jvm.org.apache.hadoop.fs.Path(path)
+        self.fs = self.at.getFileSystem(conf)
+
+    def path(self, name: str):
+        return self.jvm.org.apache.hadoop.fs.Path(self.at, name)
+
+    def names(self) -> list[str]:
+        return sorted(f.getPath().getName() for f in self.fs.listStatus(self.at)) if self.fs.exists(self.at) else []
+
+    def clear(self) -> None:
+        self.fs.delete(self.at, True)
+
+
+_PART = re.compile(r"part-(\d{5,})\.ndjson")
+
+
+@dataclass
+class NDJSONSink:
+    """Newline-delimited part files named ``part-00000.ndjson``, ``part-00001.ndjson``, ... and ``_SUCCESS``.
+
+    Tasks write in parallel below a folder of their own, whose files then get their names: a rename each, by the driver.
+    ``error`` refuses a folder with such part files, ``overwrite`` empties the folder, ``append`` counts on.
+    """
+
+    path: str
+    chunk_size: int = 10_000
+    mode: str = "error"
+    workers: int | None = None
+    options: dict[str, str] = field(default_factory=dict)
+
+    def __post_init__(self):
+        if self.mode not in MODES or self.chunk_size < 1:
+            raise SinkError("mode is error, overwrite or append; chunk_size is positive")
+
+    def write(self, json_docs: DataFrame) -> SinkResult:
+        folder = Folder(json_docs.sparkSession, self.path, self.options)
+        there = [int(m[1]) for n in folder.names() if (m := _PART.fullmatch(n))]
+        if self.mode == "error" and there:
+            raise SinkError(f"{self.path} already has {len(there)} part files")
+        if self.mode == "overwrite":
+            folder.clear()
+            there = []
+        staging = f"_writing-{uuid.uuid4().hex}"
+        done = write_parts(json_docs, f"{self.path.rstrip('/')}/{staging}", "error", self.chunk_size, self.workers)
+        inner = Folder(json_docs.sparkSession, f"{self.path.rstrip('/')}/{staging}")
+        next_one = max(there, default=-1) + 1
+        parts = [n for n in inner.names() if n.startswith("part-") and inner.fs.getFileStatus(inner.path(n)).getLen()]
+        for i, name in enumerate(parts):
+            if not folder.fs.rename(inner.path(name), folder.path(f"part-{next_one + i:05d}.ndjson")):
+                raise SinkError(f"cannot name {name} in {self.path}")
+        inner.clear()
+        folder.fs.create(folder.path("_SUCCESS"), True).close()
+        return SinkResult(done.records, done.bytes, self.path, len(parts))
+
+
+class ADLSink(NDJSONSink):
+    """The same below ``abfss://`` (or any Hadoop address); ``options`` are Hadoop settings such as account keys."""
+
+
+def write_chunks(json_docs: DataFrame, sink: ChunkSink) -> SinkResult:
+    """Documents in lists of ``sink.chunk_size`` through the driver, for sinks that are no file system."""
+    sink.open()
+    held: list[dict] = []
+    for row in json_docs.toLocalIterator(prefetchPartitions=True):
+        held.append(json.loads(row[0]))
+        if len(held) == sink.chunk_size:
+            sink.write_chunk(held)
+            held = []
+    if held:
+        sink.write_chunk(held)
+    return sink.close()
 
 
 def write_parts(json_docs: DataFrame, path: str, mode: str = "error", chunk_size: int = 10_000, workers: int | None = None, compression: str | None = None) -> SinkResult:
@@ -80,18 +185,28 @@ def report_parquet(issues: DataFrame, path: str) -> None:
     issues.write.mode("overwrite").parquet(path)
 
 
-def report_json(summary: dict, issues: DataFrame, path: str, limit: int = 10_000) -> None:
-    """Run facts, counters and at most ``limit`` issues as one JSON file."""
+def _entries(issues: DataFrame) -> Iterator[dict]:
+    return (r.asDict() for r in issues.toLocalIterator(prefetchPartitions=True))
+
+
+def report_json(summary: dict, issues: DataFrame, path: str) -> None:
+    """Run facts, counters and every issue as one JSON file, streamed."""
     Path(path).parent.mkdir(parents=True, exist_ok=True)
-    rows = [r.asDict() for r in issues.limit(limit).collect()]
-    Path(path).write_text(json.dumps({**summary, "issues": rows}, indent=2, default=str), encoding="utf-8")
+    with open(path, "w", encoding="utf-8") as f:
+        f.write(json.dumps(summary, indent=2, default=str).rstrip("}").rstrip() + ("," if summary else "") + '\n  "issues": [')
+        for i, row in enumerate(_entries(issues)):
+            f.write((",\n    " if i else "\n    ") + json.dumps(row, default=str))
+        f.write("\n  ]\n}\n")
 
 
-def report_html(summary: dict, issues: DataFrame, path: str, limit: int = 10_000) -> None:
-    """A self-contained page of at most ``limit`` issues; everything is escaped, lists included."""
+def report_html(summary: dict, issues: DataFrame, path: str) -> None:
+    """A self-contained page of every issue, streamed; everything is escaped, lists included."""
     cell = lambda x: f"<td>{html.escape(', '.join(map(str, x)) if isinstance(x, (list, tuple)) else '' if x is None else str(x))}</td>"
     head = "".join(f"<th>{html.escape(c)}</th>" for c in issues.columns)
-    body = "".join("<tr>" + "".join(map(cell, r)) + "</tr>" for r in issues.limit(limit).collect())
     facts = "".join(f"<li>{html.escape(str(k))}: {html.escape(str(v))}</li>" for k, v in summary.items())
     Path(path).parent.mkdir(parents=True, exist_ok=True)
-    Path(path).write_text(f"<!doctype html><meta charset='utf-8'><title>Validation</title><style>td,th{{border:1px solid #999;padding:2px 6px}}</style><h1>Validation</h1><ul>{facts}</ul><table><tr>{head}</tr>{body}</table>", encoding="utf-8")
+    with open(path, "w", encoding="utf-8") as f:
+        f.write(f"<!doctype html><meta charset='utf-8'><title>Validation</title><style>td,th{{border:1px solid #999;padding:2px 6px}}</style><h1>Validation</h1><ul>{facts}</ul><table><tr>{head}</tr>\n")
+        for row in _entries(issues):
+            f.write("<tr>" + "".join(map(cell, row.values())) + "</tr>\n")
+        f.write("</table>\n")

@@ -3,7 +3,8 @@
 from __future__ import annotations
 
 import json
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
+from dataclasses import dataclass
 from pathlib import PurePath
 
 from pyspark.sql import DataFrame, Row, SparkSession
@@ -36,7 +37,9 @@ def read_ndjson(spark: SparkSession, path: str, schema: T.StructType | None = No
     """
     lines = spark.read.text(path).select(F.regexp_replace("value", "^﻿", "").alias("value")).where(F.trim("value") != "")
     if schema is None:
-        schema = spark.read.options(primitivesAsString=True, mode="PERMISSIVE", columnNameOfCorruptRecord="_bad").json(lines.rdd.map(lambda r: r[0])).schema
+        reader = spark.read.options(primitivesAsString=True, mode="PERMISSIVE", columnNameOfCorruptRecord="_bad")
+        texts = getattr(lines._jdf, "as")(spark.sparkContext._jvm.org.apache.spark.sql.Encoders.STRING())
+        schema = T._parse_datatype_json_string(reader._jreader.json(texts).schema().json())  # inferred inside the JVM
         schema = T.StructType([f for f in schema.fields if f.name != "_bad"])
     parsed = F.from_json("value", schema, {"mode": "PERMISSIVE"})
     good = F.col("value").rlike(r"(?s)^\s*\{.*\}\s*$") & F.try_parse_json("value").isNotNull()
@@ -122,3 +125,30 @@ def batches(df: DataFrame, size: int = 1000) -> Iterator[list[Row]]:
             held = []
     if held:
         yield held
+
+
+@dataclass(frozen=True)
+class Source:
+    """A source as an object: what reads it, and its rows as a frame, in batches, or counted.
+
+    Any object with ``frame(spark)`` can stand in for one, so sources are pluggable.
+    """
+
+    read: Callable[[SparkSession], DataFrame]
+
+    def frame(self, spark: SparkSession) -> DataFrame:
+        return self.read(spark)
+
+    def rows(self, spark: SparkSession) -> Iterator[dict]:
+        return (r.asDict(recursive=True) for r in self.frame(spark).toLocalIterator())
+
+    def batches(self, spark: SparkSession, size: int = 1000) -> Iterator[list[Row]]:
+        return batches(self.frame(spark), size)
+
+    def count(self, spark: SparkSession) -> int:
+        return self.frame(spark).count()
+
+
+def source(reader: Callable[..., DataFrame], *args, **options) -> Source:
+    """A ``Source`` of one of the ``read_...`` functions and its arguments."""
+    return Source(lambda spark: reader(spark, *args, **options))

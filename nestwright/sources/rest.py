@@ -13,6 +13,7 @@ import urllib.parse
 import urllib.request
 from collections.abc import Iterator
 
+from pyspark.errors import PythonException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -75,9 +76,10 @@ class RestReader(DataSourceReader):
 
     def read(self, partition: InputPartition) -> Iterator[tuple]:
         names = self.schema.fieldNames()
+        whole = isinstance(self.schema[0].dataType, T.MapType) if names else False
         for rows in self.pages(partition.value):
             for row in rows:
-                yield tuple(self.cell(row.get(n)) for n in names)
+                yield ({k: self.cell(v) for k, v in row.items()},) if whole else tuple(self.cell(row.get(n)) for n in names)
 
     @staticmethod
     def cell(v):
@@ -121,7 +123,10 @@ class RestReader(DataSourceReader):
 
 
 class RestSource(DataSource):
-    """``spark.read.format("nestwright_rest").schema(...).option("url", ...)``; every column is text."""
+    """``spark.read.format("nestwright_rest").schema(...).option("url", ...)``; every column is text.
+
+    A schema of one ``map<string,string>`` column takes whatever keys the records have.
+    """
 
     @classmethod
     def name(cls) -> str:
@@ -132,13 +137,23 @@ class RestSource(DataSource):
 
 
 def read_rest(spark: SparkSession, url: str, columns: list[str] | None = None, **options) -> DataFrame:
-    """JSON records of a service as text columns. Without ``columns`` the first page tells them."""
+    """JSON records of a service as text columns.
+
+    Without ``columns`` the keys of all records on all pages are columns, in the order they are first met. The records
+    are then kept (in memory, beyond that on disk) so that the service is asked once.
+    """
     options = {k: json.dumps(v) if isinstance(v, (dict, list)) else str(v) for k, v in {"url": url, **options}.items() if v is not None}
-    if columns is None:
-        first = next(iter(RestReader({**options}, T.StructType()).pages(0 if options.get("pagination") == "offset" else None)), [])
-        columns = list(dict.fromkeys(k for row in first for k in row))
     spark.dataSource.register(RestSource)
-    return spark.read.format("nestwright_rest").schema(T.StructType([T.StructField(c, T.StringType()) for c in columns])).options(**options).load()
+    reader = spark.read.format("nestwright_rest").options(**options)
+    if columns is not None:
+        return reader.schema(T.StructType([T.StructField(c, T.StringType()) for c in columns])).load()
+    records = reader.schema("fields map<string,string>").load().persist()
+    keys = records.select(F.monotonically_increasing_id().alias("at"), F.posexplode(F.map_keys("fields")).alias("pos", "key"))
+    try:
+        found = [r.key for r in keys.groupBy("key").agg(F.min(F.struct("at", "pos")).alias("first")).orderBy("first").collect()]
+    except PythonException as e:
+        raise SourceError(f"{url} cannot be read: {(re.findall(r'SourceError: (.*)', str(e)) or ['see above'])[0]}") from e
+    return records.select(*(F.try_element_at("fields", F.lit(k)).alias(k) for k in found))
 
 
 def flatten(df: DataFrame, items: dict[str, int] | None = None) -> DataFrame:

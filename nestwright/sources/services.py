@@ -13,10 +13,39 @@ from nestwright.errors import ConfigError, SourceError
 from nestwright.sources.rest import read_rest
 
 #: Resources of the services and where they are.
-POWERSCHOOL = {k: (f"/ws/v1/district/{v}", f"{k}.{v}") for k, v in {"students": "student", "staff": "staff", "schools": "school", "sections": "section"}.items()} | {"enrollments": ("/ws/v1/district/enrollment", "enrollments.enrollment")}
-BLACKBAUD = {"users": "/school/v1/users", "students": "/school/v1/students", "sections": "/school/v1/sections", "enrollments": "/school/v1/enrollment", "schools": "/school/v1/schools", "courses": "/school/v1/academics/courses"}
-ONEROSTER = frozenset("users students teachers orgs enrollments courses classes academicSessions demographics lineItems results gradingPeriods terms categories".split())
-CANVAS_ACCOUNT, CANVAS_COURSE = frozenset({"users", "courses", "sis_imports"}), frozenset({"enrollments", "students", "assignments", "sections"})
+POWERSCHOOL = {
+    "students": ("/ws/v1/district/student", "students.student"),
+    "staff": ("/ws/v1/district/staff", "staff.staff"),
+    "schools": ("/ws/v1/district/school", "schools.school"),
+    "sections": ("/ws/v1/district/section", "sections.section"),
+    "enrollments": ("/ws/v1/district/enrollment", "enrollments.enrollment"),
+}
+BLACKBAUD = {
+    "users": "/school/v1/users",
+    "students": "/school/v1/students",
+    "sections": "/school/v1/sections",
+    "enrollments": "/school/v1/enrollment",
+    "schools": "/school/v1/schools",
+    "courses": "/school/v1/academics/courses",
+}
+ONEROSTER = frozenset({
+    "users",
+    "students",
+    "teachers",
+    "orgs",
+    "enrollments",
+    "courses",
+    "classes",
+    "academicSessions",
+    "demographics",
+    "lineItems",
+    "results",
+    "gradingPeriods",
+    "terms",
+    "categories",
+})
+CANVAS_ACCOUNT = frozenset({"users", "courses", "sis_imports"})
+CANVAS_COURSE = frozenset({"enrollments", "students", "assignments", "sections"})
 
 
 def _one_of(value: str, known) -> None:
@@ -84,16 +113,32 @@ def sheet_id(spreadsheet: str) -> str:
     raise ConfigError("give a sheet's address or its 44-character id")
 
 
-def read_google_sheet(spark: SparkSession, spreadsheet: str, api_key: str, worksheet: str = "Sheet1", header_row: int = 1, value_render_option: str = "FORMATTED_VALUE") -> DataFrame:
-    """One worksheet as text columns, by API key."""
+def _sheet_token(credentials=None, service_account_file: str | None = None) -> str:
+    """An access token out of credentials (an object with ``token``, or the token), or of a service account's key file."""
+    if credentials is not None:
+        return credentials if isinstance(credentials, str) else credentials.token
+    try:
+        from google.auth.transport.requests import Request
+        from google.oauth2.service_account import Credentials
+    except ImportError as e:
+        raise SourceError("service accounts need google-auth") from e
+    made = Credentials.from_service_account_file(service_account_file, scopes=["https://www.googleapis.com/auth/spreadsheets.readonly"])
+    made.refresh(Request())
+    return made.token
+
+
+def read_google_sheet(spark: SparkSession, spreadsheet: str, api_key: str | None = None, worksheet: str = "Sheet1", header_row: int = 1, value_render_option: str = "FORMATTED_VALUE", credentials=None, service_account_file: str | None = None, service: str = "https://sheets.googleapis.com") -> DataFrame:
+    """One worksheet as text columns, by exactly one of API key, credentials and service account file."""
     from nestwright.sources.files import read_rows
 
-    _need(api_key=api_key)
-    url = f"https://sheets.googleapis.com/v4/spreadsheets/{sheet_id(spreadsheet)}/values/{urllib.parse.quote(worksheet)}?" + urllib.parse.urlencode({"key": api_key, "valueRenderOption": value_render_option})
+    if sum(x is not None and x != "" for x in (api_key, credentials, service_account_file)) != 1:
+        raise ConfigError("exactly one of api_key, credentials and service_account_file")
+    url = f"{service}/v4/spreadsheets/{sheet_id(spreadsheet)}/values/{urllib.parse.quote(worksheet)}?" + urllib.parse.urlencode({**({"key": api_key} if api_key else {}), "valueRenderOption": value_render_option})
+    headers = {} if api_key else {"Authorization": f"Bearer {_sheet_token(credentials, service_account_file)}"}
     try:
-        with urllib.request.urlopen(url, timeout=30) as answer:
+        with urllib.request.urlopen(urllib.request.Request(url, headers=headers), timeout=30) as answer:
             values = json.loads(answer.read()).get("values", [])
-    except OSError as e:
+    except (OSError, ValueError) as e:
         raise SourceError(f"worksheet {worksheet!r} cannot be read") from e
     names = [str(x) for x in values[header_row - 1]] if len(values) >= header_row else []
     return read_rows(spark, [dict(zip(names, map(str, r), strict=False)) for r in values[header_row:]], names)
@@ -108,18 +153,52 @@ def _load(reader, what: str) -> DataFrame:
         raise
 
 
-def read_snowflake(spark: SparkSession, query: str, account: str, user: str, password: str, database: str | None = None, schema: str | None = None, warehouse: str | None = None, role: str | None = None) -> DataFrame:
+def bound(query: str, params: dict | None) -> str:
+    """``query`` with its named parameters (``:name`` or ``@name``) as SQL literals; text is quoted, names must be known."""
+    if not params:
+        return query
+
+    def literal(v) -> str:
+        if v is None:
+            return "NULL"
+        if isinstance(v, bool):
+            return "TRUE" if v else "FALSE"
+        if isinstance(v, (int, float)):
+            return repr(v)
+        return "'" + str(v).replace("\\", "\\\\").replace("'", "''") + "'"
+
+    def put(m: re.Match) -> str:
+        if m[1] is None:  # a quoted text of the query
+            return m[0]
+        if m[1] not in params:
+            raise ConfigError(f"no value for parameter {m[1]!r}")
+        return literal(params[m[1]])
+
+    return re.sub(r"'(?:[^']|'')*'|::\w+|[:@]([A-Za-z_]\w*)", put, query)
+
+
+def query_parameters(params: dict | None) -> list[dict]:
+    """Named parameters with the types that a warehouse wants: BOOL, INT64, FLOAT64, STRING."""
+    kinds = ((bool, "BOOL"), (int, "INT64"), (float, "FLOAT64"))
+    return [{"name": k, "type": next((t for kind, t in kinds if isinstance(v, kind)), "STRING"), "value": v} for k, v in (params or {}).items()]
+
+
+def read_snowflake(spark: SparkSession, query: str, account: str, user: str, password: str, database: str | None = None, schema: str | None = None, warehouse: str | None = None, role: str | None = None, params: dict | None = None) -> DataFrame:
     _need(query=query, account=account, user=user)
     given = {"sfURL": f"{account}.snowflakecomputing.com", "sfUser": user, "sfPassword": password, "sfDatabase": database, "sfSchema": schema, "sfWarehouse": warehouse, "sfRole": role}
-    return _load(spark.read.format("net.snowflake.spark.snowflake").options(**{k: v for k, v in given.items() if v}).option("query", query), "Snowflake")
+    return _load(spark.read.format("net.snowflake.spark.snowflake").options(**{k: v for k, v in given.items() if v}).option("query", bound(query, params)), "Snowflake")
 
 
-def read_bigquery(spark: SparkSession, query: str | None = None, table: str | None = None, project: str | None = None, max_results: int | None = None, **options) -> DataFrame:
+def read_bigquery(spark: SparkSession, query: str | None = None, table: str | None = None, project: str | None = None, max_results: int | None = None, params: dict | None = None, **options) -> DataFrame:
+    """``params`` are named ``@name`` in the query. A table's ``count()`` is its number of rows."""
     if (query is None) == (table is None):
         raise ConfigError("either a query or a table")
     reader = spark.read.format("bigquery").options(**options)
     if project:
         reader = reader.option("parentProject", project)
+    if query:
+        for p in query_parameters(params):
+            reader = reader.option(f"NamedParameters.{p['name']}", f"{p['type']}:{p['value']}")
     df = _load(reader.option("query", query) if query else reader.option("table", table), "BigQuery")
     return df.limit(max_results) if max_results else df
 
