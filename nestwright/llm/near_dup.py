@@ -272,10 +272,14 @@ def near_duplicate_classes(docs: DataFrame, id_col: str = "doc_id", text_col: st
 
     # the words of texts that share a bucket are all that the two passes read; members grow with the corpus, so no broadcast
     codes = work.table(rows.select(F.col("doc").alias("rep"), "words").join(members.select("rep").distinct().hint("merge"), "rep", "left_semi"), "codes")
+    prints = work.table(rows.select("doc", "fp1", "fp2", "n_words"), "prints")
+    work.drop("sketches")
+    work.release()
 
     dealt = members.join(codes, "rep").select("key", "block", "rep", "words")
     links = dealt.repartition(shuffle_width(spark), "key", "block").sortWithinPartitions("key", "block").mapInArrow(_verify(threshold), "a long, b long")
     labels = connected_components(links, work)
+    work.release()
 
     # classes that meet in a bucket which was dealt out; of buckets with the same members one is looked at
     large = buckets.where(F.col("n") > bucket).groupBy("members", "n").agg(F.min("key").alias("key"))
@@ -288,8 +292,9 @@ def near_duplicate_classes(docs: DataFrame, id_col: str = "doc_id", text_col: st
     if late.limit(1).count():
         labels = connected_components(late.unionByName(labels.select(F.col("node").alias("a"), F.col("label").alias("b"))), work, "late")
 
+    work.drop("codes", "members", "buckets", "placed", "tiled", "tiles", "pairs")
     classes = work.table(reps.join(labels, reps.rep == labels.node, "left").select("fp1", "fp2", "rep", F.coalesce("label", "rep").alias("class")), "classes")
-    joined = rows.drop("keys", "words").alias("r").join(classes.alias("c"), (F.col("r.fp1") == F.col("c.fp1")) & (F.col("r.fp2") == F.col("c.fp2")), "left")
+    joined = prints.alias("r").join(classes.alias("c"), (F.col("r.fp1") == F.col("c.fp1")) & (F.col("r.fp2") == F.col("c.fp2")), "left")
     alone = (F.col("r.n_words") == 0) | F.col("c.rep").isNull()
     return joined.select(F.col("r.doc").alias(id_col), F.when(F.col("r.doc").isNotNull(), F.when(alone, F.col("r.doc")).otherwise(F.col("c.class"))).alias("class_id"), F.when(F.col("r.doc").isNotNull(), F.when(alone, F.col("r.doc")).otherwise(F.col("c.rep"))).alias("copy_of"))
 

@@ -41,7 +41,7 @@ class _Ids(dict):
     as they are met again, and the one before is dropped. At most two limits and one block's new words are held.
     """
 
-    LIMIT, ENTRY, MARKS = 48 << 20, 230, ".,;:!?#$%&*|"
+    LIMIT, ENTRY, MARKS = 72 << 20, 230, ".,;:!?#$%&*|"
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer

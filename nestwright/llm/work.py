@@ -15,6 +15,9 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+_made: list[Workspace] = []
+
+
 class Workspace:
     """A folder of intermediate Parquet tables below ``spark.checkpoint.dir``.
 
@@ -30,6 +33,7 @@ class Workspace:
             base = "file://" + tempfile.mkdtemp(prefix="nestwright-")
         self.spark = spark
         self.path = f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+        _made.append(self)
 
     def table(self, df: DataFrame, name: str) -> DataFrame:
         """Write ``df`` once and return a scan of what was written; it is deleted when the session's process ends."""
@@ -41,10 +45,19 @@ class Workspace:
     def _where(self, name: str | None = None):
         return self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{self.path}/{name}" if name else self.path)
 
-    def drop(self, name: str) -> None:
-        """Delete a table that no later plan reads."""
-        where = self._where(name)
-        where.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+    def drop(self, *names: str) -> None:
+        """Delete tables that no later plan reads, or the whole folder."""
+        for name in names or (None,):
+            where = self._where(name)
+            where.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+
+    @staticmethod
+    def drop_all(kept: Workspace | None = None) -> None:
+        """Delete the folders of all operators so far but ``kept``: for callers who have written what those returned."""
+        for w in _made[:]:
+            if w is not kept:
+                w.drop()
+                _made.remove(w)
 
     def release(self) -> None:
         """Let Spark's cleaner remove the shuffle files of plans that are no longer referenced."""
