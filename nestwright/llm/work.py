@@ -52,12 +52,16 @@ class Workspace:
             where.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
 
     @staticmethod
-    def drop_all(kept: Workspace | None = None) -> None:
-        """Delete the folders of all operators so far but ``kept``: for callers who have written what those returned."""
-        for w in _made[:]:
-            if w is not kept:
-                w.drop()
-                _made.remove(w)
+    def drop_since(mark: int) -> int:
+        """Delete the folders made after ``mark`` (a number that this returned): their readers' results were written."""
+        for w in _made[mark:]:
+            w.drop()
+        del _made[mark:]
+        return len(_made)
+
+    @staticmethod
+    def mark() -> int:
+        return len(_made)
 
     def release(self) -> None:
         """Let Spark's cleaner remove the shuffle files of plans that are no longer referenced."""
