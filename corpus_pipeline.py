@@ -1,17 +1,14 @@
 """Corpus preparation end to end: five stages, each written to the shared folder and read back as the next one's input.
 
-All but the last return the columns of ``documents``, so a stage's frame has to be written before the next stage is
-called (which deletes the intermediate tables that the frame may read). Null texts and texts without a word are scored
+All but the last return the columns of ``documents``. Null texts and texts without a word are scored
 by the bias alone, are no near copies of each other and hold no passage; documents with a null id are kept whole; rows
 of one id are one document to near-duplicate search, whose copies stay or go together. Empty tables stay empty.
-Decisions take effect: rejected documents and near copies go,
-repeated passages are cut, rows are put in mixed order, and what is left is packed.
+Decisions take effect: rejected documents and near copies go, repeated passages are cut, rows are put in mixed order,
+and what is left is packed.
 """
 
 from __future__ import annotations
 
-from functools import wraps
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -20,48 +17,27 @@ from nestwright.llm.queries import LEAST_QUALITY, table, tokenizer_path
 from nestwright.llm.work import Workspace
 
 
-_mark = 0
-
-
-def later(function):
-    """A stage whose input was written already, so what the stage before left in the shared folder goes."""
-
-    @wraps(function)
-    def run_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-        global _mark
-        _mark = Workspace.drop_since(_mark)
-        return function(spark, docs, sf_dir)
-
-    return run_stage
-
-
 def classify(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose quality score reaches the threshold."""
-    global _mark
-    _mark = Workspace.mark()
     model = quality.fit(docs, table(spark, sf_dir, "labels"))
     return quality.score(docs, model, keep=tuple(docs.columns), name="_score").where(F.col("_score") >= LEAST_QUALITY).drop("_score")
 
 
-@later
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The document of smallest id of each class of near copies."""
     return near_dup.keep_one(docs)
 
 
-@later
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts without the passages that an earlier document holds."""
     return suffix_dedup.remove_repeats(docs)
 
 
-@later
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents, in the order that interleaves sources at their target weights."""
     return mixing.mixed_order(docs)
 
 
-@later
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of documents in sequences of 4096 tokens."""
     return packing.pack(docs, tokenizer_path())
@@ -81,8 +57,10 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     work = Workspace(spark, "pipeline")
+    mark = Workspace.mark()
     docs = table(spark, sf_dir, "documents")
     for k, (_, stage) in enumerate(STAGES):
         docs = work.table(stage(spark, docs, sf_dir), f"stage-{k}")
+        Workspace.drop_since(mark)  # what the stage's operators left in the shared folder
         work.release()
     return docs
