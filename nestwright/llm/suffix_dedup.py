@@ -10,13 +10,18 @@ each window of ``length`` bytes is filed under the smallest hash among its k-gra
 hence equal suffixes always meet in one part. Neighbouring windows that share the same k-gram occurrence travel as one
 run, and only k-grams found in more than one document are followed further:
 
-1. *find*: every run reports its k-gram and a hash of its bytes (packed arrays, 16 bytes a run). Of equal runs all but
-   those of the smallest document are removed right away, first within a block of text, then within a part; k-grams
-   with one content left, or in one document only, end here;
+1. *find*: every run reports its k-gram and a 64-bit hash of its bytes (packed arrays, 18 bytes a run). Of runs with
+   equal k-gram and hash all but those of the smallest document are removed right away, first within a block of text,
+   then within a part: copies of whole runs, the bulk of what repeats, never reach the suffix order. This one step takes
+   hashes for bytes. k-grams with one content left, or in one document only, end here;
 2. *cut*: the bytes of the runs that are left are cut from the texts and dealt to the parts;
-3. *order*: each part sorts their windows, and windows of later documents become removals;
+3. *order*: each part sorts their suffixes, compares neighbours byte by byte and makes the LPF array from previous and
+   next smaller documents; windows whose factor has the full length become removals;
 4. *apply*: removals meet their texts.
 
+Parts are slots of a bounded number of bytes of text, whatever the number of shuffle partitions; a task takes its slots
+one after another.
+
 A k-gram with very many contents (the edge of a line that a third of all documents holds) is *hot*: its windows are
 dealt one by one by their own content after a local pass that keeps the smallest document of each. A block of text
 reports at most ``LOCAL`` contents of a k-gram, so no task gets a hot group.
@@ -37,13 +42,14 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from nestwright.llm.text import _TABLE, U64, buffers, mix, powers, slices, span_hashes
-from nestwright.llm.work import Workspace, lean, own_partition, shuffle_width
+from nestwright.llm.work import Workspace, lean, shuffle_width
 
 #: Bytes of text whose runs are reported together and looked for together; contents of one k-gram that such a block may report, beyond which the
 #: k-gram is hot, as it is from HOT contents in all.
 BLOCK, PIECE, LOCAL, HOT = 4 << 20, 1 << 20, 16, 256
-#: Runs whose windows are sorted at a time.
+#: Runs whose windows are sorted at a time; bytes of text for each slot and for each task.
 CELL = 8_000
+SLOT, TASK = 12 << 20, 192 << 20
 _PACKED = T.StructType([T.StructField("dest", T.IntegerType()), T.StructField("kind", T.IntegerType()), T.StructField("blob", T.BinaryType())])
 _HEAD = np.dtype([("n", "<i8"), ("docs", "<i8")])
 
@@ -149,7 +155,7 @@ def _report(docs, tags, offs, doc, first, n, gram, content, many) -> bytes:
     used = np.unique(doc)
     head = np.array([(len(doc), len(used))], _HEAD).tobytes() + docs[used].astype("<i8").tobytes() + tags[used].astype("<i4").tobytes() + offs[used].astype("<u4").tobytes()
     size = n.astype(np.uint8) | (many.astype(np.uint8) << 7)
-    return head + _planes((offs[doc] + first).astype("<u4")) + size.tobytes() + (gram >> U64(24)).view(np.uint8).reshape(-1, 8)[:, :5].tobytes() + (content >> U64(8)).view(np.uint8).reshape(-1, 8)[:, :7].tobytes()
+    return head + _planes((offs[doc] + first).astype("<u4")) + size.tobytes() + (gram >> U64(24)).view(np.uint8).reshape(-1, 8)[:, :5].tobytes() + content.tobytes()
 
 
 def _reported(blob: bytes) -> tuple[np.ndarray, ...]:
@@ -161,10 +167,9 @@ def _reported(blob: bytes) -> tuple[np.ndarray, ...]:
     place = _from_planes(blob, at, n, 4, "<u4")
     index = np.searchsorted(starts, place, side="right") - 1
     size = np.frombuffer(blob, np.uint8, n, at + 4 * n)
-    wide = [np.zeros((n, 8), np.uint8), np.zeros((n, 8), np.uint8)]
-    wide[0][:, :5] = np.frombuffer(blob, np.uint8, 5 * n, at + 5 * n).reshape(n, 5)
-    wide[1][:, :7] = np.frombuffer(blob, np.uint8, 7 * n, at + 10 * n).reshape(n, 7)
-    return ids[index], tags[index], (place - starts[index]).astype("<i4"), size & 127, size > 127, wide[0].view("<u8").ravel(), wide[1].view("<u8").ravel()
+    gram = np.zeros((n, 8), np.uint8)
+    gram[:, :5] = np.frombuffer(blob, np.uint8, 5 * n, at + 5 * n).reshape(n, 5)
+    return ids[index], tags[index], (place - starts[index]).astype("<i4"), size & 127, size > 127, gram.view("<u8").ravel(), np.frombuffer(blob, "<u8", n, at + 10 * n)
 
 
 def _heads(*keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -241,39 +246,50 @@ def _by_document(parts: int, ids: np.ndarray, tags: np.ndarray, kind: int, *colu
         yield int(to[x[0]]), kind, _pack(ids[x[start]], tags[x[start]], np.repeat(np.arange(len(start)), count), *(c[x] for c in columns))
 
 
-def _match(parts: int, groups: int):
+def _by_slot(settle):
+    """Runs ``settle(slot, blobs)`` for one slot after another; entries for texts (kind above 0) pass by."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        reports: list[tuple] = []
+        now, held = None, []
         for batch in batches:
             out = []
             for dest, kind, blob in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 if kind:
                     out.append((dest, kind, blob))
-                else:
-                    reports.append((np.int32(dest), _reported(blob)))
+                    continue
+                if dest != now:
+                    if held:
+                        yield from settle(now, held)
+                    now, held = dest, []
+                held.append(blob)
             if out:
                 yield _rows(*map(list, zip(*out, strict=True)))
-        if not reports:
-            return
-        dest = np.concatenate([np.full(len(r[0]), d) for d, r in reports])
-        ids, tags, first, n, many, gram, content = (np.concatenate(x) for x in zip(*(r for _, r in reports), strict=True))
-        del reports
-        order = np.lexsort((ids, content, gram, dest))
-        dest, ids, tags, first, n, many, gram, content = (x[order] for x in (dest, ids, tags, first, n, many, gram, content))
-        head, size = _heads(dest, gram, content)
+        if held:
+            yield from settle(now, held)
+
+    return lean(run)
+
+
+def _match(groups: int):
+    def settle(slot: int, blobs: list[bytes]) -> Iterator[pa.RecordBatch]:
+        ids, tags, first, n, many, gram, content = (np.concatenate(x) for x in zip(*map(_reported, blobs), strict=True))
+        blobs.clear()
+        order = np.lexsort((ids, content, gram))
+        ids, tags, first, n, many, gram, content = (x[order] for x in (ids, tags, first, n, many, gram, content))
+        head, size = _heads(gram, content)
         later = ids > np.repeat(ids[head], size)
         yield from _packets(_by_document(groups, ids[later], tags[later], 2, first[later], n[later].astype("<i4")))
-        dest, ids, tags, first, n, many, gram, content = (x[~later] for x in (dest, ids, tags, first, n, many, gram, content))
+        ids, tags, first, n, many, gram, content = (x[~later] for x in (ids, tags, first, n, many, gram, content))
         distinct = np.zeros(len(gram), np.int64)
-        distinct[_heads(dest, gram, content)[0]] = 1
-        head, size = _heads(dest, gram)
+        distinct[_heads(gram, content)[0]] = 1
+        head, size = _heads(gram)
         contents = np.add.reduceat(distinct, head)
         some = np.maximum.reduceat(ids, head) != np.minimum.reduceat(ids, head)
         hot = (contents > HOT) | np.logical_or.reduceat(many, head)
         left = np.repeat(((contents > 1) & some) | hot, size)
-        yield from _packets(_by_document(groups, ids[left], tags[left], 1, first[left], n[left].astype(np.uint8), dest[left].astype("<i4"), np.repeat(hot, size)[left], gram[left].astype(np.uint8)))
+        yield from _packets(_by_document(groups, ids[left], tags[left], 1, first[left], n[left].astype(np.uint8), np.full(int(left.sum()), slot, "<i4"), np.repeat(hot, size)[left], gram[left].astype(np.uint8)))
 
-    return lean(run)
+    return _by_slot(settle)
 
 
 def _packets(rows) -> Iterator[pa.RecordBatch]:
@@ -383,27 +399,59 @@ def _deal(docs, tags, own, first, n, cell, dest, raw, sizes) -> list[tuple[int,
     return out
 
 
-def previous_factor_documents(windows: np.ndarray, docs: np.ndarray) -> np.ndarray:
-    """For each window (a row of bytes) the smallest document among equal windows.
+def _smaller(docs: np.ndarray, common: np.ndarray, least: int) -> np.ndarray:
+    """Common prefix of each suffix with the nearest one before it whose document is smaller, 0 without one.
 
-    The windows are put in suffix order. Windows with a common prefix of full length are neighbours there, and sorted
-    by document among themselves, so the previous smaller value of a window that has one lies in its own stretch: the
-    first of the stretch. It is the window's own document where the longest previous factor is shorter.
+    ``common[i]`` is the common prefix of suffixes i - 1 and i. All positions jump at once to the candidate of their
+    candidate, which skips only documents that are no smaller, and the prefix shrinks with each jump. What has shrunk
+    below ``least`` is not followed further.
+    """
+    at, low = np.arange(len(docs)) - 1, common.copy()
+    low[:1] = 0
+    going = np.flatnonzero(low >= least)
+    going = going[docs[at[going]] >= docs[going]]
+    while len(going):
+        there = at[going]
+        low[going] = np.minimum(low[going], low[there])
+        at[going] = at[there]
+        going = going[low[going] >= least]
+        going = going[docs[at[going]] >= docs[going]]
+    return low
+
+
+def longest_previous_factors(windows: np.ndarray, docs: np.ndarray, least: int = 1) -> np.ndarray:
+    """LPF array of suffixes given by their first bytes (a row each): the longest prefix that starts in a smaller document.
+
+    Suffixes are put in order and their common prefixes compared byte by byte; of suffixes with a smaller document the
+    nearest before and the nearest behind in that order (previous and next smaller values) have the longest one. Factors
+    are cut at the width of a row, and those below ``least`` may be told too long, but below ``least`` still.
     """
     n, length = windows.shape
     wide = np.zeros((n, -(-length // 8) * 8), np.uint8)
     wide[:, :length] = windows
     words = wide.view(">u8").astype(U64)
     order = np.lexsort((docs, *(words[:, i] for i in range(words.shape[1] - 1, -1, -1))))
-    words, sorted_docs = words[order], docs[order]
-    head = np.flatnonzero(np.append(True, (words[1:] != words[:-1]).any(1)))
-    out = np.empty(n, docs.dtype)
-    out[order] = np.repeat(sorted_docs[head], np.diff(np.append(head, n)))
+    words, ranked_docs = words[order], docs[order]
+    common = np.zeros(n + 1, np.int64)
+    for a in range(1, n, 1 << 15):  # eight bytes at a time: the first word that differs, and its first byte that does
+        b = min(n, a + (1 << 15))
+        differ = words[a:b] ^ words[a - 1 : b - 1]
+        at = (differ != 0).argmax(1)
+        first = differ[np.arange(b - a), at]
+        within = sum((first < U64(1 << shift)).astype(np.int64) for shift in range(56, 0, -8))
+        common[a:b] = np.where(first == 0, length, np.minimum(8 * at + within, length))
+    before = _smaller(ranked_docs, common[:n], least)
+    behind = _smaller(ranked_docs[::-1], common[1:][::-1], least)[::-1]
+    out = np.empty(n, np.int64)
+    out[order] = np.maximum(before, behind)
     return out
 
 
 def _earlier(length: int, ids: np.ndarray, n: np.ndarray, runs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(run, window in it) of each window that a smaller document holds; a row of ``runs`` has a run's bytes, zero-padded."""
+    """(run, window in it) of each window that a smaller document holds; a row of ``runs`` has a run's bytes, zero-padded.
+
+    Of runs with equal bytes that of the smallest document stands in suffix order; the others' windows all start there.
+    """
     words = runs.view("<u8")
     key = mix((words * powers(0xD6E8FEB86659FD93, words.shape[1])[1 : 1 + words.shape[1]]).sum(1, dtype=U64) + n.astype(U64))
     order = np.lexsort((ids, key))
@@ -414,31 +462,19 @@ def _earlier(length: int, ids: np.ndarray, n: np.ndarray, runs: np.ndarray) -> t
     base = np.cumsum(n[lead]) - n[lead]
     row = np.repeat(lead, n[lead])
     step = np.arange(len(row)) - np.repeat(base, n[lead])
-    earliest = previous_factor_documents(sliding_window_view(runs, length, axis=1)[row, step], ids[row])
+    factors = longest_previous_factors(sliding_window_view(runs, length, axis=1)[row, step], ids[row], length)
     row = np.repeat(np.arange(len(n)), n)
     step = np.arange(len(row)) - np.repeat(np.cumsum(n) - n, n)
-    gone = earliest[base[group[row]] + step] < ids[row]
+    gone = (ids[lead][group[row]] < ids[row]) | (factors[base[group[row]] + step] >= length)
     return row[gone], step[gone]
 
 
 def _order(length: int, k: int, groups: int):
     wide = -(-(2 * length - k) // 8) * 8
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        blobs = []
-        for batch in batches:
-            out = []
-            for dest, kind, blob in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                if kind:
-                    out.append((dest, kind, blob))
-                else:
-                    blobs.append(blob)
-            if out:
-                yield _rows(*map(list, zip(*out, strict=True)))
-        if not blobs:
-            return
+    def settle(slot: int, blobs: list[bytes]) -> Iterator[pa.RecordBatch]:
         (ids, tags, first, n, cell), raw = _unpack_all(blobs, ("<i4", "u1", "u1"))
-        del blobs
+        blobs.clear()
         raw, n = np.frombuffer(raw, np.uint8), n.astype(np.int64)
         sizes = n + length - 1
         begins = np.cumsum(sizes) - sizes
@@ -458,7 +494,7 @@ def _order(length: int, k: int, groups: int):
                 y = x[row[head]]
                 yield from _packets(_by_document(groups, ids[y], tags[y], 2, (first[y] + step[head]).astype("<i4"), size.astype("<i4")))
 
-    return lean(run)
+    return _by_slot(settle)
 
 
 def _merge(first: np.ndarray, count: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
@@ -523,20 +559,22 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     characters that a span covers in part stay whole; and ``row``: a struct of the other columns as c0, c1, ... in their
     order, the text's place holding whether it was null.
     """
-    if not 8 <= k < length <= 200:
-        raise ValueError("8 <= k < length <= 200")
+    if not 8 <= k < length <= 200 or length - k + 1 > 127:  # a run's windows are counted in seven bits
+        raise ValueError("8 <= k < length <= 200, and length - k + 1 <= 127")
     spark = docs.sparkSession
     work = Workspace(spark, "lpf")
-    parts = shuffle_width(spark)
-    groups = parts
     row = F.struct(*((F.col(f"`{c}`").isNull() if c == text_col else F.col(f"`{c}`")).alias(f"c{i}") for i, c in enumerate(docs.columns)))
     source = docs.select(F.col(id_col).cast("long").alias("doc"), F.col(text_col).cast("string").alias("text"), F.shiftright(F.coalesce(F.xxhash64(F.col(text_col)), F.lit(0)), 32).cast("int").alias("tag"), row.alias("row"))
     ordered = source.where(f"doc is not null and octet_length(text) >= {length}").drop("row")
 
-    place = own_partition(spark, "dest", parts)
+    # slots bound what a task holds, by the bytes of text; a task takes one slot after another
+    width, size = shuffle_width(spark), ordered.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).head()[0]
+    parts = groups = max(width, -(-size // SLOT))
+    tasks = min(parts, max(width, -(-size // TASK)))
 
     def dealt(df: DataFrame) -> DataFrame:
-        return df.repartition(parts, place)
+        out = df.repartitionById(tasks, F.pmod("dest", F.lit(tasks)).cast("int"))
+        return out if tasks == parts else out.sortWithinPartitions("dest")
 
     def beside(packed: DataFrame, rows: DataFrame) -> DataFrame:
         """Packed entries and texts of the same documents in one partition, entries first."""
@@ -544,7 +582,7 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         texts = rows.select(group, F.lit(3).alias("kind"), F.lit(None).cast("binary").alias("blob"), "doc", "tag", F.col("text").cast("binary").alias("text"), *(["row"] if "row" in rows.columns else []))
         return dealt(packed.unionByName(texts, allowMissingColumns=True)).sortWithinPartitions("dest", "kind")
 
-    found = work.table(dealt(ordered.mapInArrow(_find(length, k, parts, groups), _PACKED)).mapInArrow(_match(parts, groups), _PACKED), "found")
+    found = work.table(dealt(ordered.mapInArrow(_find(length, k, parts, groups), _PACKED)).mapInArrow(_match(groups), _PACKED), "found")
     work.release()
     cut = beside(found.where("kind = 1"), ordered).mapInArrow(_cut(length, parts, groups), _PACKED)
     spans = work.table(dealt(cut).mapInArrow(_order(length, k, groups), _PACKED), "spans")

@@ -74,9 +74,33 @@ def test_repeats_with_null_and_equal_ids_and_kept_text(spark):
     assert suffix_dedup.repeated_spans(spark.createDataFrame([], DOCS)).count() == 0
 
 
-def test_windows_in_suffix_order():
-    w = np.frombuffer(b"abcdabceabcdabcd", np.uint8).reshape(4, 4)
-    assert suffix_dedup.previous_factor_documents(w, np.array([3, 1, 2, 9])).tolist() == [2, 1, 2, 2]
+def test_longest_previous_factors():
+    for seed in range(30):
+        r = np.random.default_rng(seed)
+        n, length = int(r.integers(1, 60)), int(r.integers(1, 12))
+        windows, docs = r.integers(97, 99, (n, length)).astype(np.uint8), r.integers(0, 8, n)
+        common = lambda a, b: next((k for k, (x, y) in enumerate(zip(a, b, strict=True)) if x != y), len(a))
+        want = [max([common(windows[i], windows[j]) for j in range(n) if docs[j] < docs[i]], default=0) for i in range(n)]
+        assert suffix_dedup.longest_previous_factors(windows, docs).tolist() == want
+        for least in (2, length):
+            got = suffix_dedup.longest_previous_factors(windows, docs, least)
+            assert [(g if g >= least else 0) for g in got.tolist()] == [(w if w >= least else 0) for w in want]
+
+
+def test_repeats_with_more_slots_than_tasks(spark, corpus, monkeypatch):
+    monkeypatch.setattr(suffix_dedup, "SLOT", 1000)
+    monkeypatch.setattr(suffix_dedup, "TASK", 20_000)
+    got = {r.doc: (r.n_bytes, r.n_removed, len(r.spans), r.kept) for r in suffix_dedup.repeated_spans(frame(spark, corpus)).collect()}
+    assert got == brute_repeats(enumerate(corpus))
+
+
+def test_repeats_in_a_text_above_one_piece(spark):
+    """Texts above 2**24 bytes are cut into overlapping pieces."""
+    r = np.random.default_rng(5)
+    long = bytes(r.integers(97, 123, (1 << 24) + 3000, dtype=np.uint8)).decode()
+    shared = long[(1 << 24) - 400 : (1 << 24) + 400]
+    got = {x.doc: x for x in suffix_dedup.repeated_spans(frame(spark, [shared + prose(5, 1), long])).collect()}
+    assert got[1].n_removed == 800 and got[1].spans[0]["from"] == (1 << 24) - 400 and got[0].n_removed == 0
 
 
 # ---- 2: near-duplicates ------------------------------------------------------------------------------------------
