@@ -6,7 +6,9 @@ squares for those codes. Every row is encoded (codes and the squared norm of its
 makes one table of inner products with all codewords, so a candidate's approximate distance is a sum of looked-up
 numbers and its stored norm. The best of each block are ranked again by exact distances to the original vectors.
 
-Vectors that are null, empty or zero, or hold null or non-finite components, take no part, nor do null ids.
+Vectors that are null, empty or zero, or hold null or non-finite components, take no part, nor do null ids; vectors of
+different lengths never meet. Equal distances go to the smaller id; rows of one id are candidates one by one, and none
+is a candidate of that id's query. An empty table or no query gives no row. Other columns are not looked at.
 """
 
 from __future__ import annotations
@@ -111,11 +113,11 @@ def _cell(books: np.ndarray, k: int, rerank: float):
     return run
 
 
-def additive_search(vectors: DataFrame, queries: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", k: int = 10, books: int = 16, words: int = 256, beam: int = 4, train_rows: int = 6144, rerank: float = 0.08, block: int = 8192, group: int = 1024) -> DataFrame:
+def additive_search(vectors: DataFrame, queries: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", k: int = 10, books: int = 16, words: int = 256, beam: int = 4, train_rows: int = 6144, rerank: float = 0.04, block: int = 8192, group: int = 1024) -> DataFrame:
     """query_id, rank, vec_id, score (Euclidean distance on the original vectors): k found for each query.
 
-    The codebooks are fitted on at most ``train_rows`` rows (smallest id hash); every row is indexed. ``rerank`` is the
-    share of a block whose exact distance is taken.
+    The codebooks of each vector length are fitted on at most ``train_rows`` of its rows (smallest id hash); every row is
+    indexed. ``rerank`` is the share of a block whose exact distance is taken, at least 24 k rows.
     """
     spark = vectors.sparkSession
     work = Workspace(spark, "ann")
@@ -125,14 +127,14 @@ def additive_search(vectors: DataFrame, queries: DataFrame, id_col: str = "vec_i
         return df.where(usable(v, allow_zero=False) & F.col(f"`{id_col}`").isNotNull()).select(F.col(f"`{id_col}`").cast("long").alias("id"), v.cast("array<double>").alias("vector"))
 
     rows, asked = clean(vectors), clean(queries)
-    sample = rows.orderBy(F.xxhash64("id"), "id").limit(train_rows).toArrow().column("vector").combine_chunks()
-    # vectors of other lengths than the most common one have an index of their own
+    # vectors of each length that occurs anywhere have an index of their own
+    lengths = sorted(r.d for r in rows.select(F.size("vector").alias("d")).distinct().collect())
     found = None
-    sizes = np.array([len(v) for v in sample]) if len(sample) else np.zeros(0, int)
-    for d in np.unique(sizes).tolist():
-        own = sample.filter(pa.array(sizes == d))
-        model = train(matrix(own), books, words, beam)
-        indexed = work.table(rows.where(F.size("vector") == d).mapInArrow(_encode(model, beam), "id long, vector array<double>, codes binary, norm double"), f"index-{d}")
+    for d in lengths:
+        mine = rows.where(F.size("vector") == d)
+        sample = mine.orderBy(F.xxhash64("id"), "id").limit(train_rows).toArrow().column("vector").combine_chunks()
+        model = train(matrix(sample), books, words, beam)
+        indexed = work.table(mine.mapInArrow(_encode(model, beam), "id long, vector array<double>, codes binary, norm double"), f"index-{d}")
         part = search(asked.where(F.size("vector") == d).select("id", "vector", F.lit(None).cast("binary").alias("codes"), F.lit(None).cast("double").alias("norm")), indexed, _cell(model, k, rerank), "query_id long, vec_id long, score double", [F.asc("score"), F.asc("vec_id")], k, block, group, work)
         found = part if found is None else found.unionByName(part)
     return found if found is not None else spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")

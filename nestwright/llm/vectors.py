@@ -2,7 +2,7 @@
 
 A stated query set meets all candidates in blocks: a cell of the grid holds at most ``block`` candidates and ``group``
 queries, candidates are copied once per query group and queries once per block. A cell reports its best k per query, so
-what is shuffled afterwards is k rows per query and block.
+what is shuffled afterwards is k rows per query and block. Rows are dealt by id and content, so repeated ids spread, too.
 """
 
 from __future__ import annotations
@@ -39,10 +39,10 @@ def search(queries: DataFrame, candidates: DataFrame, cell: Callable[[pa.Table,
     spark = queries.sparkSession
     n, q = candidates.count(), queries.count()
     blocks, groups = max(1, -(-n // block)), max(1, -(-q // group))
-    spread = lambda c, m, salt: F.pmod(F.xxhash64(c, F.lit(salt)), F.lit(m)).cast("int")
+    spread = lambda m, salt: F.pmod(F.xxhash64("id", "vector", F.lit(salt)), F.lit(m)).cast("int")
     each = lambda m: F.explode(F.sequence(F.lit(0), F.lit(m - 1)))
-    left = queries.select(each(blocks).alias("b"), spread("id", groups, 1).alias("g"), F.size("vector").alias("d"), F.lit(0).alias("side"), *queries.columns)
-    right = candidates.select(spread("id", blocks, 2).alias("b"), each(groups).alias("g"), F.size("vector").alias("d"), F.lit(1).alias("side"), *queries.columns)
+    left = queries.select(each(blocks).alias("b"), spread(groups, 1).alias("g"), F.size("vector").alias("d"), F.lit(0).alias("side"), *queries.columns)
+    right = candidates.select(spread(blocks, 2).alias("b"), each(groups).alias("g"), F.size("vector").alias("d"), F.lit(1).alias("side"), *queries.columns)
     cells = left.unionByName(right).repartition(max(shuffle_width(spark), min(blocks * groups, 4 * shuffle_width(spark))), "b", "g", "d").sortWithinPartitions("b", "g", "d", "side")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
