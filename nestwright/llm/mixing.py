@@ -11,8 +11,10 @@ its memory grows with the number of sources alone. When a source runs out, a new
 relative weights: every document is placed, none is repeated, and no slot stays empty.
 
 A document's number in its source comes from counts by (source, bucket of its random key) and a rank inside the
-bucket; buckets hold a bounded number of rows however large a source is. Null sources count as one source (written
-null). Rows with equal ids are placed one by one.
+bucket. A source has up to 32,768 buckets, so a bucket holds about ``bucket_rows`` rows, or a 32,768th of its source where
+that is more. Null sources count as one source (written null); null and empty texts are rows like others. Rows with
+equal ids are placed one by one, ties of their keys in any order. Columns of any name may be there. An empty table stays
+empty.
 """
 
 from __future__ import annotations
@@ -27,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from nestwright.llm.work import Workspace
+from nestwright.llm.work import Workspace, shuffle_width
 
 
 def whole_weights(weights: dict, period: int) -> dict:
@@ -98,14 +100,32 @@ def mix(docs: DataFrame, source_col: str = "source", key_cols: tuple[str, ...] =
     ``weights``: target weight by source, null's under None; without it a source's weight is its number of documents to
     the power ``exponent``, from counts over all rows. ``mix_slot`` orders the blocks and ``mix_position`` is
     slot * block + place in the block. ``period`` is the number of slots written at once; results do not depend on it.
-    The driver holds one number a source, whatever the number of rows.
+    The driver holds one number a source, whatever the number of rows. Columns called like the new ones are left out.
     """
+    columns = [c for c in keep or docs.columns if c.lower() not in _NEW]
+    placed = _placed(docs, source_col, key_cols, weights, exponent, block, period, seed, bucket_rows, columns)
+    return placed.select(*(F.col(f"row.c{i}").alias(c) for i, c in enumerate(columns)), *_NEW)
+
+
+def mixed_order(docs: DataFrame, source_col: str = "source", key_cols: tuple[str, ...] = ("doc_id",), weights: dict | None = None, exponent: float = 0.5, block: int = 16, period: int = 1024, seed: int = 7, bucket_rows: int = 256) -> DataFrame:
+    """``docs`` in mixed order: its files and the rows in them follow ``mix_position``."""
+    placed = _placed(docs, source_col, key_cols, weights, exponent, block, period, seed, bucket_rows, docs.columns)
+    ordered = placed.repartitionByRange(shuffle_width(docs.sparkSession), "mix_position").sortWithinPartitions("mix_position")
+    return ordered.select(*(F.col(f"row.c{i}").alias(c) for i, c in enumerate(docs.columns)))
+
+
+_NEW = ("mix_block", "mix_slot", "mix_position")
+
+
+def _placed(docs: DataFrame, source_col: str, key_cols: tuple[str, ...], weights: dict | None, exponent: float, block: int, period: int, seed: int, bucket_rows: int, columns: list[str]) -> DataFrame:
+    """``row``, a struct of ``columns`` as c0, c1, ..., with the three new columns."""
     spark = docs.sparkSession
-    columns = list(keep or docs.columns)
     key = F.xxhash64(*(F.col(f"`{c}`") for c in key_cols), F.lit(seed))
-    totals = {r[0]: r[1] for r in docs.groupBy(F.col(source_col).alias("s")).agg(F.count(F.lit(1))).collect()}
+    source = F.col(f"`{source_col}`")
+    row = F.struct(*(F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(columns))).alias("row")
+    totals = {r[0]: r[1] for r in docs.groupBy(source.alias("s")).agg(F.count(F.lit(1))).collect()}
     if not totals:
-        return docs.select(*columns, *(F.lit(0).cast("long").alias(c) for c in ("mix_block", "mix_slot", "mix_position")))
+        return docs.select(row, *(F.lit(0).cast("long").alias(c) for c in _NEW))
     target = {s: n**exponent for s, n in totals.items()} if weights is None else weights
     if missing := [s for s in totals if s not in target]:
         raise ValueError(f"no weight for sources {missing[:5]}")
@@ -124,26 +144,19 @@ def mix(docs: DataFrame, source_col: str = "source", key_cols: tuple[str, ...] =
 
     table = Workspace(spark, "mix").table(spark.range(0, 1, 1, 1).mapInArrow(slots, "s string, k long, slot long"), "slots")
 
-    name = F.when(F.col(source_col).isNull(), "-").otherwise(F.concat(F.lit("+"), F.col(source_col).cast("string")))
-    rows = docs.select(*columns, name.alias("_mix_source"), key.alias("_mix_key"))
-    rows = rows.withColumn("_mix_bucket", F.floor((F.shiftrightunsigned("_mix_key", 32)) * buckets / F.lit(1 << 32)).cast("long"))
-    counts = docs.select(name.alias("s"), F.floor((F.shiftrightunsigned(key, 32)) * buckets / F.lit(1 << 32)).cast("long").alias("b")).groupBy("s", "b").agg(F.count(F.lit(1)).alias("n"))
+    name = F.when(source.isNull(), "-").otherwise(F.concat(F.lit("+"), source.cast("string")))
+    bucket = F.floor(F.shiftrightunsigned(key, 32) * buckets / F.lit(1 << 32)).cast("long")
+    rows = docs.select(row, name.alias("s"), key.alias("key"), bucket.alias("b"))
+    counts = docs.select(name.alias("s"), bucket.alias("b")).groupBy("s", "b").agg(F.count(F.lit(1)).alias("n"))
     before = counts.select("s", "b", "n", (F.sum("n").over(Window.partitionBy("s").orderBy("b")) - F.col("n")).alias("before"))
     # the blocks that a bucket's rows are in, with their slots
     first = F.floor(F.col("before") / block)
     spread = before.select("s", "b", "before", F.explode(F.sequence(first, F.floor((F.col("before") + F.col("n") - 1) / block))).alias("k"))
-    before = spread.join(table, ["s", "k"]).groupBy(F.col("s").alias("_mix_source"), F.col("b").alias("_mix_bucket")).agg(F.first("before").alias("_mix_before"), F.sort_array(F.collect_list(F.struct("k", "slot"))).alias("_mix_slots"))
-    ranked = rows.withColumn("_mix_rank", F.row_number().over(Window.partitionBy("_mix_source", "_mix_bucket").orderBy("_mix_key")) - 1)
-    placed = ranked.join(before, ["_mix_source", "_mix_bucket"])
-    number = F.col("_mix_before") + F.col("_mix_rank")
-    placed = placed.withColumn("mix_block", F.floor(number / block).cast("long")).withColumn("_mix_place", F.pmod(number, F.lit(block)))
-    inside = (F.col("mix_block") - F.get("_mix_slots", F.lit(0))["k"]).cast("int")
-    placed = placed.withColumn("mix_slot", F.get("_mix_slots", inside)["slot"])
-    return placed.select(*columns, "mix_block", "mix_slot", (F.col("mix_slot") * block + F.col("_mix_place")).cast("long").alias("mix_position"))
-
-
-def mixed_order(docs: DataFrame, source_col: str = "source", key_cols: tuple[str, ...] = ("doc_id",), **parameters) -> DataFrame:
-    """``docs`` in mixed order: its files and the rows in them follow ``mix_position``."""
-    from nestwright.llm.work import shuffle_width
-
-    return mix(docs, source_col, key_cols, **parameters).repartitionByRange(shuffle_width(docs.sparkSession), "mix_position").sortWithinPartitions("mix_position").select(*docs.columns)
+    before = spread.join(table, ["s", "k"]).groupBy("s", "b").agg(F.first("before").alias("before"), F.sort_array(F.collect_list(F.struct("k", "slot"))).alias("slots"))
+    ranked = rows.withColumn("rank", F.row_number().over(Window.partitionBy("s", "b").orderBy("key")) - 1)
+    placed = ranked.join(before, ["s", "b"])
+    number = F.col("before") + F.col("rank")
+    placed = placed.withColumn("mix_block", F.floor(number / block).cast("long")).withColumn("place", F.pmod(number, F.lit(block)))
+    inside = (F.col("mix_block") - F.get("slots", F.lit(0))["k"]).cast("int")
+    placed = placed.withColumn("mix_slot", F.get("slots", inside)["slot"])
+    return placed.select("row", "mix_block", "mix_slot", (F.col("mix_slot") * block + F.col("place")).cast("long").alias("mix_position"))

@@ -16,8 +16,9 @@ in different classes: the bucket is cut into tiles of bounded size by length, an
 classes leave something to find meet in a group of their own. Two bounds, which no similar pair fails, come before the
 alignment: common words, and common pairs of neighbouring words. So the size of a bucket decides the order of work only.
 
-Rows with null ids take no part and get a null class. Texts without a word are their own class; rows with equal ids
-are taken as one document.
+Rows with null ids take no part and get a null class. Null and empty texts and texts without a word are their own class;
+rows with equal ids are taken as one document. Other columns are not looked at, whatever their names. An empty table
+gives no row. Very long texts are compared word by word inside the band: time grows with words times the band's width.
 """
 
 from __future__ import annotations
@@ -32,7 +33,7 @@ from pyspark.sql import functions as F
 
 from nestwright.llm.components import connected_components
 from nestwright.llm.text import U64, mix, shingles, slices, span_hashes, word_hashes
-from nestwright.llm.work import Workspace, lean, shuffle_width
+from nestwright.llm.work import Workspace, fresh, lean, shuffle_width
 
 _BLOCK = 1 << 20
 _TILE = 1 << 21  # words of a tile; a text counts for _HEAD more
@@ -301,5 +302,6 @@ def near_duplicate_classes(docs: DataFrame, id_col: str = "doc_id", text_col: st
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **parameters) -> DataFrame:
     """``docs`` without the documents that a smaller id of their class stands for; null ids stay."""
-    gone = near_duplicate_classes(docs, id_col, text_col, **parameters).where(f"`{id_col}` <> class_id").select(F.col(id_col).alias("_gone")).distinct()
-    return docs.join(gone, docs[id_col] == F.col("_gone"), "left_anti")
+    name = fresh(docs.columns, "gone")
+    gone = near_duplicate_classes(docs, id_col, text_col, **parameters).where(f"`{id_col}` <> class_id").select(F.col(f"`{id_col}`").alias(name)).distinct()
+    return docs.join(gone, docs[f"`{id_col}`"] == gone[name], "left_anti")

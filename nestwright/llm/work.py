@@ -11,8 +11,7 @@ from collections.abc import Callable, Iterator
 from functools import wraps
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
-from pyspark.sql import functions as F
+from pyspark.sql import DataFrame, SparkSession
 
 
 _made: list[Workspace] = []
@@ -96,11 +95,9 @@ def shuffle_width(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
-def own_partition(spark: SparkSession, slot: str, width: int) -> Column:
-    """A key that sends each of the slots 0 .. width - 1 to a partition of its own.
-
-    Hashing the slot numbers themselves would leave some partitions empty and give others several slots.
-    """
-    tries = spark.range(width * (width.bit_length() + 12)).select(F.pmod(F.hash(F.col("id").cast("int")), F.lit(width)).alias("slot"), F.col("id").cast("int").alias("key"))
-    found = {r.slot: r.key for r in tries.groupBy("slot").agg(F.min("key").alias("key")).collect()}
-    return F.get(F.lit([found.get(i, i) for i in range(width)]), F.col(slot))
+def fresh(columns: list[str], name: str) -> str:
+    """``name``, with underscores before it as long as a column is called so."""
+    taken = {c.lower() for c in columns}
+    while name.lower() in taken:
+        name = "_" + name
+    return name
