@@ -2,18 +2,20 @@
 
 A capture is written as three WARC/1.1 records: a ``response`` (or a ``revisit`` of an earlier equal payload), its
 ``request`` and a ``metadata`` record; the latter two name the first in WARC-Concurrent-To. Files are gzip-compressed
-and hold a bounded number of captures. They are read back whole and cut by Content-Length, so payloads may hold
-anything. *Assembly* joins records through their concurrent-to identifiers, in either direction and over a record in
+and hold a bounded number of captures and, on average, of bytes. They are unpacked piece by piece and cut by
+Content-Length, so payloads may hold anything. *Assembly* joins records through their concurrent-to identifiers, in either direction and over a record in
 between, and emits one nested row per capture.
 
-Null payloads count as empty, null urls are written without a target. Repeated rows become captures of their own.
+Null payloads count as empty, null urls are written without a target. Repeated rows become captures of their own; rows
+of one id and equal payloads are responses alike. A payload may have up to 2 GB, as a row of Spark may. Other columns
+are not looked at, whatever their names. An empty table gives no row.
 """
 
 from __future__ import annotations
 
-import gzip
 import hashlib
-from collections.abc import Iterator
+import zlib
+from collections.abc import Iterable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -21,8 +23,8 @@ from pyspark.sql import functions as F
 
 from nestwright.llm.work import Workspace
 
-#: Captures a file holds at most.
-PER_FILE = 500
+#: Captures that a file holds at most, and bytes that it has on average at most.
+PER_FILE, FILE_BYTES = 500, 64 << 20
 _RECORD = "record_id string, record_type string, concurrent_to array<string>, target_uri string, refers_to string, payload_digest string, payload_bytes long, capture_key string, payload binary"
 
 
@@ -55,35 +57,58 @@ def _record(kind: str | Column, record_id: Column, date: str, headers: list[tupl
 
 def write_captures(pages: DataFrame, path: str, id_col: str = "page_id", url_col: str = "url", payload_col: str = "html", date: str = "2024-01-01T00:00:00Z", work: Workspace | None = None) -> None:
     """Write each row as a response or revisit, a request and a metadata record below ``path``."""
-    rows = mark_revisits(pages, id_col, payload_col, work or Workspace(pages.sparkSession, "warc"))
-    ident = F.col(f"`{id_col}`").cast("string")
+    pages = pages.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{url_col}`").alias("url"), F.col(f"`{payload_col}`").alias("payload"))
+    rows = mark_revisits(pages, "id", "payload", work or Workspace(pages.sparkSession, "warc"))
+    size = rows.agg(F.avg("_bytes")).head()[0] or 0.0
+    ident = F.col("id").cast("string")
     own = [F.coalesce(ident, F.lit("null")), F.monotonically_increasing_id().cast("string")]  # one task writes all of a row's records
     rows = rows.withColumns({"_rid": _urn(F.lit("response"), *own), "_qid": _urn(F.lit("request"), *own), "_mid": _urn(F.lit("metadata"), *own)})
-    one_line = F.translate(F.col(f"`{url_col}`").cast("string"), "\r\n", "  ")
+    one_line = F.translate(F.col("url").cast("string"), "\r\n", "  ")
     target = ("WARC-Target-URI", one_line)
     again = F.col("_original").isNotNull()
     status = F.lit("HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\n\r\n")
-    body = F.when(again, status).otherwise(F.concat(status, F.coalesce(F.col(f"`{payload_col}`").cast("string"), F.lit(""))))
+    body = F.when(again, status).otherwise(F.concat(status, F.coalesce(F.col("payload").cast("string"), F.lit(""))))
     main = _record(F.when(again, "revisit").otherwise("response"), F.col("_rid"), date, [target, ("Content-Type", F.lit("application/http;msgtype=response")), ("WARC-Payload-Digest", F.concat(F.lit("sha256:"), F.col("_digest"))), ("X-Payload-Length", F.col("_bytes").cast("string")), ("X-Capture-Key", ident), ("WARC-Profile", F.when(again, F.lit("http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"))), ("X-Refers-To-Key", F.col("_original").cast("string"))], body)
     request = _record("request", F.col("_qid"), date, [target, ("Content-Type", F.lit("application/http;msgtype=request")), ("WARC-Concurrent-To", F.col("_rid"))], F.concat(F.lit("GET "), F.coalesce(one_line, F.lit("/")), F.lit(" HTTP/1.1\r\n\r\n")))
     metadata = _record("metadata", F.col("_mid"), date, [target, ("Content-Type", F.lit("application/warc-fields")), ("WARC-Concurrent-To", F.col("_qid"))], F.concat(F.lit("payload-length: "), F.col("_bytes").cast("string"), F.lit("\r\n")))
     end = "\r\n\r\n"
     out = rows.select(F.concat_ws(end, main, request, metadata).alias("value"))
-    out.write.option("lineSep", end).option("compression", "gzip").option("maxRecordsPerFile", PER_FILE).text(path)
-
-
-def cut_records(data: bytes):
-    """(headers, body) of each record of an uncompressed archive; a header's values in order, names lower-cased."""
-    at = 0
-    while (start := data.find(b"WARC/", at)) >= 0:
-        stop = data.index(b"\r\n\r\n", start)
+    out.write.option("lineSep", end).option("compression", "gzip").option("maxRecordsPerFile", max(1, min(PER_FILE, int(FILE_BYTES / (size + 1000))))).text(path)
+
+
+def unpacked(content: bytes, size: int = 1 << 20) -> Iterator[bytes]:
+    """An archive's bytes piece by piece, out of any number of gzip members or as they are."""
+    if content[:2] != b"\x1f\x8b":
+        yield content
+        return
+    inflate, at = zlib.decompressobj(31), 0
+    while at < len(content):
+        piece = content[at : at + size]
+        yield inflate.decompress(piece)
+        at += len(piece) - len(inflate.unused_data)
+        if inflate.eof:
+            inflate = zlib.decompressobj(31)
+
+
+def cut_records(pieces: Iterable[bytes]) -> Iterator[tuple[dict[str, list[str]], bytes]]:
+    """(headers, body) of each record of an archive; a header's values in order, names lower-cased. One record is held."""
+    held, pieces = bytearray(), iter(pieces)
+    while True:
+        while (start := held.find(b"WARC/")) < 0 or (stop := held.find(b"\r\n\r\n", start)) < 0:
+            if (piece := next(pieces, None)) is None:
+                return
+            held += piece
         headers: dict[str, list[str]] = {}
-        for line in data[start:stop].split(b"\r\n")[1:]:
+        for line in bytes(held[start:stop]).split(b"\r\n")[1:]:
             name, _, value = line.partition(b":")
             headers.setdefault(name.strip().lower().decode(), []).append(value.strip().decode("utf-8", "replace"))
-        size = int(headers["content-length"][0])
-        yield headers, data[stop + 4 : stop + 4 + size]
-        at = stop + 4 + size
+        end = stop + 4 + int(headers["content-length"][0])
+        while len(held) < end:
+            if (piece := next(pieces, None)) is None:
+                raise ValueError("an archive ends inside a record")
+            held += piece
+        yield headers, bytes(held[stop + 4 : end])
+        del held[:end]
 
 
 def _read(with_payload: bool):
@@ -93,10 +118,8 @@ def _read(with_payload: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for content in batch.column(0):
-                data = content.as_py()
-                data = gzip.decompress(data) if data[:2] == b"\x1f\x8b" else data
                 out: list[tuple] = []
-                for headers, body in cut_records(data):
+                for headers, body in cut_records(unpacked(content.as_py())):
                     get = lambda name, h=headers: h.get(name, [None])[0]
                     kind, payload = get("warc-type"), body
                     if "http" in (get("content-type") or ""):
