@@ -53,10 +53,8 @@ def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
-    pages, labels = table(spark, sf_dir, "pages"), table(spark, sf_dir, "labels")
-    bad = F.when((F.col("quality") == 0) | (F.col("toxic") == 1), 1).otherwise(0)
-    labelled = pages.select("page_id", "url").join(labels.select(F.col("doc_id").alias("page_id"), bad.alias("bad")), "page_id")
-    return url_rules.judge(pages, URL_RULES, url_rules.mine(labelled, "url", "bad"))
+    pages = table(spark, sf_dir, "pages")
+    return url_rules.judge(pages, URL_RULES, url_rules.mine(url_rules.labelled_by_rules(pages, URL_RULES), "url", "bad"))
 
 
 def op8_additive_ann(spark: SparkSession, sf_dir: str) -> DataFrame:

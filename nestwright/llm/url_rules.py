@@ -7,8 +7,12 @@ threshold, so they travel as a literal: an inverted index from a rule's rarest t
 its own tokens, and a rule fires when the URL has all its tokens. The most confident rule decides; without one the
 verdict is ``default``.
 
-Hand-written rules come first: host and path prefix, longest rule wins. Null urls and urls without ``://`` have an
-empty host and path, match no hand-written rule and carry only the token that says so.
+Hand-written rules come first: host and path prefix, longest rule wins. Labels may be those rules' own verdicts: mined
+rules then carry over to pages that no hand-written rule names what the named ones have in common.
+
+Null urls and urls without ``://`` have an empty host and path, match no hand-written rule and carry only the token that
+says so. Repeated rows are judged one by one; of mined rules that fire with equal confidence and support the first by
+its tokens decides. An empty table gives no row, and no labels give no rules.
 """
 
 from __future__ import annotations
@@ -109,10 +113,22 @@ def mined_verdict(of: Column, rules: list[dict]) -> Column:
 
 
 def judge(pages: DataFrame, hand_rules: list[tuple[str, str]], mined: list[dict], url_col: str = "url", keep: tuple[str, ...] = ("page_id",), default: str = "allow") -> DataFrame:
-    """``keep``, host, path, rule, verdict, mined: one row per page, one scan."""
+    """``keep``, host, path, rule, verdict, mined: one row per page, one scan.
+
+    Columns of ``keep`` that are called like one of the others are left out.
+    """
+    keep = tuple(c for c in keep if c.lower() not in ("host", "path", "rule", "verdict", "mined"))
     url = F.col(f"`{url_col}`").cast("string")
-    rows = pages.select(*keep, url.alias("_url"), host_of(url).alias("host"), path_of(url).alias("path"))
+    kept = F.struct(*(F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(keep))) if keep else F.lit(None)
+    rows = pages.select(kept.alias("kept"), url.alias("url"), host_of(url).alias("host"), path_of(url).alias("path"))
     rule, says = hand_rule(F.col("host"), F.col("path"), hand_rules)
-    rows = rows.withColumn("rule", rule).withColumn("_says", says)
-    rows = rows.withColumn("mined", mined_verdict(tokens(F.col("_url"), F.col("host"), F.col("path")), mined))
-    return rows.select(*keep, "host", "path", "rule", F.coalesce("_says", "mined", F.lit(default)).alias("verdict"), "mined")
+    rows = rows.withColumn("rule", rule).withColumn("says", says)
+    rows = rows.withColumn("mined", mined_verdict(tokens(F.col("url"), F.col("host"), F.col("path")), mined))
+    return rows.select(*(F.col(f"kept.c{i}").alias(c) for i, c in enumerate(keep)), "host", "path", "rule", F.coalesce("says", "mined", F.lit(default)).alias("verdict"), "mined")
+
+
+def labelled_by_rules(pages: DataFrame, hand_rules: list[tuple[str, str]], url_col: str = "url") -> DataFrame:
+    """(url, bad) of the pages that a hand-written rule decides: what the rules say is the page's own label."""
+    url = F.col(f"`{url_col}`").cast("string")
+    _, says = hand_rule(host_of(url), path_of(url), hand_rules)
+    return pages.select(url.alias("url"), F.when(says == "block", 1).when(says == "allow", 0).alias("bad")).where("bad is not null")
