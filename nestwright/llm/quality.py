@@ -1,13 +1,15 @@
 """Quality scores by hashed word n-gram logistic regression, trained with follow-the-regularised-leader (FTRL-proximal).
 
-Words are white-space-separated. Each word counts as itself (lower-cased) and as its *form*: letter case, digits,
-punctuation at either end, length class, and whether it repeats the word before. Features are the n-grams (n = 1, 2)
-of both, hashed to ``2**bits`` weights; a feature's value is its share of the text's n-grams of its kind. A score is
-the logistic function of the sparse dot product, a gather and a segment sum over whole texts.
+Words are runs of letters and digits, and runs of other characters between white space; letter case counts. Features are
+the n-grams (n = 1, 2), hashed to ``2**bits`` weights; a word that repeats one of the two before it makes one and the
+same bigram whatever the word, and a text's first word stands beside its beginning. A feature's value is its number in
+the text over the text's words and ``SMOOTH`` more, so very short texts lean to the bias. A score is the logistic
+function of the sparse dot product, a gather and a segment sum over whole texts.
 
 The model is trained on the driver from at most ``train_rows`` labelled rows outside the held-out fold (the rows of
 smallest id hash): a fixed amount of data whatever the corpus. Scoring is one scan without a shuffle.
-Empty and null texts get the score of the bias alone.
+Empty and null texts get the score of the bias alone. Rows are scored one by one, repeated or not; of several labels of
+one id the largest counts. Without labelled rows every score is 0.5. An empty table gives no row.
 """
 
 from __future__ import annotations
@@ -16,69 +18,53 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from nestwright.llm.text import _TABLE, U64, buffers, mix, slices, span_hashes
 from nestwright.llm.work import lean
 
-BITS, TRAIN_ROWS = 18, 4000
+BITS, TRAIN_ROWS, SMOOTH = 18, 6000, 4
 _BLOCK = 1 << 20
-_SPACE = np.zeros(256, bool)
+_SPACE, _LETTER = np.zeros(256, bool), np.zeros(256, bool)
 _SPACE[[9, 10, 11, 12, 13, 32]] = True
-_LOWER, _UPPER, _DIGIT = (np.zeros(256, bool) for _ in range(3))
-_LOWER[97:123] = _LOWER[128:] = True
-_UPPER[65:91] = True
-_DIGIT[48:58] = True
-_PUNCT = ~(_LOWER | _UPPER | _DIGIT | _SPACE)
+_LETTER[[*range(48, 58), *range(65, 91), *range(97, 123), *range(128, 256)]] = True
+_KIND = np.where(_SPACE, 0, np.where(_LETTER, 1, 2)).astype(np.uint8)
+_REPEAT, _BEGIN = U64(0x51ED270B), U64(991)
 
 
 def features(texts: pa.Array, bits: int = BITS) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(feature index, share) of all texts' n-grams in order, with repeats, and each text's offsets in them."""
     raw, offs = buffers(texts)
-    low, _ = buffers(pc.ascii_lower(texts))
     n = len(raw)
     if not n:
         return np.zeros(0, np.int64), np.zeros(0, np.float32), np.zeros(len(offs), np.int64)
-    word = ~_SPACE[raw]
-    cut = np.zeros(n + 1, bool)
-    cut[offs] = True
-    before, after = np.append(False, word[:-1]), np.append(word[1:], False)
-    starts = np.flatnonzero(word & (~before | cut[:n]))
-    ends = np.flatnonzero(word & (~after | cut[1:])) + 1
+    kind = _KIND[raw]
+    edge = np.ones(n + 1, bool)  # another kind of character, or another text, begins
+    edge[1:n] = kind[1:] != kind[:-1]
+    edge[offs] = True
+    starts = np.flatnonzero((kind > 0) & edge[:n])
+    ends = np.flatnonzero((kind > 0) & edge[1:]) + 1
     at = np.searchsorted(starts, offs)
-    hashes = span_hashes(_TABLE[low], starts, ends)
-    m = len(starts)
-
-    def some(kind: np.ndarray) -> np.ndarray:
-        sums = np.append(0, np.cumsum(kind[raw], dtype=np.int32))
-        return sums[ends] - sums[starts]
-
-    size = ends - starts
-    lower, upper, digit, punct = (some(x) for x in (_LOWER, _UPPER, _DIGIT, _PUNCT))
-    last = np.where(_PUNCT[raw[ends - 1]], raw[ends - 1], 0).astype(np.int64)
-    first = np.where(_PUNCT[raw[starts]], raw[starts], 0).astype(np.int64)
-    repeat = np.zeros(m, bool)
-    repeat[1:] = hashes[1:] == hashes[:-1]
-    repeat[at[:-1][at[:-1] < m]] = False
-    length = np.minimum(np.log2(size + 1).astype(np.int64), 7)
-    form = length | (lower > 0) << 3 | (upper > 1).astype(np.int64) << 4 | (upper > 0) << 5 | (digit > 0) << 6 | np.minimum(punct, 3).astype(np.int64) << 7 | repeat.astype(np.int64) << 9 | last << 10 | first << 18
-    form = mix(form.astype(U64) + U64(0x51ED270B))
+    words = span_hashes(_TABLE[raw], starts, ends)
+    m = len(words)
+    first = at[:-1][at[:-1] < at[1:]]
+    place = np.arange(m) - np.repeat(at[:-1], np.diff(at))
+    again = np.zeros(m, bool)
+    again[1:] = (words[1:] == words[:-1]) & (place[1:] >= 1)
+    again[2:] |= (words[2:] == words[:-2]) & (place[2:] >= 2)
+    pair = np.empty(m, U64)
+    pair[1:] = mix(words[:-1] * U64(3) + words[1:] + U64(77))
+    pair[again] = _REPEAT
+    pair[first] = _BEGIN
     shift = U64(64 - bits)
-    kinds = []
-    for salt, x in ((1, hashes), (2, form)):
-        pair = np.zeros(m, U64)
-        pair[1:] = mix(x[:-1] * U64(3) + x[1:] + U64(salt * 77))
-        pair[at[:-1][at[:-1] < m]] = U64(salt * 991)  # a text's first word stands beside its beginning
-        kinds += [mix(x + U64(salt)) >> shift, mix(pair) >> shift]
-    index = np.stack(kinds, 1).astype(np.int64).ravel()
+    index = np.stack([mix(words + U64(1)) >> shift, mix(pair) >> shift], 1).astype(np.int64).ravel()
     counts = np.diff(at)
-    share = np.repeat(np.repeat(1.0 / np.maximum(counts, 1), counts), 4).astype(np.float32)
-    return index, share, at * 4
+    share = np.repeat(np.repeat(1.0 / (counts + SMOOTH), counts), 2).astype(np.float32)
+    return index, share, at * 2
 
 
-def train(examples: list[tuple[np.ndarray, np.ndarray, int]], bits: int = BITS, epochs: int = 4, alpha: float = 2.0, beta: float = 1.0, l1: float = 1e-4, l2: float = 1e-4) -> tuple[np.ndarray, float]:
+def train(examples: list[tuple[np.ndarray, np.ndarray, int]], bits: int = BITS, epochs: int = 8, alpha: float = 2.0, beta: float = 1.0, l1: float = 1e-4, l2: float = 1e-4) -> tuple[np.ndarray, float]:
     """FTRL-proximal over (index, value, label) examples; weights and bias."""
     z, n = np.zeros((1 << bits) + 1), np.zeros((1 << bits) + 1)
     for epoch in range(epochs):
@@ -116,7 +102,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     known = labels.where(F.col(label_col).isin(0, 1) & ~held_out(F.col(id_col)) & F.col(id_col).isNotNull())
     known = known.groupBy(F.col(id_col).cast("long").alias("_id")).agg(F.max(label_col).cast("int").alias("_label"))
     known = known.orderBy(F.xxhash64("_id"), "_id").limit(train_rows)
-    rows = docs.select(F.col(id_col).cast("long").alias("_id"), F.col(text_col).cast("string").alias("_text")).where(F.length("_text") > 0)
+    rows = docs.select(F.col(id_col).cast("long").alias("_id"), F.col(f"`{text_col}`").cast("string").alias("_text")).where(F.length("_text") > 0)
     rows = rows.join(F.broadcast(known), "_id").dropDuplicates(["_id"])  # at most train_rows ids are broadcast
     got = rows.select("_text", "_label").mapInArrow(_examples(bits), "index binary, value binary, label int").collect()
     examples = sorted((bytes(r["index"]), bytes(r["value"]), r["label"]) for r in got)
@@ -143,7 +129,7 @@ def _score(weights: np.ndarray, bias: float, bits: int):
 def score(docs: DataFrame, model: tuple[np.ndarray, float], text_col: str = "text", keep: tuple[str, ...] = ("doc_id",), bits: int = BITS, name: str = "score") -> DataFrame:
     """The columns ``keep`` of each row and its score in (0, 1) as ``name``."""
     names = [f"c{i}" for i in range(len(keep))]
-    rows = docs.select(*(F.col(f"`{c}`").alias(n) for c, n in zip(keep, names, strict=True)), F.col(text_col).cast("string").alias("_text"))
+    rows = docs.select(*(F.col(f"`{c}`").alias(n) for c, n in zip(keep, names, strict=True)), F.col(f"`{text_col}`").cast("string").alias("_text"))
     schema = ", ".join(f"{n} {rows.schema[n].dataType.simpleString()}" for n in names)
     out = rows.mapInArrow(_score(*model, bits), f"{schema}, score double")
     return out.select(*(F.col(n).alias(c) for c, n in zip(keep, names, strict=True)), F.col("score").alias(name))

@@ -144,3 +144,26 @@ def test_very_long_texts(spark):
     got = warc.capture_digests(pages).head()
     assert got.payload_digest == hashlib.sha256(long.encode()).hexdigest() and got.payload_bytes == len(long)
     assert url_rules.judge(pages, URL_RULES, []).head().host == "a"
+
+
+def test_quality_against_python():
+    """Scores from a plain count of words and pairs; the weight of an n-gram is looked up by a text that holds it alone."""
+    import math
+    import re
+
+    import pyarrow as pa
+
+    texts = ["The cat!! the cat", "", "a a b a", "Ähm: 12 12", "x", "### ###ab c", prose(50, 4)]
+    weights, bias = np.random.default_rng(1).normal(size=1 << quality.BITS).astype(np.float32) * 9, 0.3
+
+    def at(text: str, place: int) -> float:
+        return float(weights[quality.features(pa.array([text]))[0][place]])
+
+    run = quality._score(weights, bias, quality.BITS)
+    got = next(run(iter([pa.RecordBatch.from_arrays([pa.array(texts)], ["text"])]))).column(0).to_pylist()
+    for text, score in zip(texts, got, strict=True):
+        words = re.findall(r"[0-9A-Za-z\x80-\U0010ffff]+|[^0-9A-Za-z\s\x80-\U0010ffff]+", text)
+        total = sum(at(w, 0) for w in words)
+        for i, w in enumerate(words):
+            total += at("x", 1) if not i else at("x x", 3) if w in words[max(0, i - 2) : i] else at(f"{words[i - 1]} {w}", 3)
+        assert math.isclose(score, 1 / (1 + math.exp(-(total / (len(words) + quality.SMOOTH) + bias))), rel_tol=1e-4)
