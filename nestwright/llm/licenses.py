@@ -1,14 +1,17 @@
 """Licence families of text paragraphs: a trained classifier, an unknown class, and template comparison.
 
-Paragraphs are lines. A multinomial logistic regression over word n-grams (n = 1, 2, 3) is trained from licence
+A paragraph is a line, or a notice that was wrapped over up to ``SPAN`` lines: those are judged joined, too, and count
+when the joined text is confirmed and the line alone is not. A multinomial logistic regression over word n-grams (n = 1, 2, 3) is trained from licence
 templates and cuttings of them against ordinary paragraphs of the corpus, which make the ``unknown`` class. Its
 weights are kept sparse: an n-gram counts only when its weight for some family stands out, so a paragraph with none of
 them is unknown by its bias alone, and a quick test for the words that all those n-grams need leaves such texts out
-without changing a result. Scores are scaled by a temperature fitted on examples that training did not see; below
-``least`` probability a paragraph is unknown. A prediction is confirmed when enough of the paragraph's word trigrams
+without changing a result. Scores are scaled by a temperature, fitted on variants of the notices and on ordinary lines
+that are not among the training texts; below ``least`` probability a paragraph is unknown. A prediction is confirmed when enough of the paragraph's word trigrams
 stand in a template of the family.
 
-Everything on the main path is a DataFrame function; one scan, no shuffle. Null and empty texts have no paragraph.
+Everything on the main path is a DataFrame function; one scan, no shuffle. Null and empty texts have no paragraph and
+an empty list. Rows are judged one by one, repeated or not; of equally probable families the first of the template list
+is told. Texts of any length are judged whole. Other columns are not looked at. An empty table gives no row.
 """
 
 from __future__ import annotations
@@ -77,16 +80,27 @@ def _grams(words: list[str]) -> list[str]:
     return [" ".join(words[i : i + n]) for n in (1, 2, 3) for i in range(len(words) - n + 1)]
 
 
-def _cuttings() -> list[tuple[str, str]]:
-    """(family, text): whole templates, with words in front or behind, and their longer parts."""
-    out = []
+#: Lines that a wrapped notice is looked for in.
+SPAN = 4
+
+
+def variants() -> tuple[list[tuple[str, str]], list[tuple[str, str]]]:
+    """(family, text) to train with and to fit the temperature on, no text in both.
+
+    Training has the templates (four times), two of three surroundings and every other longer cutting of them; the
+    temperature is fitted on the third surroundings and the other cuttings.
+    """
+    train, rest = [], []
     for family, texts in TEMPLATES.items():
         for text in texts:
             words = text.split()
-            out += [(family, text)] * 4
-            out += [(family, f"{a} {text} {b}".strip()) for a, b in (("", "See the file for details"), ("Note", ""), ("The text of this page is", "and its authors"))]
-            out += [(family, " ".join(words[:n])) for n in range(max(4, len(words) * 2 // 3), len(words))]
-    return out
+            train += [(family, text)] * 4
+            train += [(family, f"{text} See the file for details"), (family, f"Note {text}")]
+            rest.append((family, f"The text of this page is {text} and its authors"))
+            for n in range(max(4, len(words) * 2 // 3), len(words)):
+                (train if n % 2 else rest).append((family, " ".join(words[:n])))
+    seen = {t for _, t in train}
+    return train, [(f, t) for f, t in rest if t not in seen]
 
 
 def train(spark: SparkSession, ordinary: list[str], buckets: int = 1 << 14) -> dict:
@@ -102,11 +116,14 @@ def train(spark: SparkSession, ordinary: list[str], buckets: int = 1 << 14) -> d
     common = {w for t in ordinary for w in _words(t)}
     vocabulary = {g for g in vocabulary if set(g.split(" ")) - common}  # an n-gram of everyday words alone tells nothing
     everyday = ["The license of the driver was valid", "Version 2 of the work is out", "General use of the software is free to the public", "He was licensed to practise", "Terms and conditions of the common good", "By the creative work of many", "", "the", "copyright law in general", "this work is under the terms of the contract"]
-    rows = [(families.index(f), _grams(_words(t))) for f, t in _cuttings()] + [(0, _grams(_words(t))) for t in [*ordinary, *everyday * 8]]
-    data = spark.createDataFrame([(float(y), sorted(set(g) & vocabulary), i) for i, (y, g) in enumerate(rows)], "label double, grams array<string>, i long").coalesce(1)
+    ordinary = list(dict.fromkeys(ordinary))
+    mine, others = variants()
+    rows = [(families.index(f), t) for f, t in mine] + [(0, t) for t in [*ordinary[::2], *everyday * 8]]
+    unseen = [(families.index(f), t) for f, t in others] + [(0, t) for t in ordinary[1::2]]
+    features = lambda t: sorted(set(_grams(_words(t))) & vocabulary)
+    data = spark.createDataFrame([(float(y), features(t)) for y, t in rows], "label double, grams array<string>").coalesce(1)
     fitted = CountVectorizer(inputCol="grams", outputCol="features", vocabSize=buckets, binary=True).fit(data)
-    seen, unseen = data.where("i % 5 <> 0"), data.where("i % 5 = 0")
-    model = LogisticRegression(maxIter=60, regParam=2e-3, family="multinomial", standardization=False).fit(fitted.transform(seen))
+    model = LogisticRegression(maxIter=60, regParam=2e-3, family="multinomial", standardization=False).fit(fitted.transform(data))
     matrix, bias = model.coefficientMatrix.toArray(), model.interceptVector.toArray()
     weights = {}
     for j, gram in enumerate(fitted.vocabulary):
@@ -114,7 +131,7 @@ def train(spark: SparkSession, ordinary: list[str], buckets: int = 1 << 14) -> d
         if (column[1:].max(initial=0)) > 0.05:
             weights[gram] = {families[c]: round(float(column[c]), 4) for c in range(1, len(column)) if abs(column[c]) > 1e-3}
     bias = {families[c]: float(bias[c] - bias[0]) for c in range(1, matrix.shape[0])}
-    held = [(int(r.label), r.grams) for r in unseen.select("label", "grams").collect()]
+    held = [(y, features(t)) for y, t in unseen]
 
     def loss(t: float) -> float:
         total = 0.0
@@ -128,7 +145,7 @@ def train(spark: SparkSession, ordinary: list[str], buckets: int = 1 << 14) -> d
 
 
 def sample_paragraphs(docs: DataFrame, text_col: str = "text", n: int = 400) -> list[str]:
-    """A bounded sample of ordinary lines: the first short line of the ``n`` texts of smallest hash."""
+    """A bounded sample of ordinary lines for training: of the ``n`` texts of smallest hash the first line's first 400 characters."""
     line = F.substring(F.split_part(F.col(text_col).cast("string"), F.lit("\n"), F.lit(1)), 1, 400)
     return [r.line for r in docs.where(F.col(text_col).isNotNull()).select(F.xxhash64(text_col).alias("h"), line.alias("line")).orderBy("h").limit(n).collect()]
 
@@ -158,9 +175,10 @@ def _let(value: Column, then) -> Column:
 
 
 def scan(docs: DataFrame, model: dict, id_col: str = "doc_id", text_col: str = "text", least: float = 0.5, confirm: float = 0.5) -> DataFrame:
-    """One row per document: id, ``n_licenses`` and ``licenses``: array<struct<line, family, probability, similarity, confirmed>>.
+    """One row per document: id, ``n_licenses`` and ``licenses``: array<struct<line, lines, family, probability, similarity, confirmed>>.
 
-    Lines count from 0. ``family`` of the most probable licence line stands in ``family`` (null without one).
+    Lines count from 0; ``lines`` is how many of them the notice was found in. ``family`` of the most probable licence
+    stands in ``family`` (null without one).
     """
     text = F.col(f"`{text_col}`").cast("string")
     weights, families = model["weights"], model["families"]
@@ -176,19 +194,23 @@ def scan(docs: DataFrame, model: dict, id_col: str = "doc_id", text_col: str = "
         spots = F.when(F.size(w) >= n, F.sequence(F.lit(1), F.size(w) - n + 1)).otherwise(F.array().cast("array<int>"))
         return F.transform(spots, lambda i: F.array_join(F.slice(w, i, n), " "))
 
-    def judged(line: Column, at: Column) -> Column:
+    def judged(line: Column, at: Column, n: Column) -> Column:
         def of(w: Column) -> Column:
             hit = F.array_distinct(F.concat(grams(w, 1), grams(w, 2), grams(w, 3)))
             rows = F.filter(F.transform(hit, lambda g: F.try_element_at(table, g)), lambda x: x.isNotNull())
             scores = F.aggregate(rows, bias, lambda acc, x: F.zip_with(acc, x, lambda a, b: a + b))
-            return F.struct(at.cast("int").alias("line"), scores.alias("scores"), grams(w, 3).alias("trigrams"))
+            return F.struct(at.cast("int").alias("line"), n.cast("int").alias("lines"), scores.alias("scores"), grams(w, 3).alias("trigrams"))
 
         return _let(words(line), of)
 
     lines = F.split(text, "\n")
     spots = F.filter(F.transform(lines, lambda x, i: F.struct(i.alias("i"), x.alias("x"))), lambda s: s["x"].rlike(needed))
-    rows = docs.select(F.col(f"`{id_col}`").alias(id_col), F.when(text.rlike(needed), spots).alias("_spots"))
-    rows = rows.withColumn("_judged", F.transform("_spots", lambda s: judged(s["x"], s["i"])))
+    joined = lambda s: F.array_join(F.slice(F.col("_lines"), s["i"] + 1, SPAN), " ")
+    rows = docs.select(F.col(f"`{id_col}`").alias(id_col), F.when(text.rlike(needed), spots).alias("_spots"), F.when(text.rlike(needed), lines).alias("_lines"))
+    single = F.transform("_spots", lambda s: judged(s["x"], s["i"], F.lit(1)))
+    behind = F.filter("_spots", lambda s: s["i"] + 1 < F.size("_lines"))
+    wrapped = F.transform(behind, lambda s: judged(joined(s), s["i"], F.least(F.lit(SPAN), F.size("_lines") - s["i"])))
+    rows = rows.withColumn("_single", single).withColumn("_wrapped", wrapped)
 
     def verdict(j: Column) -> Column:
         total = F.aggregate(j["scores"], F.lit(1.0), lambda a, s: a + F.exp(s))
@@ -197,8 +219,16 @@ def scan(docs: DataFrame, model: dict, id_col: str = "doc_id", text_col: str = "
         same = _let(F.element_at(trigrams, family), lambda template: F.size(F.filter(j["trigrams"], lambda g: F.array_contains(template, g))))
         similarity = F.round(same / F.greatest(F.size(j["trigrams"]), F.lit(1)), 4)
         probability = F.exp(best) / total
-        return F.struct(j["line"].alias("line"), F.when(probability >= least, family).otherwise(UNKNOWN).alias("family"), F.round(probability, 6).alias("probability"), similarity.alias("similarity"), (similarity >= confirm).alias("confirmed"))
-
-    rows = rows.withColumn("licenses", F.coalesce(F.filter(F.transform("_judged", verdict), lambda v: v["family"] != UNKNOWN), F.expr("cast(array() as array<struct<line:int,family:string,probability:double,similarity:double,confirmed:boolean>>)")))
+        return F.struct(j["line"].alias("line"), j["lines"].alias("lines"), F.when(probability >= least, family).otherwise(UNKNOWN).alias("family"), F.round(probability, 6).alias("probability"), similarity.alias("similarity"), (similarity >= confirm).alias("confirmed"))
+
+    known = lambda c: F.filter(F.transform(c, verdict), lambda v: v["family"] != UNKNOWN)
+    none = F.expr("cast(array() as array<struct<line:int,lines:int,family:string,probability:double,similarity:double,confirmed:boolean>>)")
+    rows = rows.withColumn("_own", F.coalesce(known("_single"), none)).withColumn("_joined", F.coalesce(F.filter(known("_wrapped"), lambda v: v["confirmed"]), none))
+    # joined lines stand back behind a line in them that is a notice by itself, and behind an earlier start of the same notice
+    own = lambda v: F.exists("_own", lambda o: o["confirmed"] & (o["line"] >= v["line"]) & (o["line"] < v["line"] + v["lines"]))
+    early = lambda v: F.exists("_joined", lambda o: (o["family"] == v["family"]) & (o["line"] < v["line"]) & (o["line"] + o["lines"] > v["line"]))
+    rows = rows.withColumn("_joined", F.filter("_joined", lambda v: ~own(v) & ~early(v)))
+    covered = lambda o: F.exists("_joined", lambda v: (o["line"] >= v["line"]) & (o["line"] < v["line"] + v["lines"]))
+    rows = rows.withColumn("licenses", F.array_sort(F.concat(F.filter("_own", lambda o: ~covered(o)), "_joined")))
     best = F.array_max(F.transform("licenses", lambda v: F.struct(v["confirmed"], v["probability"], v["family"])))
     return rows.select(id_col, F.size("licenses").alias("n_licenses"), best["family"].alias("family"), best["confirmed"].alias("confirmed"), "licenses")

@@ -167,3 +167,39 @@ def test_quality_against_python():
         for i, w in enumerate(words):
             total += at("x", 1) if not i else at("x x", 3) if w in words[max(0, i - 2) : i] else at(f"{words[i - 1]} {w}", 3)
         assert math.isclose(score, 1 / (1 + math.exp(-(total / (len(words) + quality.SMOOTH) + bias))), rel_tol=1e-4)
+
+
+def test_licenses_against_python(spark):
+    """Probabilities and similarities from the model's weights, word by word in Python."""
+    import math
+    import re
+
+    model = licenses.train(spark, [prose(20, i) for i in range(40)])
+    lines = [*(t for ts in licenses.TEMPLATES.values() for t in ts), "This work is licensed under something", "MIT license terms", "all rights are reserved by the GNU project"]
+    got = {r.doc_id: r.licenses for r in licenses.scan(frame(spark, lines), model, least=0.0).collect()}
+    for i, line in enumerate(lines):
+        words = [w for w in re.split(r"[\W_]+", line.lower()) if w]
+        grams = {" ".join(words[j : j + n]) for n in (1, 2, 3) for j in range(len(words) - n + 1)}
+        scores = {f: (model["bias"][f] + sum(model["weights"][g].get(f, 0.0) for g in grams if g in model["weights"])) / model["temperature"] for f in model["families"]}
+        family = max(scores, key=lambda f: scores[f])
+        if not got[i]:  # no word of the line is needed by any family, so every score is below the unknown class's
+            assert all(v < 0 for v in scores.values())
+            continue
+        assert got[i][0].family == family and math.isclose(got[i][0].probability, math.exp(scores[family]) / (1 + sum(map(math.exp, scores.values()))), abs_tol=1e-5)
+        trigrams = [" ".join(words[j : j + 3]) for j in range(len(words) - 2)]
+        mine = {g for t in licenses.TEMPLATES[family] for w in [[x for x in re.split(r"[\W_]+", t.lower()) if x]] for g in (" ".join(w[j : j + 3]) for j in range(len(w) - 2))}
+        assert math.isclose(got[i][0].similarity, sum(g in mine for g in trigrams) / max(1, len(trigrams)), abs_tol=1e-4)
+
+
+def test_licenses_calibrated_on_other_texts():
+    train, rest = licenses.variants()
+    assert not {t for _, t in train} & {t for _, t in rest} and {f for f, _ in rest} == set(licenses.TEMPLATES)
+
+
+def test_wrapped_licenses(spark):
+    words = licenses.TEMPLATES["mit"][2].split()
+    wrapped = "\n".join(" ".join(words[i : i + 9]) for i in range(0, len(words), 9))
+    texts = [f"{prose(12, 1)}\n{wrapped}\n{prose(12, 2)}", f"{prose(12, 3)}\nLicensed under CC BY 4.0.\n{prose(12, 4)}", prose(30, 5)]
+    got = {r.doc_id: r for r in licenses.scan(frame(spark, texts), licenses.train(spark, [prose(20, i) for i in range(40)])).collect()}
+    assert got[0].family == "mit" and got[0].confirmed and all(v.family == "mit" for v in got[0].licenses)
+    assert [(v.line, v.lines, v.family) for v in got[1].licenses] == [(1, 1, "cc-by")] and got[2].n_licenses == 0
