@@ -49,8 +49,9 @@ def let(value: Column, then: Callable[[Column], Column]) -> Column:
 
 
 def strip(c: Column) -> Column:
-    """Without white space at both ends."""
-    return F.when(c.rlike(f"^{SPACE}|{SPACE}$"), F.regexp_replace(c, f"^{SPACE}+|{SPACE}+$", "")).otherwise(c)
+    """Without white space at both ends; the first and last character tell whether there is any."""
+    ends = F.concat(F.substring(c, 1, 1), F.substring(c, -1, 1))
+    return F.when(ends.rlike(SPACE), F.regexp_replace(c, f"^{SPACE}+|{SPACE}+$", "")).otherwise(c)
 
 
 def is_blank(c: Column) -> Column:
@@ -82,7 +83,8 @@ def scalar_error(c: Column, kind: T.DataType, source: str, prop: str) -> Column
 
 def strip_control(c: Column) -> Column:
     """Without C0 and C1 control characters and DEL; tab, line feed and carriage return stay."""
-    return F.regexp_replace(c, r"[\x00-\x08\x0B\x0C\x0E-\x1F\x7F-\x9F]", "")
+    control = r"[\x00-\x08\x0B\x0C\x0E-\x1F\x7F-\x9F]"
+    return F.when(c.rlike(control), F.regexp_replace(c, control, "")).otherwise(c)
 
 
 def prefixed(prefix: str, drop_blanks: bool = False) -> Callable[[Column], Column]:
@@ -116,9 +118,11 @@ def first_segment(c: Column) -> Column:
 def date_iso(c: Column) -> Column:
     """The date of an ISO-like date or timestamp, zero-padded; null when it is none."""
     form = r"(?s)^0*([0-9]{1,4})-0*([0-9]{1,2})-0*([0-9]{1,2})(?:T.*| [^T]*)?$"
+    padded = r"(?s)^(?!0000)[0-9]{4}-[0-9]{2}-[0-9]{2}(?:T.*| [^T]*)?$"
     text = strip(c)
     day = F.when(text.rlike(form), F.regexp_replace(text, form, "$1-$2-$3"))
-    return let(day, lambda d: F.when(~d.startswith("0-"), F.date_format(F.try_to_date(d, "y-M-d"), "yyyy-MM-dd")))
+    any_form = let(day, lambda d: F.when(~d.startswith("0-"), F.date_format(F.try_to_date(d, "y-M-d"), "yyyy-MM-dd")))
+    return F.when(c.rlike(padded), F.substring(c, 1, 10).try_cast("date").cast("string")).otherwise(any_form)
 
 
 def decimal_clean(c: Column) -> Column:

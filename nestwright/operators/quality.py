@@ -1,6 +1,6 @@
 """Row checks compiled from a specification: an array of issues per row, and what to do with it.
 
-A rule is a column that is null or an issue; nested properties are checked too, satellite fields are not part of the
+A rule is a column that is null or an array of one issue; nested properties are checked too, satellite fields are not part of the
 primary row. One projection finds all issues, one aggregation counts them.
 """
 
@@ -22,9 +22,10 @@ ISSUE = "struct<property_path:string,severity:string,message:string,expected:str
 
 
 def _issue(cond: Column, path: str, severity: str, message: Column | str, expected: str = "", actual: Column | None = None) -> Column:
+    """An array of one issue, or null."""
     text = F.lit(message) if isinstance(message, str) else message
     actual = F.lit("") if actual is None else F.coalesce(actual, F.lit(""))
-    return F.when(cond, F.struct(F.lit(path).alias("property_path"), F.lit(severity).alias("severity"), text.alias("message"), F.lit(expected).alias("expected"), actual.alias("actual")))
+    return F.when(cond, F.array(F.struct(F.lit(path).alias("property_path"), F.lit(severity).alias("severity"), text.alias("message"), F.lit(expected).alias("expected"), actual.alias("actual"))))
 
 
 def date_issue(text: Column, path: str) -> list[Column]:
@@ -101,14 +102,18 @@ def compile_rules(spec: MappingSpec, schema: T.StructType, allowed: dict[str, li
     for p in spec.properties:
         walk(p, "")
     none = F.expr(f"cast(array() as array<{ISSUE}>)")
-    found = F.concat(F.filter(F.array(*rules), lambda x: x.isNotNull()), *(F.coalesce(x, none) for x in lists))
+    # arrays of one or none, joined: a filter over an array of all rules would take them out of generated code
+    found = F.concat(*(F.coalesce(x, none) for x in [*rules, *lists]))
     record = F.coalesce(ident.cast("string"), F.lit("None")) if spec.id_source in kinds else F.lit("unknown")
     return Rules(found, record)
 
 
 def issue_table(checked: DataFrame) -> DataFrame:
-    """One row per issue: record_id, property_path, severity, message, expected, actual."""
-    return checked.select("record_id", F.explode("issues").alias("i")).select("record_id", "i.*")
+    """One row per issue: record_id, property_path, severity, message, expected, actual.
+
+    A plain explode would have Spark filter on the size of ``issues`` first, and so evaluate all rules twice.
+    """
+    return checked.select("record_id", F.explode_outer("issues").alias("i")).where("i is not null").select("record_id", "i.*")
 
 
 def summary(checked: DataFrame) -> DataFrame:
