@@ -15,9 +15,11 @@ from __future__ import annotations
 import struct
 import zlib
 from collections.abc import Iterator
+from itertools import chain, filterfalse
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -41,7 +43,7 @@ class _Ids(dict):
     as they are met again, and the one before is dropped. At most two limits and one block's new words are held.
     """
 
-    LIMIT, ENTRY, MARKS = 72 << 20, 230, ".,;:!?#$%&*|"
+    LIMIT, ENTRY, MARKS = 112 << 20, 230, ".,;:!?#$%&*|"
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
@@ -60,27 +62,26 @@ class _Ids(dict):
     def encode(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
-    def learn(self, found: set[str]) -> None:
-        if self.held > self.LIMIT:
-            self.old = dict(self)
-            self.clear()
-            self.held = 0
-        new = found.difference(self)
-        back = {c: ids for c in new if (ids := self.old.get(c)) is not None}
-        self.update(back)
-        self.held += self.ENTRY * len(back)
-        words, marked = set(), []
-        for chunk in new.difference(back):
-            core = chunk.rstrip(self.MARKS)
-            if core.isalpha():
-                low = core.lower() if core.isascii() else core
-                if low not in self:
-                    words.add(low)
-                if low != chunk:
-                    marked.append((chunk, low, chunk[len(core) :]))
-            else:
-                self.keep(chunk, self.encode(chunk))
-        words = list(words)
+    def learn(self, new: set[str]) -> None:
+        """Ids of chunks that are not kept yet; words that differ only in case or marks are encoded once."""
+        if not new:
+            return
+        if self.old:
+            back = {c: ids for c in new if (ids := self.old.get(c)) is not None}
+            self.update(back)
+            self.held += self.ENTRY * len(back)
+            new = new.difference(back)
+        chunks = pa.array(new, pa.large_string())
+        cores = pc.utf8_rtrim(chunks, self.MARKS)
+        plain = pc.utf8_is_alpha(cores)
+        for chunk in chunks.filter(pc.invert(plain)).to_pylist():
+            self.keep(chunk, self.encode(chunk))
+        chunks, cores = chunks.filter(plain), cores.filter(plain)
+        low = pc.if_else(pc.string_is_ascii(cores), pc.ascii_lower(cores), cores)
+        words = low.to_pylist()
+        other = pc.not_equal(low, chunks)
+        marked = list(zip(chunks.filter(other).to_pylist(), low.filter(other).to_pylist(), pc.utf8_length(cores.filter(other)).to_pylist(), strict=True))
+        words = list(set(words).difference(self))
         for a in range(0, len(words), 20_000):
             part = words[a : a + 20_000]
             ids = self.encode(" ".join(part))
@@ -92,7 +93,8 @@ class _Ids(dict):
                 for word in part:
                     self.keep(word, self.encode(word))
         tails = {"": b""}
-        for chunk, word, marks in marked:
+        for chunk, word, size in marked:
+            marks = chunk[size:]
             if marks not in tails:
                 tails[marks] = self.encode(marks)
             self[chunk] = self[word] + tails[marks]
@@ -102,7 +104,11 @@ class _Ids(dict):
         if not self.ends.any():
             return [self.encode(t) for t in texts]
         parts = [chunks(t) for t in texts]
-        self.learn(set().union(*parts))
+        if self.held > self.LIMIT:
+            self.old = dict(self)
+            self.clear()
+            self.held = 0
+        self.learn(set(filterfalse(self.__contains__, chain.from_iterable(parts))))
         return [b"".join(map(self.__getitem__, p)) for p in parts]
 
 
