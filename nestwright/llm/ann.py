@@ -113,7 +113,7 @@ def _cell(books: np.ndarray, k: int, rerank: float):
     return run
 
 
-def additive_search(vectors: DataFrame, queries: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", k: int = 10, books: int = 16, words: int = 256, beam: int = 4, train_rows: int = 6144, rerank: float = 0.04, block: int = 8192, group: int = 1024) -> DataFrame:
+def additive_search(vectors: DataFrame, queries: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", k: int = 10, books: int = 16, words: int = 256, beam: int = 4, train_rows: int = 6144, rerank: float = 0.06, block: int = 8192, group: int = 1024) -> DataFrame:
     """query_id, rank, vec_id, score (Euclidean distance on the original vectors): k found for each query.
 
     The codebooks of each vector length are fitted on at most ``train_rows`` of its rows (smallest id hash); every row is
