@@ -7,15 +7,18 @@ rest going on to a class of its own. Bins still open when a worker ends are join
 fill whole sequences, and what remains is cut into sequences at powers of two, which need no padding.
 
 Null texts count as empty; every document ends with ``end_id``, so an empty one has one token. The pieces of a
-document keep its ids in order and hold each id once. A task holds one text's ids and at most k - 1 pieces of each class.
+document keep its ids in order and hold each id once. A task holds one block's ids (a longer single text's, where there is
+one) and at most k - 1 pieces of each class. Other columns are not looked at, whatever their names; an empty table gives
+no row, and documents of equal length or content are packed one by one.
 """
 
 from __future__ import annotations
 
 import struct
+import sys
 import zlib
+from array import array
 from collections.abc import Iterator
-from itertools import chain, filterfalse
 
 import numpy as np
 import pyarrow as pa
@@ -31,7 +34,7 @@ _BLOCK = 1 << 20
 _kept: dict[str, _Ids] = {}
 
 
-class _Ids(dict):
+class _Ids:
     """Token ids of white-space-free chunks, as little-endian bytes.
 
     A tokenizer with word ends drops white space and never joins across it, so a text's ids are its chunks' ids. It
@@ -52,11 +55,18 @@ class _Ids(dict):
         vocabulary = self.tokenizer.get_vocab()
         self.ends = np.zeros(max(vocabulary.values(), default=0) + 1, bool)
         self.ends[[i for t, i in vocabulary.items() if t.endswith("</w>")]] = True
+        self.known: dict[str, bytes] = {}  # a plain one: a set tells its difference from it without going over all of it
         self.old: dict[str, bytes] = {}
         self.held = 0
+        # a lower-case ASCII word needs no normalising, so the model itself can take it; a few words tell whether that holds
+        self.split = self.tokenizer.model.tokenize
+        self.direct = array("I").itemsize == 4 and sys.byteorder == "little" and all(self.word(w) == self.encode(w) for w in ("a", "the", "tokenizer", "qzxjv", "internationalisation"))
+
+    def word(self, word: str) -> bytes:
+        return array("I", [t.id for t in self.split(word)]).tobytes()
 
     def keep(self, chunk: str, ids: bytes) -> None:
-        self[chunk] = ids
+        self.known[chunk] = ids
         self.held += self.ENTRY + len(chunk) + len(ids)
 
     def encode(self, text: str) -> bytes:
@@ -66,9 +76,10 @@ class _Ids(dict):
         """Ids of chunks that are not kept yet; words that differ only in case or marks are encoded once."""
         if not new:
             return
+        known = self.known
         if self.old:
             back = {c: ids for c in new if (ids := self.old.get(c)) is not None}
-            self.update(back)
+            known.update(back)
             self.held += self.ENTRY * len(back)
             new = new.difference(back)
         chunks = pa.array(new, pa.large_string())
@@ -81,13 +92,19 @@ class _Ids(dict):
         words = low.to_pylist()
         other = pc.not_equal(low, chunks)
         marked = list(zip(chunks.filter(other).to_pylist(), low.filter(other).to_pylist(), pc.utf8_length(cores.filter(other)).to_pylist(), strict=True))
-        words = list(set(words).difference(self))
+        words = set(words).difference(known)
+        if self.direct:
+            plain = {w for w in words if w.isascii()}
+            known.update({w: self.word(w) for w in plain})
+            self.held += (self.ENTRY + 24) * len(plain)
+            words -= plain
+        words = list(words)
         for a in range(0, len(words), 20_000):
             part = words[a : a + 20_000]
             ids = self.encode(" ".join(part))
             stops = (4 * (np.flatnonzero(self.ends[np.frombuffer(ids, "<u4")]) + 1)).tolist()
             if len(stops) == len(part):
-                self.update(zip(part, map(ids.__getitem__, map(slice, [0, *stops[:-1]], stops)), strict=True))
+                known.update(zip(part, map(ids.__getitem__, map(slice, [0, *stops[:-1]], stops)), strict=True))
                 self.held += (self.ENTRY + 8) * len(part) + len(ids)
             else:
                 for word in part:
@@ -97,7 +114,7 @@ class _Ids(dict):
             marks = chunk[size:]
             if marks not in tails:
                 tails[marks] = self.encode(marks)
-            self[chunk] = self[word] + tails[marks]
+            known[chunk] = known[word] + tails[marks]
         self.held += (self.ENTRY + 20) * len(marked)
 
     def texts(self, texts: list[str]) -> list[bytes]:
@@ -105,11 +122,9 @@ class _Ids(dict):
             return [self.encode(t) for t in texts]
         parts = [chunks(t) for t in texts]
         if self.held > self.LIMIT:
-            self.old = dict(self)
-            self.clear()
-            self.held = 0
-        self.learn(set(filterfalse(self.__contains__, chain.from_iterable(parts))))
-        return [b"".join(map(self.__getitem__, p)) for p in parts]
+            self.old, self.known, self.held = self.known, {}, 0
+        self.learn(set().union(*parts).difference(self.known))
+        return [b"".join(map(self.known.__getitem__, p)) for p in parts]
 
 
 def _lookup(path: str) -> _Ids:
