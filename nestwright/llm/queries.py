@@ -106,4 +106,32 @@ def oracle_sql() -> dict[str, str]:
             )
             SELECT query_id, CAST(k AS INTEGER) AS rank, vec_id, score FROM r WHERE k <= 5
         """,
+        "op10_lpf_dedup": """
+            WITH d AS (
+              SELECT doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents
+            ), w AS (
+              SELECT doc_id, i, substr(h, CAST(2 * i + 1 AS BIGINT), 100) AS s
+              FROM (SELECT doc_id, h, unnest(range(0, greatest(0, length(h) // 2 - 49))) AS i FROM d)
+            ), f AS (
+              SELECT s, min(doc_id) AS first_id FROM w GROUP BY s
+            ), r AS (
+              SELECT doc_id, i FROM w JOIN f USING (s) WHERE first_id < doc_id
+            ), g AS (
+              SELECT doc_id, i, CASE WHEN i <= lag(i) OVER (PARTITION BY doc_id ORDER BY i) + 50 THEN 0 ELSE 1 END AS opens FROM r
+            ), n AS (
+              SELECT doc_id, i, sum(opens) OVER (PARTITION BY doc_id ORDER BY i) AS span FROM g
+            ), s AS (
+              SELECT doc_id, min(i) AS a, max(i) + 50 AS b FROM n GROUP BY doc_id, span
+            ), p AS (
+              SELECT doc_id, a, b, coalesce(lag(b) OVER (PARTITION BY doc_id ORDER BY a), 0) AS z FROM s
+            ), k AS (
+              SELECT doc_id, string_agg(substr(h, CAST(2 * z + 1 AS BIGINT), CAST(2 * (a - z) AS BIGINT)), '' ORDER BY a) AS head,
+                     max(b) AS last, sum(b - a) AS gone, count(*) AS spans
+              FROM p JOIN d USING (doc_id) GROUP BY doc_id
+            )
+            SELECT d.doc_id, CAST(length(h) // 2 AS BIGINT) AS n_bytes, CAST(coalesce(gone, 0) AS BIGINT) AS n_removed,
+                   CAST(coalesce(spans, 0) AS BIGINT) AS n_spans,
+                   sha256(unhex(coalesce(head, '') || substr(h, CAST(2 * coalesce(last, 0) + 1 AS BIGINT)))) AS kept_sha256
+            FROM d LEFT JOIN k USING (doc_id)
+        """,
     }

@@ -26,7 +26,8 @@ A k-gram with very many contents (the edge of a line that a third of all documen
 dealt one by one by their own content after a local pass that keeps the smallest document of each. A block of text
 reports at most ``LOCAL`` contents of a k-gram, so no task gets a hot group.
 Documents with a null id have no order: they stay whole and remove nothing. Rows with equal ids never remove parts of
-each other. Null and empty texts yield zeros and the digest of no bytes.
+each other. Null and empty texts yield zeros and the digest of no bytes. Texts of any length are judged whole; above
+2**24 bytes their runs are found in overlapping pieces. Columns of any name may be there, and an empty table gives no row.
 """
 
 from __future__ import annotations
