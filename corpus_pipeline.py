@@ -2,7 +2,8 @@
 
 All but the last return the columns of ``documents``. Null texts and texts without a word are scored
 by the bias alone, are no near copies of each other and hold no passage; documents with a null id are kept whole; rows
-of one id are one document to near-duplicate search, whose copies stay or go together. Empty tables stay empty.
+of one id are one document to near-duplicate search, whose copies stay or go together. Empty tables stay empty, and
+extra columns of any name go through all stages but the last.
 Decisions take effect: rejected documents and near copies go, repeated passages are cut, rows are put in mixed order,
 and what is left is packed.
 """
@@ -14,13 +15,14 @@ from pyspark.sql import functions as F
 
 from nestwright.llm import mixing, near_dup, packing, quality, suffix_dedup
 from nestwright.llm.queries import LEAST_QUALITY, table, tokenizer_path
-from nestwright.llm.work import Workspace
+from nestwright.llm.work import Workspace, fresh
 
 
 def classify(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose quality score reaches the threshold."""
     model = quality.fit(docs, table(spark, sf_dir, "labels"))
-    return quality.score(docs, model, keep=tuple(docs.columns), name="_score").where(F.col("_score") >= LEAST_QUALITY).drop("_score")
+    name = fresh(docs.columns, "score")
+    return quality.score(docs, model, keep=tuple(docs.columns), name=name).where(F.col(f"`{name}`") >= LEAST_QUALITY).drop(name)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
