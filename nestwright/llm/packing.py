@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from nestwright.llm.text import slices
-from nestwright.llm.work import lean
+from nestwright.llm.work import holds, lean
 
 _BLOCK = 1 << 20
 _kept: dict[str, _Ids] = {}
@@ -129,7 +129,9 @@ class _Ids:
 
 def _lookup(path: str) -> _Ids:
     if path not in _kept:
+        _kept.clear()
         _kept[path] = _Ids(path)
+    holds("packing", _kept.clear)
     return _kept[path]
 
 
@@ -210,7 +212,7 @@ def _pack(path: str, capacity: int, slack: float, end_id: int):
         if bins.rows:
             yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*bins.rows, strict=True)], names)
 
-    return lean(run)
+    return lean(run, "packing")
 
 
 def pack(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str = "text", capacity: int = 4096, end_id: int = 2, slack: float = 0.01) -> DataFrame:

@@ -70,23 +70,45 @@ class Workspace:
             time.sleep(0.2)
 
 
-def lean(run: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iterator]:
+_held: dict[str, Callable[[], None]] = {}
+
+
+def holds(owner: str, release: Callable[[], None]) -> None:
+    """Say that this worker keeps something for ``owner``'s later tasks; ``release`` gives it up when another's begin."""
+    _held[owner] = release
+
+
+def begin(owner: str) -> None:
+    """A task of ``owner`` begins in this worker: what it keeps for others goes."""
+    if others := [name for name in _held if name != owner]:
+        for name in others:
+            _held.pop(name)()
+        give_back()
+
+
+def give_back() -> None:
+    """Return free memory to the system."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (OSError, AttributeError):  # not the GNU C library
+        pass
+
+
+def lean(run: Callable[[Iterator], Iterator], owner: str = "") -> Callable[[Iterator], Iterator]:
     """``run`` over Arrow batches, giving its memory back when it ends: workers are used again by other stages."""
 
     @wraps(run)
     def wrapped(batches: Iterator) -> Iterator:
-        from nestwright.llm import text
+        from nestwright.llm import text, work  # a worker's own modules, not what the driver's copies held
 
+        work.begin(owner)
         try:
             yield from run(batches)
         finally:
             text._powers.clear()
-            gc.collect()
-            pa.default_memory_pool().release_unused()
-            try:
-                ctypes.CDLL(None).malloc_trim(0)
-            except (OSError, AttributeError):  # not the GNU C library
-                pass
+            work.give_back()
 
     return wrapped
 
