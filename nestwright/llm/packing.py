@@ -14,6 +14,7 @@ no row, and documents of equal length or content are packed one by one.
 
 from __future__ import annotations
 
+import re
 import struct
 import sys
 import zlib
@@ -32,6 +33,7 @@ from nestwright.llm.work import holds, lean
 
 _BLOCK = 1 << 20
 _kept: dict[str, _Ids] = {}
+_MARK = re.compile(r"(?<=[a-zà-öø-ÿ])([.,;:!?])(?=[ \n])")
 
 
 class _Ids:
@@ -39,8 +41,9 @@ class _Ids:
 
     A tokenizer with word ends drops white space and never joins across it, so a text's ids are its chunks' ids. It
     lower-cases, and letters never join with other characters, so a word with marks behind it is its letters (lower case,
-    if ASCII) and then the marks. New words are encoded many at a time and told apart by their word ends. A chunk with
-    ``<`` may hold a special token and goes to the tokenizer as it is, as do whole texts for tokenizers of other kinds.
+    if ASCII) and then the marks. Texts without ``<`` are put that way first, so fewer chunks differ. New words are
+    encoded many at a time and told apart by their word ends, plain ones by the model itself. A chunk with ``<`` may
+    hold a special token and goes to the tokenizer as it is, as do whole texts for tokenizers of other kinds.
 
     Two generations bound what is kept: past ``LIMIT`` bytes the present one becomes the old one, whose words come back
     as they are met again, and the one before is dropped. At most two limits and one block's new words are held.
@@ -117,10 +120,15 @@ class _Ids:
             known[chunk] = known[word] + tails[marks]
         self.held += (self.ENTRY + 20) * len(marked)
 
+    @staticmethod
+    def plainer(text: str) -> str:
+        """The text with ASCII letters in lower case and marks behind words apart, for which a tokenizer has the same ids."""
+        return text if "<" in text else _MARK.sub(r" \1", text.encode().lower().decode())
+
     def texts(self, texts: list[str]) -> list[bytes]:
         if not self.ends.any():
             return [self.encode(t) for t in texts]
-        parts = [chunks(t) for t in texts]
+        parts = [chunks(self.plainer(t)) for t in texts]
         if self.held > self.LIMIT:
             self.old, self.known, self.held = self.known, {}, 0
         self.learn(set().union(*parts).difference(self.known))
