@@ -10,10 +10,12 @@ each window of ``length`` bytes is filed under the smallest hash among its k-gra
 hence equal suffixes always meet in one part. Neighbouring windows that share the same k-gram occurrence travel as one
 run, and only k-grams found in more than one document are followed further:
 
-1. *find*: every run reports its k-gram and a 64-bit hash of its bytes (packed arrays, 18 bytes a run). Of runs with
-   equal k-gram and hash all but those of the smallest document are removed right away, first within a block of text,
-   then within a part: copies of whole runs, the bulk of what repeats, never reach the suffix order. This one step takes
-   hashes for bytes. k-grams with one content left, or in one document only, end here;
+1. *find*: every run reports its k-gram, a 64-bit hash of its bytes and 24-bit hashes of what it holds left and right of
+   the k-gram (packed arrays, 24 bytes a run). Of runs with equal k-gram and hash all but those of the smallest document
+   are removed right away, first within a block of text, then within a part: copies of whole runs, the bulk of what
+   repeats, never reach the suffix order. This one step takes hashes for bytes. Equal windows also share the half of
+   their other bytes on one side of the k-gram, so runs end here whose sides no other document's run of that k-gram has:
+   k-grams alone meet by chance ever more often as a corpus grows, sides hardly do;
 2. *cut*: the bytes of the runs that are left are cut from the texts and dealt to the parts;
 3. *order*: each part sorts their suffixes, compares neighbours byte by byte and makes the LPF array from previous and
    next smaller documents; windows whose factor has the full length become removals;
@@ -55,24 +57,41 @@ _PACKED = T.StructType([T.StructField("dest", T.IntegerType()), T.StructField("k
 _HEAD = np.dtype([("n", "<i8"), ("docs", "<i8")])
 
 
+def _planes(x: np.ndarray) -> bytes:
+    """Bytes of equal weight together, which compresses high zero bytes away."""
+    return x.view(np.uint8).reshape(len(x), -1).T.tobytes()
+
+
+def _from_planes(data: bytes, at: int, n: int, kind: str) -> np.ndarray:
+    size = np.dtype(kind).itemsize
+    return np.ascontiguousarray(np.frombuffer(data, np.uint8, n * size, at).reshape(size, n).T).view(kind).ravel()
+
+
+def _steps(x: np.ndarray) -> np.ndarray:
+    """Differences, modulo the type's range: small where ``x`` is in order."""
+    out = x.copy()
+    out[1:] -= x[:-1]
+    return out
+
+
 def _pack(docs: np.ndarray, tags: np.ndarray, doc: np.ndarray, *columns: np.ndarray, raw: bytes = b"") -> bytes:
     """A blob of entries: the documents they name once, then each column."""
     used, index = np.unique(doc, return_inverse=True)
     small = index.astype(np.uint16 if len(used) < 65536 else np.uint32)
-    return b"".join([np.array([(len(doc), len(used))], _HEAD).tobytes(), docs[used].astype("<i8").tobytes(), tags[used].astype("<i4").tobytes(), small.tobytes(), *(c.tobytes() for c in columns), raw])
+    return b"".join([np.array([(len(doc), len(used))], _HEAD).tobytes(), _planes(_steps(docs[used].astype("<i8").view("<u8"))), _planes(tags[used].astype("<i4")), _planes(small), *(_planes(np.ascontiguousarray(c)) for c in columns), raw])
 
 
 def _unpack(blob: bytes, kinds: tuple[str, ...]) -> tuple[np.ndarray, ...]:
     """(document id, tag, column, ...) of each entry, and the bytes that follow."""
     n, docs = (int(x) for x in np.frombuffer(blob, _HEAD, 1)[0])
     at = _HEAD.itemsize
-    ids, tags = np.frombuffer(blob, "<i8", docs, at), np.frombuffer(blob, "<i4", docs, at + 8 * docs)
+    ids, tags = np.cumsum(_from_planes(blob, at, docs, "<u8"), dtype="<u8").view("<i8"), _from_planes(blob, at + 8 * docs, docs, "<i4")
     at += 12 * docs
-    index = np.frombuffer(blob, np.uint16 if docs < 65536 else np.uint32, n, at)
+    index = _from_planes(blob, at, n, "<u2" if docs < 65536 else "<u4")
     at += index.nbytes
     out = [ids[index], tags[index]]
     for kind in kinds:
-        out.append(np.frombuffer(blob, kind, n, at))
+        out.append(_from_planes(blob, at, n, kind))
         at += out[-1].nbytes
     return (*out, blob[at:])
 
@@ -88,11 +107,11 @@ def _rows(dest: list[int], kind: list[int], blobs: list[bytes]) -> pa.RecordBatc
 
 
 def _runs(raw: np.ndarray, offs: np.ndarray, length: int, k: int) -> tuple[np.ndarray, ...]:
-    """Runs of windows that share the k-gram of smallest hash: document, first window in it, windows, k-gram's hash."""
+    """Runs of windows that share the k-gram of smallest hash: document, first window in it, windows, k-gram's hash and place in the document."""
     n, w = len(raw), length - k + 1
     none = np.zeros(0, np.int64)
     if n < length:
-        return none, none, none, none.astype(U64)
+        return none, none, none, none.astype(U64), none
     h, size, step = _TABLE[raw], 1, _TABLE[7] | U64(1)
     grams = None  # k-gram hashes by doubling over the bits of k
     taken, power = 0, int(step)
@@ -119,13 +138,13 @@ def _runs(raw: np.ndarray, offs: np.ndarray, length: int, k: int) -> tuple[np.nd
     inside = np.arange(len(doc)) - np.repeat(np.cumsum(np.maximum(sizes - length + 1, 0)) - np.maximum(sizes - length + 1, 0), np.maximum(sizes - length + 1, 0))
     least = least[offs[doc] + inside]
     if not len(least):
-        return none, none, none, none.astype(U64)
+        return none, none, none, none.astype(U64), none
     new = np.empty(len(least), bool)
     new[0] = True
     new[1:] = (least[1:] != least[:-1]) | (doc[1:] != doc[:-1])
     at = np.flatnonzero(new)
     spot = (least[at] & U64(0xFFFFFF)).astype(np.int64)
-    return doc[at], inside[at], np.diff(np.append(at, len(least))), grams[spot]
+    return doc[at], inside[at], np.diff(np.append(at, len(least))), grams[spot], spot - offs[doc[at]]
 
 
 def _long_runs(raw: np.ndarray, offs: np.ndarray, length: int, k: int) -> tuple[np.ndarray, ...]:
@@ -135,42 +154,52 @@ def _long_runs(raw: np.ndarray, offs: np.ndarray, length: int, k: int) -> tuple[
     found, step = [], (1 << 24) - length - 1
     for at in range(0, len(raw) - length + 1, step):
         piece = raw[at : at + step + length - 1]
-        d, i, r, g = _runs(piece, np.array([0, len(piece)]), length, k)
-        found.append((d, i + at, r, g))
+        d, i, r, g, p = _runs(piece, np.array([0, len(piece)]), length, k)
+        found.append((d, i + at, r, g, p + at))
     return tuple(np.concatenate(x) for x in zip(*found, strict=True))
 
 
-def _planes(x: np.ndarray) -> bytes:
-    """Bytes of equal weight together, which compresses high zero bytes away."""
-    return x.view(np.uint8).reshape(len(x), -1).T.tobytes()
+def _sides(values: np.ndarray, length: int, k: int, first: np.ndarray, n: np.ndarray, spot: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """24-bit hashes of what a run's windows hold left and right of their k-gram, 0 for the side that no window has.
 
+    With ``m`` half of the bytes beside the k-gram, a window begins ``m`` or more bytes before it and holds those ``m``,
+    or it holds ``length - m + 1`` from the k-gram's start on. So equal windows are runs that share the k-gram and a side.
+    """
+    m = (length - k) // 2
 
-def _from_planes(data: bytes, at: int, n: int, size: int, kind: str) -> np.ndarray:
-    out = np.zeros((n, np.dtype(kind).itemsize), np.uint8)
-    out[:, :size] = np.frombuffer(data, np.uint8, n * size, at).reshape(size, n).T
-    return out.view(kind).ravel()
+    def side(there: np.ndarray, a: int, b: int) -> np.ndarray:
+        out = np.zeros(len(spot), "<u4")
+        out[there] = np.maximum(span_hashes(values, spot[there] + a, spot[there] + b) >> U64(40), U64(1))
+        return out
 
+    return side(spot - first >= m, -m, k), side(spot - (first + n - 1) < m, 0, length - m + 1)
 
-def _report(docs, tags, offs, doc, first, n, gram, content, many) -> bytes:
-    """Runs of one block: its documents with their places in the block, then place, windows, k-gram and content."""
-    used = np.unique(doc)
-    head = np.array([(len(doc), len(used))], _HEAD).tobytes() + docs[used].astype("<i8").tobytes() + tags[used].astype("<i4").tobytes() + offs[used].astype("<u4").tobytes()
-    size = n.astype(np.uint8) | (many.astype(np.uint8) << 7)
-    return head + _planes((offs[doc] + first).astype("<u4")) + size.tobytes() + (gram >> U64(24)).view(np.uint8).reshape(-1, 8)[:, :5].tobytes() + content.tobytes()
+
+def _report(docs, tags, doc, first, n, gram, content, many, left, right) -> bytes:
+    """Runs of one block: its documents with their numbers of runs, then first window, windows, k-gram, content and sides."""
+    by = np.lexsort((first, doc))
+    doc, first, n, gram, content, many, left, right = (x[by] for x in (doc, first, n, gram, content, many, left, right))
+    head, count = _heads(doc)
+    used = doc[head]
+    out = [np.array([(len(doc), len(used))], _HEAD).tobytes(), _planes(_steps(docs[used].astype("<i8").view("<u8"))), _planes(tags[used].astype("<i4")), _planes(count.astype("<u4")), _planes(first.astype("<i4"))]
+    out += [(n.astype(np.uint8) | (many.astype(np.uint8) << 7)).tobytes(), (gram >> U64(24)).view(np.uint8).reshape(-1, 8)[:, :5].tobytes(), content.tobytes()]
+    return b"".join([*out, *(x.view(np.uint8).reshape(-1, 4)[:, :3].tobytes() for x in (left, right))])
 
 
 def _reported(blob: bytes) -> tuple[np.ndarray, ...]:
-    """(document id, tag, first window, windows, many, k-gram, content) of each run of a report."""
+    """(document id, tag, first window, windows, many, k-gram, content, left side, right side) of each run of a report."""
     n, docs = (int(x) for x in np.frombuffer(blob, _HEAD, 1)[0])
     at = _HEAD.itemsize
-    ids, tags, starts = np.frombuffer(blob, "<i8", docs, at), np.frombuffer(blob, "<i4", docs, at + 8 * docs), np.frombuffer(blob, "<u4", docs, at + 12 * docs)
+    ids, tags, count = np.cumsum(_from_planes(blob, at, docs, "<u8"), dtype="<u8").view("<i8"), _from_planes(blob, at + 8 * docs, docs, "<i4"), _from_planes(blob, at + 12 * docs, docs, "<u4")
     at += 16 * docs
-    place = _from_planes(blob, at, n, 4, "<u4")
-    index = np.searchsorted(starts, place, side="right") - 1
-    size = np.frombuffer(blob, np.uint8, n, at + 4 * n)
-    gram = np.zeros((n, 8), np.uint8)
-    gram[:, :5] = np.frombuffer(blob, np.uint8, 5 * n, at + 5 * n).reshape(n, 5)
-    return ids[index], tags[index], (place - starts[index]).astype("<i4"), size & 127, size > 127, gram.view("<u8").ravel(), np.frombuffer(blob, "<u8", n, at + 10 * n)
+    first, size = _from_planes(blob, at, n, "<i4"), np.frombuffer(blob, np.uint8, n, at + 4 * n)
+
+    def narrow(at: int, size: int, kind: str) -> np.ndarray:
+        out = np.zeros((n, np.dtype(kind).itemsize), np.uint8)
+        out[:, :size] = np.frombuffer(blob, np.uint8, size * n, at).reshape(n, size)
+        return out.view(kind).ravel()
+
+    return np.repeat(ids, count), np.repeat(tags, count), first, size & 127, size > 127, narrow(at + 5 * n, 5, "<u8"), np.frombuffer(blob, "<u8", n, at + 10 * n), narrow(at + 18 * n, 3, "<u4"), narrow(at + 21 * n, 3, "<u4")
 
 
 def _heads(*keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -190,25 +219,24 @@ def _find(length: int, k: int, parts: int, groups: int):
             tags = batch.column(2).to_numpy(zero_copy_only=False).astype("<i4")
             for lo, hi in slices(texts, BLOCK):
                 docs, tag = ids.slice(lo, hi - lo).to_numpy(zero_copy_only=False), tags[lo:hi]
-                offs, found = np.zeros(hi - lo + 1, np.int64), []
+                found = []
                 for a, b in slices(texts.slice(lo, hi - lo), PIECE):
                     raw, at = buffers(texts.slice(lo + a, b - a))
-                    offs[a + 1 : b + 1] = offs[a] + at[1:]
-                    doc, first, n, gram = _long_runs(raw, at, length, k)
+                    doc, first, n, gram, spot = _long_runs(raw, at, length, k)
                     if len(doc):
-                        begin = at[doc] + first
-                        found.append((doc + a, first.astype("<i4"), n, gram, span_hashes(_TABLE[raw], begin, begin + n + length - 1)))
+                        begin, values = at[doc] + first, _TABLE[raw]
+                        found.append((doc + a, first.astype("<i4"), n, gram, span_hashes(values, begin, begin + n + length - 1), *_sides(values, length, k, begin, n, at[doc] + spot)))
                 if not found:
                     continue
-                doc, first, n, gram, content = (np.concatenate(x) for x in zip(*found, strict=True))
+                doc, first, n, gram, content, left, right = (np.concatenate(x) for x in zip(*found, strict=True))
                 del found
                 order = np.lexsort((docs[doc], content, gram))
-                doc, first, n, gram, content = (x[order] for x in (doc, first, n, gram, content))
+                doc, first, n, gram, content, left, right = (x[order] for x in (doc, first, n, gram, content, left, right))
                 owner = docs[doc]
                 head, size = _heads(gram, content)
                 later = owner > np.repeat(owner[head], size)  # the block holds an earlier equal run
                 out = [(d, 2, blob) for d, _, blob in _by_document(groups, owner[later], tag[doc[later]], 2, first[later], n[later].astype("<i4"))]
-                doc, first, n, gram, content = (x[~later] for x in (doc, first, n, gram, content))
+                doc, first, n, gram, content, left, right = (x[~later] for x in (doc, first, n, gram, content, left, right))
                 head, _ = _heads(gram, content)
                 distinct = np.zeros(len(gram), np.int64)
                 distinct[head] = 1
@@ -221,13 +249,13 @@ def _find(length: int, k: int, parts: int, groups: int):
                 # other runs of a k-gram that this block alone makes hot go straight to their texts
                 rest = ~told
                 out += [(d, 1, blob) for d, _, blob in _by_document(groups, docs[doc[rest]], tag[doc[rest]], 1, first[rest], n[rest].astype(np.uint8), np.zeros(int(rest.sum()), "<i4"), np.ones(int(rest.sum()), bool), np.zeros(int(rest.sum()), np.uint8))]
-                doc, first, n, gram, content, many = (x[told] for x in (doc, first, n, gram, content, many))
+                doc, first, n, gram, content, many, left, right = (x[told] for x in (doc, first, n, gram, content, many, left, right))
                 dest = (gram % U64(parts)).astype(np.int32)
                 by = np.argsort(dest, kind="stable")
                 head, size = _heads(dest[by])
                 for a, b in zip(head, head + size, strict=True):
                     x = by[a:b]
-                    out.append((int(dest[x[0]]), 0, _report(docs, tag, offs, doc[x], first[x], n[x], gram[x], content[x], many[x])))
+                    out.append((int(dest[x[0]]), 0, _report(docs, tag, doc[x], first[x], n[x], gram[x], content[x], many[x], left[x], right[x])))
                 for a in range(0, len(out), 256):
                     yield _rows(*map(list, zip(*out[a : a + 256], strict=True)))
 
@@ -271,24 +299,42 @@ def _by_slot(settle):
     return lean(run)
 
 
+def _met(group: np.ndarray, side: np.ndarray, ids: np.ndarray) -> np.ndarray:
+    """Whether a run of another document has the same side in the same group."""
+    out = np.zeros(len(ids), bool)
+    there = np.flatnonzero(side)
+    key = group[there] | side[there]
+    by = np.argsort(key)
+    there = there[by]
+    head, size = _heads(key[by])
+    if len(head):
+        own = ids[there]
+        out[there] = np.repeat(np.minimum.reduceat(own, head) != np.maximum.reduceat(own, head), size)
+    return out
+
+
 def _match(groups: int):
     def settle(slot: int, blobs: list[bytes]) -> Iterator[pa.RecordBatch]:
-        ids, tags, first, n, many, gram, content = (np.concatenate(x) for x in zip(*map(_reported, blobs), strict=True))
+        ids, tags, first, n, many, gram, content, left, right = (np.concatenate(x) for x in zip(*map(_reported, blobs), strict=True))
         blobs.clear()
         order = np.lexsort((ids, content, gram))
-        ids, tags, first, n, many, gram, content = (x[order] for x in (ids, tags, first, n, many, gram, content))
+        ids, tags, first, n, many, gram, content, left, right = (x[order] for x in (ids, tags, first, n, many, gram, content, left, right))
         head, size = _heads(gram, content)
         later = ids > np.repeat(ids[head], size)
         yield from _packets(_by_document(groups, ids[later], tags[later], 2, first[later], n[later].astype("<i4")))
-        ids, tags, first, n, many, gram, content = (x[~later] for x in (ids, tags, first, n, many, gram, content))
+        ids, tags, first, n, many, gram, content, left, right = (x[~later] for x in (ids, tags, first, n, many, gram, content, left, right))
+        head, size = _heads(gram)
+        many = np.repeat(np.logical_or.reduceat(many, head), size)
+        group = np.repeat(np.arange(len(head), dtype=U64) << U64(24), size)
+        stays = many | _met(group, left, ids) | _met(group, right, ids)
+        ids, tags, first, n, many, gram, content = (x[stays] for x in (ids, tags, first, n, many, gram, content))
+        if not len(ids):
+            return
         distinct = np.zeros(len(gram), np.int64)
         distinct[_heads(gram, content)[0]] = 1
         head, size = _heads(gram)
-        contents = np.add.reduceat(distinct, head)
-        some = np.maximum.reduceat(ids, head) != np.minimum.reduceat(ids, head)
-        hot = (contents > HOT) | np.logical_or.reduceat(many, head)
-        left = np.repeat(((contents > 1) & some) | hot, size)
-        yield from _packets(_by_document(groups, ids[left], tags[left], 1, first[left], n[left].astype(np.uint8), np.full(int(left.sum()), slot, "<i4"), np.repeat(hot, size)[left], gram[left].astype(np.uint8)))
+        hot = many | np.repeat(np.add.reduceat(distinct, head) > HOT, size)
+        yield from _packets(_by_document(groups, ids, tags, 1, first, n.astype(np.uint8), np.full(len(ids), slot, "<i4"), hot, gram.astype(np.uint8)))
 
     return _by_slot(settle)
 
@@ -565,7 +611,11 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     spark = docs.sparkSession
     work = Workspace(spark, "lpf")
     row = F.struct(*((F.col(f"`{c}`").isNull() if c == text_col else F.col(f"`{c}`")).alias(f"c{i}") for i, c in enumerate(docs.columns)))
-    source = docs.select(F.col(id_col).cast("long").alias("doc"), F.col(text_col).cast("string").alias("text"), F.shiftright(F.coalesce(F.xxhash64(F.col(text_col)), F.lit(0)), 32).cast("int").alias("tag"), row.alias("row"))
+    number = F.col(id_col).cast("long")
+    tag = F.shiftright(F.coalesce(F.xxhash64(F.col(text_col)), F.lit(0)), 32).cast("int")  # tells rows of one id apart
+    if docs.select(number.alias("doc")).where("doc is not null").groupBy("doc").count().where("count > 1").isEmpty():
+        tag = F.when(number.isNull(), tag).otherwise(0)  # nothing to tell apart, and zeros take no room
+    source = docs.select(number.alias("doc"), F.col(text_col).cast("string").alias("text"), tag.alias("tag"), row.alias("row"))
     ordered = source.where(f"doc is not null and octet_length(text) >= {length}").drop("row")
 
     # slots bound what a task holds, by the bytes of text; a task takes one slot after another
