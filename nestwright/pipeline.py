@@ -46,6 +46,11 @@ class _Counted:
             self.tell(n, None)
             yield row
 
+    def texts(self) -> Iterator[str]:
+        for n, text in enumerate(files.texts(self.docs), 1):
+            self.tell(n, None)
+            yield text
+
 
 @dataclass
 class Pipeline:

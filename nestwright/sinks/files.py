@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import gzip
 import html
 import json
 import os
 import re
+import tempfile
 import uuid
 from collections.abc import Iterator
 from dataclasses import dataclass, field
@@ -17,6 +19,7 @@ from pyspark.sql import functions as F
 
 from nestwright.errors import SinkError
 from nestwright.functions.scalars import formula_guard
+from nestwright.shared import shared_folder
 
 MODES = {"error": "errorifexists", "overwrite": "overwrite", "append": "append"}
 
@@ -146,16 +149,43 @@ def write_parts(json_docs: DataFrame, path: str, mode: str = "error", chunk_size
     return SinkResult(seen.get["n"], seen.get["b"], path)
 
 
+def texts(json_docs: DataFrame) -> Iterator[str]:
+    """The texts of one column on the driver, in the order of the partitions; some lines are held, not a partition.
+
+    Tasks write packed files into the shared folder, which are fetched one after another. Without such a folder
+    partitions are fetched whole.
+    """
+    spark = json_docs.sparkSession
+    try:
+        path = shared_folder(spark, "texts")
+    except ValueError:
+        for row in json_docs.toLocalIterator():
+            yield row[0]
+        return
+    try:
+        json_docs.write.option("maxRecordsPerFile", 100_000).option("compression", "gzip").text(path)
+        folder = Folder(spark, path)
+        parts = sorted((int(m[1]), int(m[2]), n) for n in folder.names() if (m := re.fullmatch(r"part-(\d+)-.*-c(\d+)\.txt\.gz", n)))
+        with tempfile.TemporaryDirectory(prefix="nestwright-") as own:
+            for *_, name in parts:
+                folder.fs.copyToLocalFile(False, folder.path(name), folder.jvm.org.apache.hadoop.fs.Path(f"file://{own}/part.gz"), True)
+                with gzip.open(f"{own}/part.gz", "rt", encoding="utf-8", newline="\n") as f:
+                    for line in f:
+                        yield line.removesuffix("\n")
+    finally:
+        Folder(spark, path).clear()
+
+
 def write_single(json_docs: DataFrame, path: str, form: str = "ndjson", pretty: bool = False) -> SinkResult:
-    """One local file, ``ndjson`` or a JSON ``array``, streamed through the driver partition by partition."""
+    """One local file, ``ndjson`` or a JSON ``array``, streamed through the driver."""
     target = Path(path)
     target.parent.mkdir(parents=True, exist_ok=True)
     n, part = 0, target.with_name(target.name + ".part")
     with open(part, "w", encoding="utf-8") as f:
         if form == "array":
             f.write("[")
-        for row in json_docs.toLocalIterator(prefetchPartitions=True):
-            text = json.dumps(json.loads(row[0]), indent=2, ensure_ascii=False) if pretty else row[0]
+        for text in texts(json_docs) if isinstance(json_docs, DataFrame) else json_docs.texts():
+            text = json.dumps(json.loads(text), indent=2, ensure_ascii=False) if pretty else text
             if form == "array":
                 f.write((",\n" if n else "\n") + ("\n".join("  " + x for x in text.split("\n")) if pretty else text))
             else:

@@ -1,11 +1,14 @@
 import http.server
 import json
+import tempfile
 import threading
 import urllib.parse
+from pathlib import Path
 
 import pytest
 from pyspark.sql import functions as F
 
+from nestwright import catalog_io
 from nestwright.cli import main
 from nestwright.errors import QualityError, ShapeError, SourceError
 from nestwright.logs import scrub
@@ -14,7 +17,7 @@ from nestwright.operators.profile import profile
 from nestwright.operators.shapes import Registry, Shapes, compile_constraints, read_turtle
 from nestwright.pipeline import Pipeline
 from nestwright.plans.spec import parse
-from nestwright.sinks import docstore, files
+from nestwright.sinks import docstore, files, serial
 from nestwright.sources import services
 from nestwright.sources.files import batches, read_csv, read_ndjson, read_rows, source_for
 from nestwright.sources.rest import flatten, next_link, read_rest
@@ -196,6 +199,42 @@ def test_single_files(spark, tmp_path):
     assert json.loads(keyed)["id"] == "ex:a|1"
 
 
+def test_items_of_an_array_one_by_one(tmp_path):
+    path = tmp_path / "a.json"
+    value = [1.5, -20, 1e300, [], {}, {"a": ["],", None, {"é": "\n\\"}]}, "x" * 300, True]
+    for indent in (None, 2):
+        path.write_text(json.dumps(value, indent=indent, ensure_ascii=False), encoding="utf-8")
+        assert all(list(serial.read_items(path, size)) == value for size in (1, 2, 3, 50, 100_000))
+    for bad in ("", "{}", "[ ", "[1", "[1, ", "[1,]", "[1 2]", "[1] 2", "[NaN]", "[1.]"):
+        path.write_text(bad)
+        with pytest.raises(SourceError):
+            list(serial.read_items(path, 2))
+    with pytest.raises(SourceError):
+        next(serial.read_items(tmp_path / "none.json"))
+
+
+def test_single_files_are_counted_without_holding_them(spark, small, monkeypatch):
+    """The driver reads back neither file as a whole."""
+    held = []
+    monkeypatch.setattr(serial, "read_json", lambda path: held.append(path))
+    monkeypatch.setattr(Path, "read_text", lambda self, *a, **b: held.append(self))
+    made = catalog_io.single_files(spark, small)
+    assert {r.form: r.records for r in made.collect()} == dict.fromkeys(("json", "ndjson"), spark.read.parquet(f"{small}/orders.parquet").where("o_orderkey <> 0").count())
+    assert not held
+    assert catalog_io._distinct(["a", "b\n", "a", "", "é"], Path(tempfile.mkdtemp()) / "x", 2) == 4
+
+
+def test_a_single_file_holds_no_partition(spark, tmp_path, monkeypatch):
+    """Partitions of any size: their texts come in files, in order, whatever separators of lines they hold."""
+    monkeypatch.setattr(type(spark.range(1)), "toLocalIterator", lambda *a, **b: pytest.fail("a partition is fetched whole"))
+    want = [json.dumps({"n": i, "x": "\u2028é\r\x85"}, ensure_ascii=False) for i in range(700)]
+    docs = spark.createDataFrame([(x,) for x in want], "value string").coalesce(3)
+    assert files.write_single(docs, str(tmp_path / "a.ndjson")).records == 700
+    assert (tmp_path / "a.ndjson").read_bytes().decode().removesuffix("\n").split("\n") == want
+    files.write_single(docs.limit(0), str(tmp_path / "a.json"), "array")
+    assert json.loads((tmp_path / "a.json").read_text()) == []
+
+
 def test_command_line(spark, tmp_path, capsys):
     d = tmp_path / "thing"
     d.mkdir()
