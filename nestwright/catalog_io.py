@@ -90,11 +90,48 @@ def dict_rows(spark, d):
     return sources.read_rows(spark, [{"a": 1, "b": "x", "e": True}, {"a": 2, "c": [1, 2]}, {"a": "n", "b": float("nan")}])
 
 
+_COLUMNS = {"bigint": "BIGINT", "int": "INTEGER", "double": "DOUBLE"}
+
+
+def _database(spark, rows, name: str) -> str:
+    """The address of a Derby database with one small table, which the processes of driver and executors can all open.
+
+    One in memory is the driver's alone, and one in a folder belongs to the process that opened it first. So the driver
+    fills one, closes it and puts it into an archive in the shared folder: Derby opens that read-only, as often as asked.
+    """
+    made, target = _local("db"), urllib.parse.urlparse(shared_folder(spark, "db") + "/db.jar")
+    if target.scheme not in ("", "file"):
+        raise SourceError("Derby opens archives of mounted folders only: spark.checkpoint.dir must be one here")
+    names = ", ".join(f'"{c}" {_COLUMNS.get(kind, "VARCHAR(32672)")}' for c, kind in rows.dtypes)
+    manager = spark.sparkContext._jvm.java.sql.DriverManager
+    open_ = manager.getConnection(f"jdbc:derby:{made};create=true")
+    try:
+        open_.createStatement().execute(f"CREATE TABLE {name} ({names})")
+        put = open_.prepareStatement(f"INSERT INTO {name} VALUES ({', '.join('?' * len(rows.columns))})")
+        for row in rows.toLocalIterator():
+            for i, value in enumerate(row, 1):
+                put.setObject(i, value)
+            put.executeUpdate()
+    finally:
+        open_.close()
+    try:
+        manager.getConnection(f"jdbc:derby:{made};shutdown=true")
+    except Py4JJavaError as e:
+        if e.java_exception.getSQLState() != "08006":  # a database that was closed says so by this error
+            raise
+    Path(target.path).parent.mkdir(parents=True, exist_ok=True)
+    with zipfile.ZipFile(target.path, "w") as archive:
+        for file in sorted(made.rglob("*")):
+            if file.is_file() and file.suffix != ".lck":
+                archive.write(file, Path("db", file.relative_to(made)))
+    shutil.rmtree(made.parent)
+    return f"jdbc:derby:jar:({target.path})db"
+
+
 @query("SELECT r_regionkey AS region, count(*) AS n FROM nation JOIN region ON n_regionkey = r_regionkey WHERE r_regionkey > 0 GROUP BY 1")
 def jdbc_query(spark, d):
     """S-17: a query that a database runs (Derby, which Spark brings along)."""
-    url, driver = f"jdbc:derby:memory:{Path(shared_folder(spark, 'db')).name};create=true", "org.apache.derby.iapi.jdbc.AutoloadedDriver"
-    t(spark, d, "nation").write.jdbc(url, "nation", properties={"driver": driver})
+    url, driver = _database(spark, t(spark, d, "nation"), "nation"), "org.apache.derby.iapi.jdbc.AutoloadedDriver"
     whole = sources.read_jdbc(spark, url, table="nation", partition_column="n_regionkey", bounds=(0, 5), partitions=2, driver=driver)
     assert whole.rdd.getNumPartitions() == 2
     counted = sources.read_jdbc(spark, url, 'SELECT "n_regionkey" AS "region", COUNT(*) AS "n" FROM nation WHERE "n_regionkey" > 0 GROUP BY "n_regionkey"', driver=driver)

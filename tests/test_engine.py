@@ -1,10 +1,12 @@
 import http.server
 import json
+import subprocess
 import tempfile
 import threading
 import urllib.parse
 from pathlib import Path
 
+import pyspark
 import pytest
 from pyspark.sql import functions as F
 
@@ -19,7 +21,7 @@ from nestwright.pipeline import Pipeline
 from nestwright.plans.spec import parse
 from nestwright.sinks import docstore, files, serial
 from nestwright.sources import services
-from nestwright.sources.files import batches, read_csv, read_ndjson, read_rows, source_for
+from nestwright.sources.files import batches, read_csv, read_jdbc, read_ndjson, read_rows, source_for
 from nestwright.sources.rest import flatten, next_link, read_rest
 from nestwright.streaming import stream_to_parts
 
@@ -235,6 +237,17 @@ def test_a_single_file_holds_no_partition(spark, tmp_path, monkeypatch):
     assert json.loads((tmp_path / "a.json").read_text()) == []
 
 
+def test_database_that_other_processes_open(spark, small):
+    """An executor is another process than the driver: a database in memory, or one that the driver holds, is not there."""
+    url = catalog_io._database(spark, spark.read.parquet(f"{small}/nation.parquet"), "nation")
+    jars = Path(pyspark.__file__).parent / "jars"
+    ij = ["java", "-cp", f"{jars}/*", "org.apache.derby.tools.ij"]
+    for _ in range(2):
+        assert read_jdbc(spark, url, table="nation", driver="org.apache.derby.iapi.jdbc.AutoloadedDriver").count() == 25
+        out = subprocess.run(ij, input=f"connect '{url}'; select count(*) from nation;", capture_output=True, text=True, timeout=60, cwd=tempfile.mkdtemp()).stdout
+        assert "25" in out and "ERROR" not in out
+
+
 def test_command_line(spark, tmp_path, capsys):
     d = tmp_path / "thing"
     d.mkdir()
